@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, substring_dedup
+from quillon.llm import byte_bpe, decontaminate, media_audio, substring_dedup, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_media_audio": media_audio.query,
+    "op6_byte_bpe": byte_bpe.query,
+    "op8_token_count": token_count.query,
     "op2_substring_dedup": substring_dedup.query,
     "op5_decontamination": decontaminate.query,
 }
