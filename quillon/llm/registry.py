@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import byte_bpe, decontaminate, media_audio, substring_dedup, token_count
+from quillon.llm import byte_bpe, decontaminate, language_id, media_audio, secret_scan, substring_dedup, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": secret_scan.query,
+    "op4_language_id": language_id.query,
     "op3_media_audio": media_audio.query,
     "op6_byte_bpe": byte_bpe.query,
     "op8_token_count": token_count.query,
