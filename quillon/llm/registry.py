@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import byte_bpe, decontaminate, language_id, media_audio, secret_scan, substring_dedup, token_count
+from quillon.llm import byte_bpe, chat_format, decontaminate, language_id, media_audio, secret_scan, substring_dedup, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.query,
     "op4_language_id": language_id.query,
+    "op7_chat_format": chat_format.query,
     "op3_media_audio": media_audio.query,
     "op6_byte_bpe": byte_bpe.query,
     "op8_token_count": token_count.query,
@@ -18,4 +19,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": decontaminate.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_chat_format": chat_format.SQL}
