@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import byte_bpe, chat_format, decontaminate, html_extract, language_id, media_audio, secret_scan, substring_dedup, token_count
+from quillon.llm import byte_bpe, chat_format, decontaminate, html_extract, language_id, media_audio, near_dedup, secret_scan, substring_dedup, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.query,
     "op4_language_id": language_id.query,
+    "op9_near_dedup": near_dedup.query,
     "op10_html_extract": html_extract.query,
     "op7_chat_format": chat_format.query,
     "op3_media_audio": media_audio.query,
