@@ -16,9 +16,10 @@ from __future__ import annotations
 import base64
 import codecs
 import json
+import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +34,7 @@ from quillon.llm.runtime import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts that are cut into chunks at a time, in characters.
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 20
 
 
 def byte_table() -> list[str]:
@@ -62,47 +63,60 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
     })
 
 
-class Codec:
-    """Encoder and decoder of one vocabulary file; built once a Python worker."""
+class Decoder:
+    """The byte strings of one vocabulary file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         ranks = read_ranks(path)
-        self.library = Tokenizer.from_str(tokenizer_json(ranks))
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.bytes[r] = t
         self.length = np.array([len(t) for t in self.bytes], np.int64)
-        self.table = Table(lambda x: [e.ids for e in self.library.encode_batch_fast(x, add_special_tokens=False)])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [list(chain.from_iterable(x)) for x in self.table.of(texts)]
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
-
-    def stream(self, ids: list[int]) -> Iterator[str]:
+    def stream(self, ids: np.ndarray) -> Iterator[str]:
         """The text that each token completes; bytes of a split character wait for the rest."""
         d = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
+        for i in ids.tolist():
             yield d.decode(self.bytes[i])
         if rest := d.decode(b"", True):
             yield rest
 
-    def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
+    def offsets(self, text: str, ids: np.ndarray) -> list[tuple[int, int]]:
         """The code points that each token touches, end exclusive; tokens that split a character share it."""
         lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
         upto = np.concatenate(([0], np.cumsum(lead)))
-        end = np.cumsum(self.length[ids]) if len(ids) else np.zeros(0, np.int64)
-        start = np.concatenate(([0], end[:-1])) if len(ids) else end
+        end = np.cumsum(self.length[ids])
+        start = end - self.length[ids]
         inside = np.append(~lead, False)
         return list(zip((upto[start] - inside[start]).tolist(), upto[end].tolist(), strict=True))
 
 
+class Encoder:
+    """The library's encoder of one vocabulary file."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks already take all cores
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(tokenizer_json(read_ranks(path)))
+        self.table = Table(lambda x: [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(x, add_special_tokens=False)])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [np.frombuffer(b"".join(x), np.int32) for x in self.table.of(texts)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def runs(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
@@ -123,17 +137,17 @@ def encode(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     schema = T.StructType([*docs.select(keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(public_tokenizers.path(name))
+        c = encoder(public_tokenizers.path(name))
         for batch in batches:
             k = batch.schema.get_field_index("text")
             _, bounds = tk.buffers(batch.column(k))
             for lo, hi in tk.slices(bounds):
                 part = batch.slice(lo, hi - lo)
-                ids: list[list[int]] = []
+                ids: list[np.ndarray] = []
                 for r in runs([t or "" for t in part.column(k).to_pylist()]):
                     ids += c.encode(r)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+                flat = np.concatenate(ids)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*keep, "ids"])
 
     return docs.select(keep).mapInArrow(run, schema)
@@ -145,13 +159,13 @@ def decode(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
     schema = T.StructType([*encoded.select(keep).schema.fields, T.StructField("decoded", T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(public_tokenizers.path(name))
+        c = decoder(public_tokenizers.path(name))
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
             out = []
             for k in range(batch.num_rows):
                 x = ids[k].values
-                out.append(c.decode(x.to_numpy(zero_copy_only=False).tolist()) if x is not None else b"")
+                out.append(c.decode(x.to_numpy(zero_copy_only=False)) if x is not None else b"")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
     return encoded.select(keep).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ from typing import Any
 PLAIN = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Other white space, before which a cut isn't safe: such a text is handled whole.
 OTHER = re.compile("[\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MAX_ENTRIES, MAX_LENGTH = 300_000, 64
+MAX_ENTRIES, MAX_LENGTH = 250_000, 64
 
 
 class Table:
@@ -27,25 +27,15 @@ class Table:
     def of(self, texts: Iterable[str]) -> list[list[Any]]:
         """For each text, what its chunks give, in order."""
         cut = [PLAIN.findall(t) for t in texts]
-        new = set()
-        for c in cut:
-            new.update(c)
-        new.difference_update(self.held)
-        if len(self.held) + len(new) > MAX_ENTRIES:
-            self.held.clear()
-            new = {x for c in cut for x in c}
+        seen = set().union(*cut)
+        new = seen.difference(self.held)
+        if len(self.held) + len(new) > MAX_ENTRIES:  # what this call uses again stays
+            self.held = {x: self.held[x] for x in seen.difference(new)}
         odd = {x for x in new if OTHER.search(x)}
-        once = {}
-        if fresh := list(new - odd):
-            once = dict(zip(fresh, self.work(fresh), strict=True))
-            self.held.update(once)
-        out = []
-        for k, c in enumerate(cut):
-            if odd and not odd.isdisjoint(c):
-                out.append(self.work(["".join(c)]))
-            else:
-                out.append(list(map(self.held.__getitem__, c)))
-            cut[k] = None
-        for x in [x for x in once if len(x) > MAX_LENGTH]:
-            del self.held[x]
+        if fresh := list(new.difference(odd) if odd else new):
+            self.held.update(zip(fresh, self.work(fresh), strict=True))
+        get = self.held.__getitem__
+        out = [self.work(["".join(c)]) if odd and not odd.isdisjoint(c) else list(map(get, c)) for c in cut]
+        for x in [x for x in new if len(x) > MAX_LENGTH]:
+            self.held.pop(x, None)
         return out
