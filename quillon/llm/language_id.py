@@ -82,11 +82,13 @@ class Automaton:
         self.column = np.zeros(N_CLASS, np.int32)
         self.column[used] = np.arange(1, len(used) + 1)
         self.width = len(used) + 1
-        # A missing transition: the phrase ends (odd entries) and the byte starts the next one at the root.
-        root = np.zeros(self.width, np.int32)
+        # A missing transition ends the phrase (odd entries) and the byte starts the next one.  A byte that
+        # the text doesn't have is a phrase of its own, after which, as at the front, every byte starts one.
+        self.front = len(step) * self.width * 2
+        restart = np.full(self.width, self.front + 1, np.int64)
         for c, to in step[0].items():
-            root[self.column[c]] = to
-        table = np.tile(root * self.width * 2 + 1, (len(step), 1))
+            restart[self.column[c]] = to * self.width * 2 + 1
+        table = np.tile(restart, (len(step) + 1, 1))
         for s, edges in enumerate(step):
             for c, to in edges.items():
                 table[s, self.column[c]] = to * self.width * 2
@@ -95,14 +97,14 @@ class Automaton:
     def phrases(self, pieces: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Phrases of each piece; pieces: one a column, longest first, byte classes."""
         n = np.zeros(pieces.shape[1], np.int32)
-        state = np.zeros(pieces.shape[1], np.int32)
+        state = np.full(pieces.shape[1], self.front >> 1, np.int32)
         alive = np.searchsorted(-length, -np.arange(1, len(pieces) + 1), "right")
         for k in range(len(pieces)):
             m = alive[k]
             to = self.table[state[:m] + self.column[pieces[k, :m]]]
             n[:m] += to & 1
             state[:m] = to >> 1
-        return n + (length > 0)
+        return n
 
 
 @dataclass

@@ -15,7 +15,7 @@ from typing import Any
 PLAIN = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Other white space, before which a cut isn't safe: such a text is handled whole.
 OTHER = re.compile("[\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MAX_ENTRIES, MAX_LENGTH = 250_000, 64
+MAX_ENTRIES, MAX_LENGTH = 400_000, 64
 
 
 class Table:
