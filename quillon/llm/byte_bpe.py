@@ -19,7 +19,6 @@ import json
 import os
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -30,11 +29,12 @@ from pyspark.sql import types as T
 
 from quillon.llm import textkit as tk
 from quillon.llm.pretokens import Table
-from quillon.llm.runtime import documents
+from quillon.llm.runtime import documents, resident, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts that are cut into chunks at a time, in characters.
 BATCH_CHARS = 1 << 20
+AT_ONCE = 4096
 
 
 def byte_table() -> list[str]:
@@ -102,21 +102,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json(read_ranks(path)))
-        self.table = Table(lambda x: [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(x, add_special_tokens=False)])
+        self.table = Table(self.chunks)
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk as bytes; few of the library's results are alive at a time."""
+        out = []
+        for k in range(0, len(chunks), AT_ONCE):
+            out += [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(chunks[k : k + AT_ONCE], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         return [np.frombuffer(b"".join(x), np.int32) for x in self.table.of(texts)]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return resident("byte_bpe", ("encoder", path), lambda: Encoder(path))
 
 
-@lru_cache(maxsize=2)
 def decoder(path: str) -> Decoder:
-    return Decoder(path)
+    return resident("byte_bpe", ("decoder", path), lambda: Decoder(path))
 
 
 def runs(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
@@ -136,6 +141,8 @@ def encode(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     keep = [c for c in docs.columns if c != "ids"]
     schema = T.StructType([*docs.select(keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
+    @tidy("byte_bpe")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = encoder(public_tokenizers.path(name))
         for batch in batches:
@@ -158,6 +165,8 @@ def decode(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
     keep = [c for c in encoded.columns if c != "decoded"]
     schema = T.StructType([*encoded.select(keep).schema.fields, T.StructField("decoded", T.BinaryType(), False)])
 
+    @tidy("byte_bpe")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = decoder(public_tokenizers.path(name))
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textkit as tk
-from quillon.llm.runtime import written
+from quillon.llm.runtime import tidy, written
 
 WINDOW, GRAM = 10, 5
 #: Bytes of benchmark text in one broadcast block: its tables stay under 200 MB.
@@ -113,6 +113,8 @@ def found(index: Index, w: tk.Words) -> tuple[np.ndarray, list[tuple[int, int]]]
 def _pass(docs: DataFrame, items: list[tuple[str, str | None]]) -> DataFrame:
     block = docs.sparkSession.sparkContext.broadcast(Index(items))
 
+    @tidy("decontaminate")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = block.value
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textkit as tk
-from quillon.llm.runtime import documents
+from quillon.llm.runtime import documents, tidy
 
 UND = "und"
 SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 200, 24_000, 64
@@ -176,6 +176,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score: the share of the runner-up's phrases in both, from 1/2 for a tie to 1."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy("language_id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         names = np.array([*m.names, UND], object)

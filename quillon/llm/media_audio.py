@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import textkit as tk
-from quillon.llm.runtime import documents
+from quillon.llm.runtime import documents, tidy
 
 UNIT, PAD = 576, 255
 # Fixed values of the MPEG audio frame header: kbit/s by index, for versions and layers.
@@ -250,6 +250,8 @@ def load(data: bytes, s: Stream | None = None) -> tuple[bytes, int]:
 def attach(docs: DataFrame) -> DataFrame:
     """doc_id and `media`, the stream that carries the text."""
 
+    @tidy("media_audio")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = tk.buffers(batch.column(1))
@@ -274,6 +276,8 @@ def index(media: DataFrame, offsets: bool = True) -> DataFrame:
     keep = media.columns
     schema = T.StructType([*media.schema.fields, *(T.StructField(k, t) for k, (_, t) in INDEX.items())])
 
+    @tidy("media_audio")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

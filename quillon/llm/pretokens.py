@@ -12,10 +12,14 @@ import re
 from collections.abc import Callable, Iterable
 from typing import Any
 
+import numpy as np
+
 PLAIN = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Other white space, before which a cut isn't safe: such a text is handled whole.
 OTHER = re.compile("[\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MAX_ENTRIES, MAX_LENGTH = 400_000, 64
+MAX_ENTRIES, MAX_LENGTH = 300_000, 64
+#: Bits that say which chunks were met before; only what is met again enters the table.
+MET_BITS = 1 << 23
 
 
 class Table:
@@ -23,6 +27,7 @@ class Table:
 
     def __init__(self, work: Callable[[list[str]], list[Any]]):
         self.work, self.held = work, {}
+        self.met, self.n_met = np.zeros(MET_BITS, bool), 0
 
     def of(self, texts: Iterable[str]) -> list[list[Any]]:
         """For each text, what its chunks give, in order."""
@@ -36,6 +41,12 @@ class Table:
             self.held.update(zip(fresh, self.work(fresh), strict=True))
         get = self.held.__getitem__
         out = [self.work(["".join(c)]) if odd and not odd.isdisjoint(c) else list(map(get, c)) for c in cut]
-        for x in [x for x in new if len(x) > MAX_LENGTH]:
-            self.held.pop(x, None)
+        if fresh:
+            at = np.fromiter(map(hash, fresh), np.int64, len(fresh)) & (MET_BITS - 1)
+            for k in np.flatnonzero(~self.met[at] | (np.fromiter(map(len, fresh), np.int64, len(fresh)) > MAX_LENGTH)).tolist():
+                del self.held[fresh[k]]
+            self.met[at] = True
+            self.n_met += len(fresh)
+            if self.n_met > MET_BITS // 2:
+                self.met[:], self.n_met = False, 0
         return out

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +49,35 @@ def input_bytes(df: DataFrame) -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: What stays in a Python worker between tasks, by the operator that made it; another operator's tasks drop it.
+_resident: dict[str, dict] = {}
+
+
+def resident(owner: str, key, make: Callable):
+    """make(), kept in this worker while tasks of the same operator run."""
+    for other in [k for k in _resident if k != owner]:
+        del _resident[other]
+    held = _resident.setdefault(owner, {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def tidy(owner: str):
+    """For functions of mapInArrow: other operators' tables go before, and freed memory goes back to the system after."""
+
+    def wrap(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        @functools.wraps(f)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            resident(owner, None, dict)
+            try:
+                yield from f(batches)
+            finally:
+                pa.default_memory_pool().release_unused()
+                ctypes.CDLL(None).malloc_trim(0)
+
+        return run
+
+    return wrap

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textkit as tk
-from quillon.llm.runtime import documents, input_bytes
+from quillon.llm.runtime import documents, input_bytes, tidy
 
 WINDOW, GRAM = 50, 10
 #: Most cells of the merged sketch (one bit of each is broadcast).
@@ -66,6 +66,8 @@ def sketch(docs: DataFrame, bits: int, window: int, gram: int) -> bytes:
     part_bits = min(bits - 3, max(8, bits - 20))
     inner = bits - part_bits
 
+    @tidy("substring_dedup")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 

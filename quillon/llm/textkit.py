@@ -20,7 +20,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
 #: Bytes of text that are hashed at a time: a few 8-byte arrays of this length are alive.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,7 +33,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
+#: Powers that stay in memory: what slices need; longer rows make their own.
+KEPT_POWERS = 1 << 20
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     steps = np.full(size, base, U64)
     steps[0] = 1
@@ -43,8 +47,13 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i below a power of two not under size."""
-    return _powers(base, 1 << max(16, (size - 1).bit_length()))
+    """base**i and base**-i modulo 2**64, for i below a bound not under size."""
+    have = _kept.get(base)
+    if have is None or len(have[0]) < size:
+        have = _powers(base, 1 << max(16, (size - 1).bit_length()))
+        if len(have[0]) <= KEPT_POWERS:
+            _kept[base] = have
+    return have
 
 
 @lru_cache(maxsize=1)

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from quillon.llm import textkit as tk
 from quillon.llm.byte_bpe import byte_table, runs
 from quillon.llm.pretokens import Table
-from quillon.llm.runtime import documents
+from quillon.llm.runtime import documents, resident, tidy
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
 #: The pattern of the byte-level pre-tokenizer; its white space is Unicode's property.
@@ -129,14 +128,15 @@ class Merger:
         return out
 
 
-@lru_cache(maxsize=2)
 def merger(path: str) -> Merger:
-    return Merger(path)
+    return resident("token_count", path, lambda: Merger(path))
 
 
 def count_tokens(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """Per row: doc_id, bytes and tokens of the whole text."""
 
+    @tidy("token_count")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(public_tokenizers.path(name))
         for batch in batches:
