@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import discrepancy, gram, grammar, information, search, smc
+from quillon.operators import acquisition, discrepancy, gram, grammar, information, search, smc
 from quillon.operators.gram import Prior, generic_bank
 from quillon.plans.data import X, terms
 from quillon.sources.tables import table
@@ -110,7 +110,19 @@ def grammar_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.class_masses(grammar.class_rows(spark, grammar.Grammar(1, 0.4), 5))
 
 
+def acquisition_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learning curves of every policy on monthly means: 32 initial rows, 128 in the pool, the rest for validation, by hash order."""
+    d = gram.standardised(yearly(spark, sf_dir), [*X, "y"])
+    rows = d.withColumn("h", F.sha2(F.concat_ws(":", "yr", "mo", "l_returnflag"), 256)).orderBy("h").collect()
+    x, y = np.array([[r[c] for c in X] for r in rows]), np.array([r["y"] for r in rows])
+    n = min(128, len(y) // 2)
+    data = {"months": ((x[:32], y[:32]), (x[32 : 32 + n], y[32 : 32 + n]), (x[32 + n :], y[32 + n :]))}
+    runs = spark.createDataFrame([("months", p, s) for p in acquisition.POLICIES for s in (1, 2)], "dataset string, policy string, seed int")
+    return acquisition.replay(runs, data, generic_bank(3), Prior(), 32)
+
+
 QUERIES = {
+    "acquisition_runs": (acquisition_runs, None),
     "class_partition": (class_partition, None), "acquisition_scores": (acquisition_scores, None), "predictive_table": (predictive_table, None), "calibrated_power": (calibrated_power, None),
     "adequacy_eprocess": (adequacy, None), "smc_runs": (smc_runs, None), "lasso_poly4": (lasso_poly4, None), "tree_search": (tree_search, None), "exploration_terms": (exploration, None), "grammar_classes": (grammar_classes, None),
 }

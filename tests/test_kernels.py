@@ -177,3 +177,24 @@ def test_search(spark):
     got = search.scheduled({"lasso": lambda s: search.PolynomialLasso(2, 1e-4), "tree": lambda s: search.TreeSearch(2, seed=s)}, df, xs, y, df, 1, 7, budget)
     assert len(got) == 2 and budget.snapshot()["remaining"] == 2
     assert search.plugin_candidates([("b", lambda: ["x0+1", "bad("]), ("a", lambda: ["1+x0"])], 2)[0] == ["1+x0"]
+
+
+def test_acquisition_policies():
+    from quillon.operators import acquisition
+
+    x, y = data(40)
+    parts = ((x[::8], y[::8]), (x[1::2], y[1::2]), (x[::2], y[::2]))
+    for policy in acquisition.POLICIES:
+        rows = acquisition.run(BANK, Prior(), *parts, policy, 1, 6)
+        chosen = [r["chosen"] for r in rows[:-1]]
+        assert len(rows) == 7 and len(set(chosen)) == 6 and rows[-1]["nll"] < rows[0]["nll"]
+        assert rows == acquisition.run(BANK, Prior(), *parts, policy, 1, 6)
+    posts = gram.bank_posterior(BANK, stats(x, y), Prior())
+    groups = [[0, 1], [2, 3]]
+    fast, _ = acquisition.class_eig_all(posts, groups, x, 32)
+    slow = [information.class_eig(p, 32)[0] for p in information.grouped_components(posts, groups, x)]
+    assert np.allclose(fast, slow, atol=1e-9)
+    safe, now, then = acquisition.safe_set(x[:5], x, x)
+    assert safe.any() and (then[safe] <= now + 1e-9).all()
+    assert (acquisition.discrepancy_profile(0.5, x[:5], x) >= 0.5 - 1e-12).all()
+    assert acquisition.stable_argmax(np.array([1.0, 1.0 + 1e-16, 0.5]), np.array([7, 3, 1])) == 1
