@@ -136,15 +136,21 @@ def runs(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
         yield held
 
 
-def encode(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
-    """The documents with `ids`, the ids of the whole text."""
-    keep = [c for c in docs.columns if c != "ids"]
-    schema = T.StructType([*docs.select(keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+def encode(docs: DataFrame, name: str = VOCABULARY, round_trip: bool = False) -> DataFrame:
+    """The documents with `ids`, the ids of the whole text.
 
-    @tidy("byte_bpe")
+    round_trip: instead of the text, `decoded`, the bytes that the ids stand for, made in the same pass.
+    """
+    taken = ("ids", "decoded") if round_trip else ("ids",)
+    read = [c for c in docs.columns if c not in taken]
+    keep = [c for c in read if not (round_trip and c == "text")]
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.BinaryType(), False)][: len(taken)]
+    schema = T.StructType([*docs.select(keep).schema.fields, *more])
 
+    @tidy("byte_bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = encoder(public_tokenizers.path(name))
+        d = decoder(public_tokenizers.path(name)) if round_trip else None
         for batch in batches:
             k = batch.schema.get_field_index("text")
             _, bounds = tk.buffers(batch.column(k))
@@ -155,9 +161,12 @@ def encode(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
                     ids += c.encode(r)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate(ids)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*keep, "ids"])
+                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if d is not None:
+                    made.append(pa.array([d.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(x)) for x in keep), *made], names=[*keep, *taken])
 
-    return docs.select(keep).mapInArrow(run, schema)
+    return docs.select(read).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
@@ -166,7 +175,6 @@ def decode(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
     schema = T.StructType([*encoded.select(keep).schema.fields, T.StructField("decoded", T.BinaryType(), False)])
 
     @tidy("byte_bpe")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = decoder(public_tokenizers.path(name))
         for batch in batches:
@@ -186,4 +194,4 @@ def digests(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(documents(spark, sf_dir).select("doc_id", "text")).drop("text")), "doc_id")
+    return digests(encode(documents(spark, sf_dir).select("doc_id", "text"), round_trip=True), "doc_id")

@@ -169,6 +169,8 @@ def test_byte_bpe(spark, texts):
     assert len(got) == len(rows)
     for r in got:
         assert r.ids == lib.encode_ordinary(rows[r.doc_id] or "") and bytes(r.decoded).decode() == (rows[r.doc_id] or "")
+    both = byte_bpe.encode(table(spark, rows), round_trip=True)
+    assert "text" not in both.columns and {(r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in both.collect()} == {(r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in got}
     d = byte_bpe.decoder(path)
     import numpy as np
 
