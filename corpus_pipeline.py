@@ -36,8 +36,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of the bytes they decode to."""
-    rows = byte_bpe.decode(byte_bpe.encode(docs).drop("text"))
-    return byte_bpe.digests(rows, "doc_id", "lang", "source", "n_chars", "ids")
+    return byte_bpe.digests(byte_bpe.encode(docs, round_trip=True), "doc_id", "lang", "source", "n_chars", "ids")
 
 
 STAGES = [("language ID", language), ("near-dedup", near_duplicates), ("decontamination", decontamination), ("secret scan", secrets), ("byte-level BPE", tokens)]
