@@ -114,7 +114,6 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]]) -> DataFrame:
     block = docs.sparkSession.sparkContext.broadcast(Index(items))
 
     @tidy("decontaminate")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = block.value
         for batch in batches:

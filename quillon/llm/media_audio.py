@@ -251,7 +251,6 @@ def attach(docs: DataFrame) -> DataFrame:
     """doc_id and `media`, the stream that carries the text."""
 
     @tidy("media_audio")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = tk.buffers(batch.column(1))
@@ -277,7 +276,6 @@ def index(media: DataFrame, offsets: bool = True) -> DataFrame:
     schema = T.StructType([*media.schema.fields, *(T.StructField(k, t) for k, (_, t) in INDEX.items())])
 
     @tidy("media_audio")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

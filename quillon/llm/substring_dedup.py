@@ -67,7 +67,6 @@ def sketch(docs: DataFrame, bits: int, window: int, gram: int) -> bytes:
     inner = bits - part_bits
 
     @tidy("substring_dedup")
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 

@@ -136,7 +136,6 @@ def count_tokens(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """Per row: doc_id, bytes and tokens of the whole text."""
 
     @tidy("token_count")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(public_tokenizers.path(name))
         for batch in batches:
