@@ -23,18 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows from a table in the shared folder: lineage ends and a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """The rows from a table in the shared folder: lineage ends and a lost executor costs no recomputation.  made: gets its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Remove a table of written() that nothing reads any more."""
+def removed(spark: SparkSession, folders: list[str]) -> None:
+    """Delete tables of written() that nothing will read again."""
     jvm = spark.sparkContext._jvm
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+    for f in folders:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
