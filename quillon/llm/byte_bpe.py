@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from quillon.llm import textkit as tk
 from quillon.llm.pretokens import Table
-from quillon.llm.runtime import documents, resident, tidy
+from quillon.llm.runtime import documents, resident, short_batches, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts that are cut into chunks at a time, in characters.
@@ -166,7 +166,7 @@ def encode(docs: DataFrame, name: str = VOCABULARY, round_trip: bool = False) ->
                     made.append(pa.array([d.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(x)) for x in keep), *made], names=[*keep, *taken])
 
-    return docs.select(read).mapInArrow(run, schema)
+    return short_batches(docs).select(read).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
@@ -185,7 +185,7 @@ def decode(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
                 out.append(c.decode(x.to_numpy(zero_copy_only=False)) if x is not None else b"")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
-    return encoded.select(keep).mapInArrow(run, schema)
+    return short_batches(encoded).select(keep).mapInArrow(run, schema)
 
 
 def digests(rows: DataFrame, *keep: str) -> DataFrame:

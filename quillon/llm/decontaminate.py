@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textkit as tk
-from quillon.llm.runtime import tidy, written
+from quillon.llm.runtime import short_batches, tidy, written
 
 WINDOW, GRAM = 10, 5
 #: Bytes of benchmark text in one broadcast block: its tables stay under 200 MB.
@@ -129,7 +129,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]]) -> DataFrame:
                 spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(at - w.first[:-1][np.repeat(np.arange(hi - lo), lens)], pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(w.first), pa.int64()), spans, pa.array([of.get(r, []) for r in range(hi - lo)], pa.list_(pa.string()))], names=["doc_id", "n_words", "hit_words", "items"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textkit as tk
-from quillon.llm.runtime import documents, tidy
+from quillon.llm.runtime import documents, short_batches, tidy
 
 UND = "und"
 SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 200, 24_000, 64
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     score = np.where(good[lo:hi], np.where(np.isinf(both), 1.0, two[:, 1] / np.where(both > 0, both, 1)), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lettered(F.col("text")).alias("good")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", lettered(F.col("text")).alias("good")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def clean(docs: DataFrame) -> DataFrame:

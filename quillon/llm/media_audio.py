@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import textkit as tk
-from quillon.llm.runtime import documents, tidy
+from quillon.llm.runtime import documents, short_batches, tidy
 
 UNIT, PAD = 576, 255
 # Fixed values of the MPEG audio frame header: kbit/s by index, for versions and layers.
@@ -258,7 +258,7 @@ def attach(docs: DataFrame) -> DataFrame:
                 part = [store(data[bounds[i] : bounds[i + 1]].tobytes()) for i in range(lo, hi)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(part, pa.binary())], names=["doc_id", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, media binary")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, media binary")
 
 
 #: What `index` adds, by name, for Arrow and for Spark.

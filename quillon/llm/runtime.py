@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; one is set only where it is unset."""
     held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -41,6 +44,14 @@ def removed(spark: SparkSession, folders: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """The frame, with Arrow batches of BATCH_ROWS rows in its session unless another number was set: a row is a whole text here, and Spark's 10,000 of them fill memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the input by the optimiser's statistics; counted where these say nothing."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillon.llm import textkit as tk
 from quillon.llm.byte_bpe import byte_table, runs
 from quillon.llm.pretokens import Table
-from quillon.llm.runtime import documents, resident, tidy
+from quillon.llm.runtime import documents, resident, short_batches, tidy
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
 #: The pattern of the byte-level pre-tokenizer; its white space is Unicode's property.
@@ -147,7 +147,7 @@ def count_tokens(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
                     n += m.count(r)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds[lo : hi + 1])), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
