@@ -12,13 +12,14 @@
    of the id; never all with all.  Links whose signatures agree too little are dropped; the
    rest are verified on the whole texts by weighted Jaccard similarity, THRESHOLD or more, with
    TF-IDF or with unit weights (so the size of a group never parts texts that share enough).
-4. The first FIRST_BANDS bands with one leader a bucket join most copies; texts that are
-   joined aren't compared again.  Then come all bands, with LEADERS slots.  Texts that no leader
-   of a bucket is joined with, and their bucket's other such texts, are undecided: they get
-   SHARP_BANDS bands of SHARP_ROWS samples, in which texts under the threshold seldom meet, and
-   there leaders go on, MORE times as many each round as the buckets empty, until no bucket
-   holds two texts.  A pair of similarity 0.8 misses all bands with probability 2e-4 in either
-   stage.  A pair is verified once.
+4. The first FIRST_BANDS bands with one leader a bucket join most copies; texts of one class
+   aren't compared again.  Then come all bands, with LEADERS slots.  A leader has met its whole
+   bucket and leaves it; all other texts stay, joined or not, as long as their bucket holds two
+   classes.  Those of such buckets get SHARP_BANDS bands of SHARP_ROWS samples, in which texts
+   under the threshold seldom meet, and there leaders go on, MORE times as many each round,
+   until each bucket holds one class: every two texts of a bucket have met or share a class.
+   A pair of similarity 0.8 misses all bands with probability 2e-4 in either stage.  A pair is
+   verified once.
 5. Links join classes by least label with pointer jumping, in tables of the shared folder.
    Links, labels and signatures stay there; what comes to the driver has a fixed size.
 
@@ -304,9 +305,10 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return written(docs.where(id_filter(ids)("doc_id")).join(ids, "doc_id", "left_semi"), "texts")
 
 
-def crowded(buckets: DataFrame) -> DataFrame:
-    """The rows (doc, bucket) of buckets that hold two texts or more."""
-    return written(buckets.join(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi"), "buckets")
+def mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (doc, bucket), with label, of the buckets that hold two classes or more."""
+    now = written(buckets.join(labels, "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label")), "labelled")
+    return written(now.join(now.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket"), "bucket", "left_semi"), "buckets")
 
 
 def linked(reps: DataFrame, docs: DataFrame, idf) -> DataFrame:
@@ -315,35 +317,29 @@ def linked(reps: DataFrame, docs: DataFrame, idf) -> DataFrame:
     lead_sigs = sigs.select(F.col("doc").alias("lead"), F.col("sig").alias("lead_sig"))
     labels = written(docs.sparkSession.createDataFrame([], "doc long, label long"), "labels")
     bands = reps.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("nth", "bucket"))
-    all_buckets = crowded(written(bands.select("doc", "bucket"), "bands"))
-    buckets = crowded(written(bands.where(F.col("nth") < FIRST_BANDS).select("doc", "bucket"), "bands"))
+    buckets = mixed(bands.where(F.col("nth") < FIRST_BANDS).select("doc", "bucket"), labels)
     tested = written(docs.sparkSession.createDataFrame([], "doc long, lead long"), "tested")
     leaders, texts, stage = 1, docs, "first"
     while not buckets.isEmpty():
-        now = buckets.join(labels, "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
-        leads = written(now.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(leaders)).alias("slot")).agg(F.min("doc").alias("led"), F.min_by("label", "doc").alias("led_label")).select("bucket", "led", "led_label"), "leads")
-        met = written(now.join(leads, "bucket").where("doc <> led AND label <> led_label").select("bucket", F.col("doc").alias("one"), F.greatest("doc", "led").alias("doc"), F.least("doc", "led").alias("lead")), "met")
-        near = written(met.select("doc", "lead").distinct().join(tested, ["doc", "lead"], "left_anti").join(sigs, "doc").join(lead_sigs, "lead").where(agreed(F.col("sig"), F.col("lead_sig")) >= LEAST_AGREED).select("doc", "lead"), "near")
-        changed = False
+        leads = written(buckets.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(leaders)).alias("slot")).agg(F.min("doc").alias("led"), F.min_by("label", "doc").alias("led_label")).select("bucket", "led", "led_label"), "leads")
+        met = written(buckets.join(leads, "bucket").where("label <> led_label").select(F.greatest("doc", "led").alias("doc"), F.least("doc", "led").alias("lead")).distinct(), "met")
+        near = written(met.join(tested, ["doc", "lead"], "left_anti").join(sigs, "doc").join(lead_sigs, "lead").where(agreed(F.col("sig"), F.col("lead_sig")) >= LEAST_AGREED).select("doc", "lead"), "near")
         if not near.isEmpty():
             tested = tested.unionByName(near)
             ids = written(near.select(F.explode(F.array("doc", "lead")).alias("doc_id")).distinct(), "ids")
             read = texts_of(docs, ids) if texts is docs else texts.join(ids, "doc_id", "left_semi")
             good = written(verified(near, read, idf).where("similar").select("doc", "lead"), "links")
-            if changed := not good.isEmpty():
+            if not good.isEmpty():
                 labels = components(good.unionByName(labels.where("doc <> label").select("doc", F.col("label").alias("lead"))))
-        if stage == "first":  # links of few bands join most copies, and what is joined isn't compared again
-            buckets, leaders, stage = all_buckets, LEADERS, "all"
+        if stage == "first":  # links of few bands join most copies, and texts of one class aren't compared again
+            buckets, leaders, stage = mixed(bands.select("doc", "bucket"), labels), LEADERS, "all"
             continue
-        one, two = labels.withColumnRenamed("label", "la"), labels.select(F.col("doc").alias("lead"), F.col("label").alias("lb"))
-        same = [now["bucket"] == leads["bucket"], now["label"] == leads["led_label"], now["doc"] != leads["led"]]
-        before = now.join(leads, same, "left_semi").select("bucket", "doc")
-        joined = before if not changed else before.unionAll(met.join(one, "doc", "left").join(two, "lead", "left").where(F.coalesce("la", "doc") == F.coalesce("lb", "lead")).select("bucket", F.col("one").alias("doc")))
-        rest = buckets.join(leads.select("bucket", F.col("led").alias("doc")).unionAll(joined).distinct(), ["bucket", "doc"], "left_anti")
-        buckets, leaders = crowded(rest), leaders * MORE
+        # A leader has met all texts of its bucket; only a bucket of one class needs no more leaders.
+        rest = buckets.select("doc", "bucket").join(leads.select("bucket", F.col("led").alias("doc")), ["bucket", "doc"], "left_anti")
+        buckets, leaders = mixed(rest, labels), leaders * MORE
         if stage == "all" and not buckets.isEmpty():
             texts, leaders, stage = texts_of(docs, written(buckets.select(F.col("doc").alias("doc_id")).distinct(), "ids")), MORE, "sharp"
-            buckets = crowded(written(sharp_bands(texts, idf), "bands"))
+            buckets = mixed(sharp_bands(texts, idf), labels)
     return labels
 
 

@@ -246,6 +246,26 @@ def test_near_dedup(spark, texts):
     assert near_dedup.clean(table(spark, rows)).count() == len({root(k) for k in range(len(rows))})
 
 
+def test_near_dedup_star(spark):
+    """Copies that are alike only through their original, whose id is neither the least nor the greatest."""
+    rng = random.Random(17)
+    original = ["w%d" % rng.randrange(10**6) for _ in range(200)]
+    rows = []
+    for k in range(101):
+        x = list(original)
+        for at in rng.sample(range(5, 195, 5), 4) if k != 50 else ():
+            x[at] = "edit%d" % (1000 * k + at)
+        rows.append(" ".join(x))
+
+    def jaccard(a, b):
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (rows[a].split(), rows[b].split()))
+        return len(x & y) / len(x | y)
+
+    assert all(jaccard(50, k) >= 0.8 for k in range(101))
+    assert all(jaccard(a, b) < 0.8 for a in range(101) for b in range(a) if 50 not in (a, b))
+    assert {r.class_id for r in near_dedup.classes(table(spark, rows)).collect()} == {0}
+
+
 def test_weighted_sampling_agrees_with_similarity():
     import numpy as np
 
