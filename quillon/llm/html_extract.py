@@ -10,9 +10,10 @@
    the text of varying slots.  Navigation, notices, adverts, forms, comments and the like are
    left out by element, role and class; outside an explicit article so is constant text.
 
-The tree of a host has at most MAX_NODES nodes, whatever its number of pages, so partial
-trees meet in small groups and a host with a third of all pages is no hot spot; a page node
-that isn't in the tree counts as varying.
+A partial tree that reaches MAX_NODES nodes is passed on and a further one takes the next
+pages, so every node of every layout is counted; the wrapper holds the nodes that stood on
+LEAST_PAGES pages, and a page node that isn't in it counts as varying.  Numbers in the classes
+of html, body, article and main are alike, as they often number the page.
 
 Defined cases: null or empty html gives an empty text; unclosed or stray tags are repaired as
 browsers do for paragraphs, list items and cells; a page without a host, or alone on its
@@ -86,7 +87,10 @@ def element(tag: str, raw: str, within: bool) -> Node:
         skip = bool(name and HINTS.search(name)) or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(HIDDEN.search(a.get("style", "")))
     elif tag == "article" and name and re.search(r"(?:^|[\s_-])(?:comments?|reply|ad|ads|advert\w*|promo\w*|sponsor\w*|related)(?:$|[\s_-])", name, re.I):
         skip = True
-    return Node(tag, f"{tag}.{a['class']}" if a.get("class") else tag, skip)
+    kind = a.get("class", "")
+    if tag in ("html", "body", "article", "main"):
+        kind = re.sub(r"\d+", "0", kind)
+    return Node(tag, f"{tag}.{kind}" if kind else tag, skip)
 
 
 def parse(page: str) -> Node:
@@ -187,6 +191,9 @@ def matching(a: list[Slot], b: list[Slot], memo: dict) -> list[tuple[int, int]]:
     """Pairs of children by simple tree matching."""
     if len(a) == len(b) and all(x.shape == y.shape for x, y in zip(a, b, strict=True)):
         return [(i, i) for i in range(len(a))]
+    common = {x.shape for x in a} & {y.shape for y in b}
+    of_a, of_b = [i for i, x in enumerate(a) if x.shape in common], [j for j, y in enumerate(b) if y.shape in common]
+    a, b = [a[i] for i in of_a], [b[j] for j in of_b]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n):
@@ -200,7 +207,7 @@ def matching(a: list[Slot], b: list[Slot], memo: dict) -> list[tuple[int, int]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            out.append((i, j))
+            out.append((of_a[i], of_b[j]))
     return out[::-1]
 
 
@@ -215,7 +222,7 @@ def size(a: Slot, b: Slot, memo: dict) -> int:
 
 
 def overlay(a: Slot, b: Slot, room: list[int], memo: dict | None = None) -> None:
-    """Lay b over a; what has no counterpart is inserted while there is room."""
+    """Lay b over a; what has no counterpart is inserted and taken from the room, which may end below zero."""
     memo = {} if memo is None else memo
     a.varies |= b.varies or a.text != b.text
     a.pages += b.pages
@@ -228,15 +235,15 @@ def overlay(a: Slot, b: Slot, room: list[int], memo: dict | None = None) -> None
             i = to[j] + 1
             overlay(a.children[to[j]], y, room, memo)
             merged.append(a.children[to[j]])
-        elif room[0] >= (n := y.count()):
-            room[0] -= n
+        else:
+            room[0] -= y.count()
             merged.append(y)
     a.children = merged + a.children[i:]
 
 
 def flagged(s: Slot) -> list:
-    """A wrapper: shape and whether the node is template, nested."""
-    return [s.shape, int(s.pages >= LEAST_PAGES and not s.varies and s.text != ""), [flagged(c) for c in s.children]]
+    """A wrapper: shape and whether the node is template, nested, without what stood on too few pages for template."""
+    return [s.shape, int(s.pages >= LEAST_PAGES and not s.varies and s.text != ""), [flagged(c) for c in s.children if c.pages >= LEAST_PAGES]]
 
 
 def _slots(x: list) -> Slot:
@@ -334,9 +341,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[Slot, list[int]]] = {}
 
-        def out() -> pa.RecordBatch:
-            r = pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([json.dumps(s.dump()) for s, _ in held.values()], pa.string())], names=["host", "tree"])
-            held.clear()
+        def out(trees: dict[str, tuple[Slot, list[int]]]) -> pa.RecordBatch:
+            r = pa.RecordBatch.from_arrays([pa.array(trees, pa.string()), pa.array([json.dumps(s.dump()) for s, _ in trees.values()], pa.string())], names=["host", "tree"])
+            trees.clear()
             return r
 
         for batch in batches:
@@ -346,19 +353,21 @@ def wrappers(pages: DataFrame) -> DataFrame:
                     overlay(held[host][0], s, held[host][1])
                 else:
                     held[host] = s, [MAX_NODES - s.count()]
+                if held[host][1][0] < 0:
+                    yield out({host: held.pop(host)})
             if len(held) > HELD:
-                yield out()
+                yield out(held)
         if held:
-            yield out()
+            yield out(held)
 
     def unite(key: tuple, table: pa.Table) -> pa.Table:
-        first, room = None, [0]
+        first = None
         for x in table.column("tree"):
             s = Slot.load(json.loads(x.as_py()))
             if first is None:
-                first, room = s, [MAX_NODES - s.count()]
+                first = s
             else:
-                overlay(first, s, room)
+                overlay(first, s, [0])
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(flagged(first))], pa.string())})
 
     keyed = pages.where((F.col("host") != "") & (F.length("html") > 0)).select("host", "html")

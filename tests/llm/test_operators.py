@@ -319,6 +319,18 @@ def test_html(spark):
     assert sorted(got[14]) == ["unclosed bold end", "yes"]
 
 
+def test_html_many_layouts(spark):
+    """A layout that comes after pages of ever new classes, and pages with their number in body's class."""
+    rng = random.Random(6)
+    rows = [page("New", "".join(f"<div class=x{k}y{n}><p class=z{k}y{n}>{prose(rng, 3)}</p></div>" for n in range(40)), k=k) for k in range(30)]
+    rows = [(k, url, html.replace("<body>", f"<body class=slug-{chr(97 + k)}>")) for k, url, html in rows]
+    rows += [page("Home", f"<section><p>{prose(rng, 60)}</p></section><table><tr><td>{prose(rng, 60)}</td></tr></table>", k=k) for k in range(30, 36)]
+    numbered = [page("Home", f"<section><p>{prose(rng, 60)}</p></section><table><tr><td>{prose(rng, 60)}</td></tr></table>", host="n.example.com", k=k) for k in range(40, 46)]
+    rows += [(k, url, html.replace("<body>", f"<body class=postid-{k}>")) for k, url, html in numbered]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert all("Home" not in got[k] and "reserved" not in got[k] and len(got[k]) > 100 for k in [*range(30, 36), *range(40, 46)])
+
+
 def test_tree_matching():
     S = html_extract.Slot
     a = S("div", children=[S("p"), S("ul", children=[S("li")]), S("p")])
