@@ -111,6 +111,7 @@ def found(index: Index, w: tk.Words) -> tuple[np.ndarray, list[tuple[int, int]]]
 
 
 def _pass(docs: DataFrame, items: list[tuple[str, str | None]]) -> DataFrame:
+    """The hits of one block of the benchmark, with a digest of each row's text."""
     block = docs.sparkSession.sparkContext.broadcast(Index(items))
 
     @tidy("decontaminate")
@@ -127,9 +128,10 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]]) -> DataFrame:
                 at = np.flatnonzero(hit)
                 lens = np.diff(np.searchsorted(at, w.first))
                 spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(at - w.first[:-1][np.repeat(np.arange(hi - lo), lens)], pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(w.first), pa.int64()), spans, pa.array([of.get(r, []) for r in range(hi - lo)], pa.list_(pa.string()))], names=["doc_id", "n_words", "hit_words", "items"])
+                digest = [hashlib.blake2b(data[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest() for i in range(lo, hi)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(w.first), pa.int64()), spans, pa.array([list(dict.fromkeys(of.get(r, []))) for r in range(hi - lo)], pa.list_(pa.string())), pa.array(digest, pa.binary())], names=["doc_id", "n_words", "hit_words", "items", "digest"])
 
-    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{SCHEMA}, digest binary")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -138,7 +140,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // block_bytes
     if n == 1:
-        return _pass(docs, [tuple(r) for r in items.collect()])
+        return _pass(docs, [tuple(r) for r in items.collect()]).drop("digest")
     parts = []
     for k in range(n):
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]
@@ -146,7 +148,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.flatten(F.collect_list("items")).alias("items"))
+    # Equal rows have equal hits, so they are united once and then given back as often as they came in each block.
+    whole = out.groupBy("doc_id", "digest").agg(
+        (F.count(F.lit(1)) / n).cast("int").alias("copies"), F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit_words")))).alias("hit_words"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+    )
+    return whole.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc_id", "n_words", "hit_words", "items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

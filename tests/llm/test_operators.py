@@ -152,6 +152,16 @@ def test_decontamination(spark, texts):
     assert kept == {r[0] for r in want if not r[5]}
 
 
+def test_decontamination_repeated_ids(spark):
+    """Repeated rows, and rows of one id with different texts, give a row each whatever the number of blocks."""
+    items = [(k, f"item {k} has its own words") for k in range(20)] + [(1, "item 2 has its own words")]
+    rows = [(1, items[0][1]), (1, items[0][1]), (1, f"{items[1][1]} {items[2][1]}"), (2, "clean"), (2, None), (2, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted((r.doc_id, r.n_words, tuple(r.hit_words), tuple(sorted(r["items"]))) for r in decontaminate.hits(docs, bench, size).collect()) for size in (decontaminate.BLOCK_BYTES, 200)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert all(len(r[3]) == len(set(r[3])) for r in got[0])
+
+
 def fuzz():
     rng = random.Random(2)
     pool = ["a", "b", " ", "  ", "\n", "\t", "é", "ß", "1", "23", "'s", "'ll", "!", "...", "\xa0", " ", "\x1c", "\x85", "漢字", "😀", "aaaa", "<|endoftext|>", "\r\n", "the", "ING", "\x00"]
