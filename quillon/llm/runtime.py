@@ -11,15 +11,18 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one is set only where it is unset."""
+    """The folder that the cluster names for checkpoints; a folder of this machine is set only where none is, and only for a local master."""
     held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if held is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         held = tempfile.mkdtemp(prefix="checkpoints-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(held)
@@ -44,6 +47,50 @@ def removed(spark: SparkSession, folders: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables of one call in the shared folder, which go when the call ends.  files: of a table that is far smaller than its shuffle is wide."""
+
+    def __init__(self, spark: SparkSession, files: int):
+        self.spark, self.files = spark, files
+        self.made: list[str] = []
+
+    def written(self, df: DataFrame, name: str, few: bool = True, keep: bool = False) -> DataFrame:
+        """few: a small table.  keep: it outlives the call."""
+        return written(df.coalesce(self.files) if few else df, name, None if keep else self.made)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        removed(self.spark, self.made)
+
+
+#: Groups of one level of a merge that one of the next takes.
+FAN = 64
+
+
+def tree(pieces: DataFrame, merge: Callable[[pa.Table], tuple], groups: int) -> DataFrame:
+    """One row for each `part`, from pieces of it merged level by level.
+
+    pieces: `part` and the columns of which merge(table) makes one row again.  groups: of each part
+    at the first level, in proportion to the input, so that no task reads more than its share.
+    """
+    names, schema = pieces.columns[1:], pieces.schema
+    groups = max(1, int(groups))
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        made = merge(table)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), **{n: pa.array([x], table.schema.field(n).type) for n, x in zip(names, made, strict=True)}, "slot": pa.array([key[1].as_py()], pa.int32())})
+
+    out = pieces.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    while True:
+        out = out.groupBy("part", "slot").applyInArrow(one, T.StructType([*schema.fields, T.StructField("slot", T.IntegerType())]))
+        if groups == 1:
+            return out.drop("slot")
+        groups = -(-groups // FAN)
+        out = out.withColumn("slot", F.pmod("slot", F.lit(groups)))
+
+
 def short_batches(df: DataFrame) -> DataFrame:
     """The frame, with Arrow batches of BATCH_ROWS rows in its session unless another number was set: a row is a whole text here, and Spark's 10,000 of them fill memory on both sides."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

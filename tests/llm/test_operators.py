@@ -222,25 +222,21 @@ def test_chat_layouts(spark):
         chat_format.canonical(spark.createDataFrame([(1,)], "n int"))
 
 
-def test_near_dedup(spark, texts):
-    rng = random.Random(9)
-    base = [prose(rng, 200, 2000).split() for _ in range(4)]
-    rows = list(texts)
-    for b in base:
-        rows.append(" ".join(b))
-        for _ in range(6):
-            x = list(b)
-            for _ in range(3):
-                x[rng.randrange(len(x))] = "edit%d" % rng.randrange(10**6)
-            rows.append(" ".join(x))
-    got = {r.doc_id: r.class_id for r in near_dedup.classes(table(spark, rows)).collect()}
+def edited(rng, words, n, mark):
+    x = list(words)
+    for at in rng.sample(range(len(x)), n):
+        x[at] = f"edit{mark}x{at}"
+    return " ".join(x)
+
+
+def plain_classes(rows):
+    """Classes by five-word shingles and plain Jaccard similarity, with Python sets."""
 
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
-    sets = [shingles(t) for t in rows]
-    parent = list(range(len(rows)))
+    sets, parent = [shingles(t) for t in rows], list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
@@ -249,11 +245,28 @@ def test_near_dedup(spark, texts):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if root(a) != root(b) and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    assert got == {k: root(k) for k in range(len(rows))}
-    assert near_dedup.clean(table(spark, rows)).count() == len({root(k) for k in range(len(rows))})
+    return {k: root(k) for k in range(len(rows))}
+
+
+def class_of(spark, rows):
+    return {r.doc_id: r.class_id for r in near_dedup.classes(table(spark, rows)).collect()}
+
+
+def test_near_dedup(spark, texts):
+    rng = random.Random(9)
+    rows = list(texts)
+    for _ in range(4):
+        b = prose(rng, 200, 2000).split()
+        rows += [" ".join(b)] + [edited(rng, b, 3, f"{len(rows)}y{k}") for k in range(6)]
+    want = near_dedup.brute(rows)
+    plain = plain_classes(rows)
+    assert all(want[k] == want[plain[k]] for k in plain)
+    assert class_of(spark, rows) == dict(enumerate(want))
+    kept = near_dedup.clean(table(spark, rows))
+    assert kept.columns == table(spark, rows).columns and {r.doc_id for r in kept.collect()} == set(want)
 
 
 def test_near_dedup_star(spark):
@@ -266,14 +279,48 @@ def test_near_dedup_star(spark):
         for at in rng.sample(range(5, 195, 5), 4) if k != 50 else ():
             x[at] = "edit%d" % (1000 * k + at)
         rows.append(" ".join(x))
-
-    def jaccard(a, b):
-        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (rows[a].split(), rows[b].split()))
-        return len(x & y) / len(x | y)
-
-    assert all(jaccard(50, k) >= 0.8 for k in range(101))
-    assert all(jaccard(a, b) < 0.8 for a in range(101) for b in range(a) if 50 not in (a, b))
-    assert {r.class_id for r in near_dedup.classes(table(spark, rows)).collect()} == {0}
+    plain = plain_classes(rows)
+    assert set(plain.values()) == {0} and len(set(plain_classes(rows[:50]).values())) == 50
+    assert set(class_of(spark, rows).values()) == {0}
+
+
+def test_near_dedup_fringe(spark):
+    """A hot group of copies, and copies of single copies that only those reach."""
+    rng = random.Random(23)
+    original = ["w%d" % rng.randrange(10**6) for _ in range(400)]
+    group = [edited(rng, original, 3, f"a{k}") for k in range(300)]
+    fringe = [edited(rng, group[rng.randrange(300)].split(), 6, f"b{k}") for k in range(20)]
+    rows = [original and " ".join(original), *group, *fringe]
+    assert set(class_of(spark, rows).values()) == {0}
+
+
+def test_near_dedup_family_under_the_threshold(spark, monkeypatch):
+    """Texts of one template that are under 0.8 to each other stay apart; two that are over it meet, in a bucket of several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 60)
+    rng = random.Random(29)
+    template = ["t%d" % k for k in range(300)]
+    rows = [edited(rng, template, 10, f"c{k}") for k in range(150)]
+    rows += [edited(rng, rows[k].split(), 2, f"d{k}") for k in (3, 70, 149)]
+    got, plain = class_of(spark, rows), plain_classes(rows)
+    assert got[150] == 3 and got[151] == 70 and got[152] == 149 and all(got[k] == got[plain[k]] for k in plain)
+    assert got == dict(enumerate(near_dedup.brute(rows)))
+
+
+def test_near_dedup_on_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    want = near_dedup.brute([r.text for r in rows])
+    got = {r.doc_id: r.class_id for r in near_dedup.query(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {r.doc_id: rows[c].doc_id for r, c in zip(rows, want, strict=True)}
+
+
+def test_near_dedup_odd_ids(spark):
+    """No id, one id with several texts, one id with one text twice."""
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 100, 3000) for _ in range(3))
+    rows = [(None, a), (None, None), (1, a), (2, b), (2, a), (3, b), (4, c), (4, c), (5, None)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {None: None, 1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert near_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).count() == 6
 
 
 def test_weighted_sampling_agrees_with_similarity():
@@ -288,8 +335,8 @@ def test_weighted_sampling_agrees_with_similarity():
         b = np.sort(ids[pick | (rng.random(len(ids)) < 0.01)])
         wa, wb = np.full(len(a), 1.0) + (a % 3 == 0), np.full(len(b), 1.0) + (b % 3 == 0)
         want.append(near_dedup.similarity((a, wa), (b, wb)))
-        sa = near_dedup.sample(a, np.log(wa).astype(np.float32), np.array([0, len(a)]))
-        sb = near_dedup.sample(b, np.log(wb).astype(np.float32), np.array([0, len(b)]))
+        sa = near_dedup.sample(a, np.log(wa).astype(np.float32), np.array([0, len(a)]))[0]
+        sb = near_dedup.sample(b, np.log(wb).astype(np.float32), np.array([0, len(b)]))[0]
         hits += int((sa == sb).sum())
     assert abs(hits / (300 * near_dedup.SAMPLES) - np.mean(want)) < 0.02
 
