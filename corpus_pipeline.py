@@ -15,7 +15,7 @@ from quillon.llm.runtime import documents, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: those that are null or have no letter."""
+    """Documents in no learned language go: null ones, those without a letter, and those that no language's text can parse in phrases of some length."""
     return language_id.clean(docs)
 
 

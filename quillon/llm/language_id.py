@@ -6,15 +6,17 @@ needs the fewest phrases per byte wins.  A phrase starts at the automaton's root
 parse is one table lookup a byte: a missing transition ends a phrase and starts the next.
 Many pieces of texts are parsed in step with array operations.
 
-The labelled sample has at most SAMPLE_DOCS documents a language, chosen by a hash of their
-ids, and SAMPLE_BYTES bytes of them: a bound that holds at every corpus size, and with it the
-size of what is broadcast (MAX_LANGUAGES tables of a few MB; that many distinct labels at
-most, by count of documents).  Whole texts are parsed: they are cut into pieces of PIECE
+The labelled sample is a bounded one: of each language at most SAMPLE_DOCS documents, chosen by a
+hash of their ids, of each one piece of at most PIECE_CHARS characters from a place that the same
+hash chooses, and of all pieces SAMPLE_BYTES bytes.  Every label is learned; with more than
+TOTAL_BYTES / SAMPLE_BYTES labels each gets an equal share of TOTAL_BYTES, which bounds what is
+broadcast (some 500 bytes of tables for a byte of sample).  Whole texts are parsed: they are cut into pieces of PIECE
 bytes only to run side by side, which costs a phrase a piece in every language alike.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with nothing
-labelled everything is `und`; ties go to the language with more labelled documents; repeated rows and
-ids each give a row; further columns are ignored by `predict` and kept by `clean`.
+labelled everything is `und`; ties go to the language with more labelled documents; repeated rows
+and ids each give a row, rows without an id too; an empty table gives no rows; labels of any length
+are labels; further columns, whatever their names, are ignored by `predict` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +34,9 @@ from quillon.llm import textkit as tk
 from quillon.llm.runtime import documents, short_batches, tidy
 
 UND = "und"
-SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 200, 24_000, 64
+SAMPLE_DOCS, SAMPLE_BYTES, PIECE_CHARS, TOTAL_BYTES = 200, 24_000, 500, 64 * 24_000
+#: Phrases a byte, in texts of LEAST_BYTES or more, beyond which a text is in none of the learned languages.
+MOST_PHRASES, LEAST_BYTES = 0.6, 32
 PIECE, BATCH_BYTES = 1024, 8 << 20
 SPACE = 0
 
@@ -140,24 +145,24 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Automata of a bounded sample of the labelled rows of each language."""
-    rows = labelled(docs)
-    count = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    rows = labelled(docs).select("lang", "doc_id", "text", F.xxhash64("doc_id", F.lit("sample")).alias("draw"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    count = {r[0]: r[1] for r in counts.collect()}
     if not count:
         return Model([], [])
-    share: Column = F.lit(0.0)
-    for lang, n in count.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / 2 / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(draw < share).select("lang", "doc_id", F.substring("text", 1, sample_bytes).alias("text"), draw.alias("draw"))
+    room_each = max(1, min(sample_bytes, TOTAL_BYTES // len(count)))
+    # About half as many as may be, by the hash, and so a language of few documents gives all.
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, min(1.0, sample_docs / 2 / n))]), F.col("lang"))
+    start = F.pmod(F.col("draw"), F.greatest(F.lit(1), F.length("text") - PIECE_CHARS)).cast("int") + 1
+    picked = rows.where(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < share).select("lang", "doc_id", F.substring(F.col("text"), start, F.lit(PIECE_CHARS)).alias("text"), "draw")
     texts: dict[str, list[tuple]] = {}
     for r in picked.toLocalIterator():
-        texts.setdefault(r.lang, []).append((r.draw, r.doc_id, r.text))
+        texts.setdefault(r.lang, []).append((r.draw, r.text))
     names, automata = [], []
     for lang in [x for x in count if x in texts]:
-        held, room = [], sample_bytes
-        each = max(500, sample_bytes // sample_docs * 4)
-        for _, _, t in sorted(texts[lang])[:sample_docs]:
-            raw = CLASS[np.frombuffer(t.encode()[: min(each, room)], np.uint8)]
+        held, room = [], room_each
+        for _, t in sorted(texts[lang])[:sample_docs]:
+            raw = CLASS[np.frombuffer(t.encode()[:room], np.uint8)]
             raw = np.append(raw[np.append(True, (raw[1:] != SPACE) | (raw[:-1] != SPACE))] if len(raw) else raw, np.uint8(SPACE))
             held.append(raw)
             room -= len(raw)
@@ -173,37 +178,62 @@ def lettered(text: Column) -> Column:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score: the share of the runner-up's phrases in both, from 1/2 for a tie to 1."""
+    """doc_id, lang_pred, score (the share of the runner-up's phrases in both, from 1/2 for a tie to 1) and phrases, the winner's a byte."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @tidy("language_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        names = np.array([*m.names, UND], object)
         for batch in batches:
-            data, bounds = tk.buffers(batch.column(1))
-            good = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi in tk.slices(bounds, BATCH_BYTES):
-                best = np.full(hi - lo, len(m.names))
-                score = np.zeros(hi - lo)
-                if m.names:
-                    cost = m.cost(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-                    best = np.where(good[lo:hi], cost.argmin(axis=1), best)
-                    two = np.sort(np.column_stack((cost, np.full(hi - lo, np.inf))), axis=1)[:, :2]
-                    both = two[:, 0] + two[:, 1]
-                    score = np.where(good[lo:hi], np.where(np.isinf(both), 1.0, two[:, 1] / np.where(both > 0, both, 1)), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
-
-    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", lettered(F.col("text")).alias("good")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+            for lo, hi, lang, score, phrases in judged(held.value, batch.column(1), batch.column(2)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lang, pa.array(score), pa.array(phrases)], names=["doc_id", "lang_pred", "score", "phrases"])
+
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", lettered(F.col("text")).alias("good")).mapInArrow(run, "doc_id long, lang_pred string, score double, phrases double")
+
+
+def judged(m: Model, texts: pa.Array, good: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+    """Row range, language, score and phrases a byte of the texts, some at a time.  good: which have a letter."""
+    names = np.array([*m.names, UND], object)
+    data, bounds = tk.buffers(texts)
+    good = good.to_numpy(zero_copy_only=False).astype(bool)
+    for lo, hi in tk.slices(bounds, BATCH_BYTES):
+        best = np.full(hi - lo, len(m.names))
+        score, phrases = np.zeros(hi - lo), np.zeros(hi - lo)
+        if m.names:
+            cost = m.cost(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+            best = np.where(good[lo:hi], cost.argmin(axis=1), best)
+            two = np.sort(np.column_stack((cost, np.full(hi - lo, np.inf))), axis=1)[:, :2]
+            both = two[:, 0] + two[:, 1]
+            score = np.where(good[lo:hi], np.where(np.isinf(both), 1.0, two[:, 1] / np.where(both > 0, both, 1)), 0.0)
+            phrases = two[:, 0]
+        yield lo, hi, pa.array(names[best], pa.string()), score, phrases
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents that have a language: those with a letter, if a language was learned; all columns stay."""
-    bad = predict(docs, train(docs)).where(F.col("lang_pred") == UND).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """The documents that are in a learned language, with all columns; where `lang` is null it is the predicted one.
+
+    Rejected are texts without a letter, and texts whose best parse needs more than MOST_PHRASES phrases
+    a byte: nothing was learned of what they are written in.  The rows are judged where they are read.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(train(docs))
+    flag = next(f"_good{k}" for k in range(len(docs.columns) + 1) if f"_good{k}" not in docs.columns)
+    names = docs.columns
+    at, lang = names.index("text"), names.index("lang")
+
+    @tidy("language_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(tk.buffers(batch.column(at))[1])
+            for lo, hi, name, _, phrases in judged(held.value, batch.column(at), batch.column(batch.num_columns - 1)):
+                keep = (name.to_numpy(zero_copy_only=False) != UND) & ((phrases <= MOST_PHRASES) | (size[lo:hi] < LEAST_BYTES))
+                part = batch.slice(lo, hi - lo)
+                columns = part.columns[:-1]
+                columns[lang] = pc.coalesce(columns[lang], name.cast(columns[lang].type))
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    return short_batches(docs).withColumn(flag, lettered(F.col("text"))).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
-    return predict(docs, train(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return predict(docs, train(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "phrases")

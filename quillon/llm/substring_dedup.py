@@ -3,22 +3,24 @@
 1. Sketch.  Each window gets a cell by a hash of its content: the least hash among its
    GRAM-word pieces, so that neighbouring windows mostly share a cell and one entry stands
    for the run.  Every partition counts the documents of each of its cells; the partition
-   sketches are merged by cell range.  A cell's count is never under the number of
+   sketches are merged by cell range, in a tree.  A cell's count is never under the number of
    documents that hold the window, so windows whose cell counts one document are unique.
    Only one bit a cell (two documents or more) comes back; the sketch has at most
    MAX_CELLS cells, 128 MB of bits.  More text than that serves only weakens the filter.
 2. Exact grouping.  Documents are dealt to buckets.  A bucket names each window estimated
-   as repeated once, with its least document (so copies collapse before the shuffle), by a
-   96-bit hash; the names are dealt by hash range, where the least document of all buckets
-   is found.  Answers of one bit a name go back to the bucket.
+   as repeated once, with its least document (so copies collapse before the shuffle), by two
+   64-bit hashes that start from different hashes of its words; the names are dealt by hash
+   range, in proportion to the buckets, where the least document of all buckets is found.  Answers of one bit a name go back to the bucket.
 3. The bucket finds its windows again, marks those whose first document is smaller, and
    takes the covered words out.
 
 A window's name is dealt once per bucket, however many documents hold it, so a group of
 copies never meets in one task.  Every step is deterministic, so a lost task can run again.
 
-Defined cases: null or empty texts have no words; ids that repeat count as one document;
-a document of fewer than WINDOW words loses nothing; further columns are ignored.
+Defined cases: null or empty texts have no words; ids that repeat count as one document, and each
+of their rows gives a row; rows without an id go by the id 0; a document of fewer than WINDOW words
+loses nothing; an empty table gives no rows; texts of any length are read whole; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textkit as tk
-from quillon.llm.runtime import documents, input_bytes, tidy
+from quillon.llm.runtime import documents, input_bytes, tidy, tree
 
 WINDOW, GRAM = 50, 10
 #: Most cells of the merged sketch (one bit of each is broadcast).
@@ -41,7 +43,8 @@ CELLS_A_BYTE = 0.25
 BUCKET_BYTES = 6 << 20
 #: Entries that a task holds before it writes its partial sketch.
 FLUSH = 4 << 20
-H2 = 0x2545F4914F6CDD1D
+#: Input bytes for each group of the first level of the sketch's merge.
+MERGE_INPUT = 1 << 30
 
 ACCEPT = np.ones(256, bool)
 ACCEPT[[0x20, *range(0x09, 0x0E)]] = False
@@ -61,7 +64,7 @@ def cells(w: tk.Words, bits: int, window: int, gram: int) -> tuple[np.ndarray, n
     return at, tk.mix(least[at]) >> tk.U64(64 - bits)
 
 
-def sketch(docs: DataFrame, bits: int, window: int, gram: int) -> bytes:
+def sketch(docs: DataFrame, bits: int, window: int, gram: int, groups: int = 1) -> bytes:
     """One bit a cell: whether the merged count is two documents or more."""
     part_bits = min(bits - 3, max(8, bits - 20))
     inner = bits - part_bits
@@ -94,13 +97,23 @@ def sketch(docs: DataFrame, bits: int, window: int, gram: int) -> bytes:
         if held:
             yield flush()
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
+    def merge(table: pa.Table) -> tuple:
         total = np.zeros(1 << inner, np.int64)
         for c, n in zip(table.column("cell"), table.column("n"), strict=True):
             total[np.frombuffer(c.as_py(), np.uint32)] += np.frombuffer(n.as_py(), np.uint8)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(total > 1).tobytes()], pa.binary())})
+        some = np.flatnonzero(total)
+        return some.astype(np.uint32).tobytes(), np.minimum(total[some], 255).astype(np.uint8).tobytes()
 
-    parts = docs.select("text").mapInArrow(count, "part int, cell binary, n binary").groupBy("part").applyInArrow(merge, "part int, bits binary")
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for c, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                often = np.zeros(1 << inner, bool)
+                often[np.frombuffer(c, np.uint32)] = np.frombuffer(n, np.uint8) > 1
+                out.append(np.packbits(often).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["part", "bits"])
+
+    parts = tree(docs.select("text").mapInArrow(count, "part int, cell binary, n binary"), merge, groups).mapInArrow(known, "part int, bits binary")
     out, each = np.zeros(1 << (bits - 3), np.uint8), 1 << (inner - 3)
     for part, got in parts.toLocalIterator(prefetchPartitions=True) if bits > 28 else parts.collect():
         out[part * each : (part + 1) * each] = np.frombuffer(got, np.uint8)
@@ -112,7 +125,8 @@ class Candidates:
 
     def __init__(self, table: pa.Table, bits: int, held: bytes, window: int, gram: int):
         table = table.combine_chunks()
-        self.ids = table.column("doc_id").to_numpy()
+        self.names = table.column("doc_id")
+        self.ids = self.names.fill_null(0).to_numpy()
         self.data, self.bounds = tk.buffers(table.column("text"))
         known = np.frombuffer(held, np.uint8)
         self.found: list[tuple[int, int, np.ndarray]] = []
@@ -123,11 +137,10 @@ class Candidates:
             at = at[(known[cell >> tk.U64(3)] << (cell & tk.U64(7)).astype(np.uint8)) & 128 > 0]
             self.found.append((lo, hi, at))
             if len(at):
-                g = tk.grams(w, window)[at]
-                h1.append(g)
-                h2.append((tk.grams(w, window, H2)[at] >> tk.U64(32)).astype(np.uint32))
+                h1.append(tk.grams(w, window)[at])
+                h2.append(tk.grams(w, window, True)[at])
                 doc.append(self.ids[lo:hi][w.row[at]])
-        self.h1, self.h2, self.doc = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h1, np.uint64), (h2, np.uint32), (doc, np.int64)))
+        self.h1, self.h2, self.doc = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h1, np.uint64), (h2, np.uint64), (doc, np.int64)))
         self.order, self.group, self.lead = grouped(self.h1, self.h2, self.doc)
 
 
@@ -144,8 +157,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells_a_byt
     """Per document: its words, how many are repeated from smaller ids, and the text without them."""
     spark = docs.sparkSession
     bits, n_buckets = sizes(docs, cells_a_byte, bucket_bytes)
-    slice_bits = max(6, min(12, (n_buckets - 1).bit_length()))
-    known = spark.sparkContext.broadcast(sketch(docs, bits, window, gram))
+    slice_bits = max(6, (n_buckets - 1).bit_length())
+    known = spark.sparkContext.broadcast(sketch(docs, bits, window, gram, n_buckets * bucket_bytes // MERGE_INPUT))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int").alias("bucket"))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
@@ -162,7 +175,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells_a_byt
         })
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        cols = [[np.frombuffer(x.as_py(), t) for x in table.column(n)] for n, t in (("h1", np.uint64), ("h2", np.uint32))]
+        cols = [[np.frombuffer(x.as_py(), t) for x in table.column(n)] for n, t in (("h1", np.uint64), ("h2", np.uint64))]
         docs_of = [tk.unplanes(x.as_py(), np.int64) for x in table.column("doc")]
         doc = np.concatenate(docs_of)
         order, group, lead = grouped(np.concatenate(cols[0]), np.concatenate(cols[1]), doc)
@@ -183,7 +196,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells_a_byt
             w = tk.words(c.data, c.bounds, lo, hi, ACCEPT)
             gone = tk.covered(len(w.hash), at[flag[done : done + len(at)]], window)
             done += len(at)
-            out.append(pa.table({"doc_id": pa.array(c.ids[lo:hi]), "n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(np.diff(np.concatenate(([0], np.cumsum(gone)))[w.first]), pa.int64()), "kept": kept(w, ~gone)}))
+            out.append(pa.table({"doc_id": c.names.slice(lo, hi - lo), "n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(np.diff(np.concatenate(([0], np.cumsum(gone)))[w.first]), pa.int64()), "kept": kept(w, ~gone)}))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
 
     n = max(n_buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -4,14 +4,17 @@ Everything here works on the raw UTF-8 buffer of an Arrow batch, so that no Pyth
 is made per row or per word.  A word is a maximal run of bytes that a 256-entry table
 accepts; a run never crosses a row.  Hashes are polynomial over the ring of 64-bit
 integers with an odd base, whose powers can be inverted, so the hash of any range follows
-from two prefix sums.
+from two prefix sums.  Such hashes are weak for long runs of few letters (words of the Thue-Morse
+kind collide from 1,024 letters on), so words over LONG_WORD bytes are hashed by a digest.
+`Words.second` is a further hash of each word, of other values and another base.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,9 @@ import pyarrow as pa
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
+BASE_2, WORD_BASE_2 = 0xC2B2AE3D27D4EB4F | 1, 0x165667B19E3779F9 | 1
+#: Bytes of a word from which on it is hashed by a digest.
+LONG_WORD = 64
 #: Bytes of text that are hashed at a time: a few 8-byte arrays of this length are alive.
 SLICE_BYTES = 1 << 20
 
@@ -56,9 +62,24 @@ def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-@lru_cache(maxsize=1)
-def byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
+@lru_cache(maxsize=2)
+def byte_values(second: bool = False) -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=U64) * U64(0xE7037ED1A0B428DB if second else 0xA0761D6478BD642F))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    n = len(data)
+    up, back = powers(BASE_2 if second else BASE, n + 1)
+    values = byte_values(second) if fold is None else byte_values(second)[fold]
+    prefix = np.zeros(n + 1, U64)
+    np.cumsum(values[data] * up[:n], out=prefix[1:])
+    out = mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(U64))
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        raw = data[start[k] : end[k]]
+        digest = blake2b((raw if fold is None else fold[raw].astype(np.uint8)).tobytes(), digest_size=16).digest()
+        out[k] = int.from_bytes(digest[8:] if second else digest[:8], "little")
+    return out
 
 
 @dataclass
@@ -71,6 +92,11 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    fold: np.ndarray | None = None
+
+    @cached_property
+    def second(self) -> np.ndarray:
+        return word_hashes(self.data, self.start, self.end, self.fold, True)
 
     @property
     def row(self) -> np.ndarray:
@@ -125,24 +151,18 @@ def words(data: np.ndarray, bounds: np.ndarray, lo: int, hi: int, accept: np.nda
         after[:-1] = inside[1:]
     after &= ~edge[1:]
     end = np.flatnonzero(inside & ~after) + 1
-    up, back = powers(BASE, n + 1)
-    values = byte_values() if fold is None else byte_values()[fold]
-    prefix = np.zeros(n + 1, U64)
-    np.cumsum(values[data] * up[:n], out=prefix[1:])
-    hashed = (prefix[end] - prefix[start]) * back[start]
-    first = np.searchsorted(start, bounds)
-    return Words(data, bounds, start, end, first, mix(hashed + (end - start).astype(U64)))
+    return Words(data, bounds, start, end, np.searchsorted(start, bounds), word_hashes(data, start, end, fold), fold)
 
 
-def grams(w: Words, size: int, seed: int = 0) -> np.ndarray:
-    """Hash of the `size` words from each word on; junk where they cross a row's end."""
+def grams(w: Words, size: int, second: bool = False) -> np.ndarray:
+    """Hash of the `size` words from each word on; junk where they cross a row's end.  second: from the second hashes, with another base."""
     n = len(w.hash)
     if n < size:
         return np.zeros(0, U64)
-    up, back = powers(WORD_BASE, n + 1)
+    up, back = powers(WORD_BASE_2 if second else WORD_BASE, n + 1)
     prefix = np.zeros(n + 1, U64)
-    np.cumsum((w.hash ^ U64(seed)) * up[:n] if not seed else mix(w.hash ^ U64(seed)) * up[:n], out=prefix[1:])
-    return mix((prefix[size:] - prefix[: n - size + 1]) * back[: n - size + 1] + U64(seed))
+    np.cumsum((w.second if second else w.hash) * up[:n], out=prefix[1:])
+    return mix((prefix[size:] - prefix[: n - size + 1]) * back[: n - size + 1])
 
 
 def room(w: Words, size: int) -> np.ndarray:
