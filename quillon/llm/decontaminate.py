@@ -137,7 +137,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = small(items, block_bytes)
     if held is None:
-        return joined(rows, items)
+        return joined(rows, items).drop("digest")
     block = docs.sparkSession.sparkContext.broadcast(Index(held))
 
     @tidy("decontaminate")
@@ -211,7 +211,7 @@ def fingerprint_filter(windows: DataFrame, groups: int) -> np.ndarray:
 
 
 def joined(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """hits() by a join of windows; rows: doc_id and text."""
+    """hits() by a join of windows, with a digest of the text; rows: doc_id and text."""
     spark = rows.sparkSession
     windows = written(item_windows(items), "windows")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # WINDOW numbers at most
@@ -246,7 +246,7 @@ def joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     names = met.select("doc_id", "digest", "item_id").distinct().groupBy("doc_id", "digest").agg(F.collect_list("item_id").alias("items"))
     found_ = words.join(names, (words["doc_id"].eqNullSafe(names["doc_id"])) & (words["digest"] == names["digest"])).select(words["doc_id"], words["digest"], "hit_words", "items")
     all_ = read.select("doc_id", "digest", "n_words")
-    return all_.join(found_, all_["doc_id"].eqNullSafe(found_["doc_id"]) & (all_["digest"] == found_["digest"]), "left").select(all_["doc_id"], "n_words", F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return all_.join(found_, all_["doc_id"].eqNullSafe(found_["doc_id"]) & (all_["digest"] == found_["digest"]), "left").select(all_["doc_id"], all_["digest"], "n_words", F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -254,9 +254,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     items = benchmark_items(benchmark)
     held = small(items, block_bytes)
     if held is None:
-        texts = docs.select(F.xxhash64("text").alias("doc_id"), "text").distinct()  # ids that stand for texts, not documents
-        bad = joined(texts, items).where(F.size("hit_words") > 0).select(F.col("doc_id").alias("_bad"))
-        return docs.join(bad, F.xxhash64(docs["text"]) == bad["_bad"], "left_anti")
+        texts = docs.select(F.lit(0).cast("long").alias("doc_id"), "text")
+        bad = joined(texts, items).where(F.size("hit_words") > 0).select(F.col("digest").alias("_bad")).distinct()
+        return docs.join(bad, F.sha2(docs["text"], 256) == bad["_bad"], "left_anti")
     block = docs.sparkSession.sparkContext.broadcast(Index(held))
     names, at = docs.columns, docs.columns.index("text")
 

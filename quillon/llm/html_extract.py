@@ -5,19 +5,25 @@
    equal shapes, largest number of matched nodes), within each partition first and then
    between partitions.  A node remembers on how many pages it stood and whether its text was
    ever another: a constant node is template, a varying one is a slot.
-2. A host's wrapper, its tree with one flag a node, goes back to its pages.  The content is
-   the article or main element if there is one, else the smallest subtree that holds most of
-   the text of varying slots.  Navigation, notices, adverts, forms, comments and the like are
-   left out by element, role and class; outside an explicit article so is constant text.
+2. A host's wrapper, its tree with one flag a node, goes back to its pages.  Text of template
+   nodes is left out, text of slots is content.  Two things narrow that.  Navigation, notices,
+   adverts, forms, comments and the like vary from page to page as well, so their elements, roles
+   and classes leave them out; and an article or main element bounds the content.  Inside one,
+   constant text goes only if it stood on SURE_PAGES pages and most of the article varies, as pages
+   that repeat an article make all of it constant.  Blocks of links alone stay where most of the
+   varying text is, and go outside it.
 
 A partial tree that reaches MAX_NODES nodes is passed on and a further one takes the next
 pages, so every node of every layout is counted; the wrapper holds the nodes that stood on
-LEAST_PAGES pages, and a page node that isn't in it counts as varying.  Numbers in the classes
-of html, body, article and main are alike, as they often number the page.
+LEAST_PAGES pages, and a page node that isn't in it counts as varying.  Partial trees of a host
+are merged in a tree of tasks.  Numbers in the classes of html, body, article and main are alike,
+as they often number the page.  Markup is scanned in linear time.
 
 Defined cases: null or empty html gives an empty text; unclosed or stray tags are repaired as
-browsers do for paragraphs, list items and cells; a page without a host, or alone on its
-host, is taken by structure alone; repeated pages each give a row; further columns are ignored.
+browsers do for paragraphs, list items and cells; elements nested over DEEP levels belong to the
+last one above; a page without a host, or alone on its host, is taken by structure alone; repeated
+pages each give a row, pages without an id too; an empty table gives no rows; pages of any length are
+read whole; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,16 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.runtime import written
+from quillon.llm.runtime import input_bytes, short_batches, tree, written
 
-MAX_NODES, MAX_DEPTH = 1500, 40
-#: Pages on which a node must stand, always alike, to be template.
-LEAST_PAGES = 3
+MAX_NODES, MAX_DEPTH, DEEP = 1500, 40, 160
+#: Pages on which a node must stand, always alike, to be template; and to be it inside an article.
+LEAST_PAGES, SURE_PAGES = 3, 8
+#: Input bytes for each group of the first level of a host's merge.
+MERGE_INPUT = 1 << 30
 #: Share of a page's varying text that its content subtree must hold, where no element names it.
 MOST = 0.7
 HELD = 20_000
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+#: No part of a tag gives back what it took, and outside quotes none goes on over a "<".
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^'"<>]++)*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # Element names by their part in a page.
 RAW = frozenset("script style textarea title noscript iframe template svg math object canvas audio video".split())
@@ -97,6 +106,7 @@ def parse(page: str) -> Node:
     """The tree of a page; text stays undecoded."""
     root = Node("#root", "#root", False)
     stack, at, within = [root], 0, 0
+    over: dict[str, int] = {}  # open elements that are too deep for the stack
     find = MARKUP.search
     while m := find(page, at):
         if m.start() > at:
@@ -107,6 +117,9 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
+            if over.get(tag):
+                over[tag] -= 1
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     within -= sum(x.tag in ("article", "main") for x in stack[k:])
@@ -128,9 +141,11 @@ def parse(page: str) -> Node:
         node = element(tag, m[3].strip(), within > 0)
         stack[-1].children.append(node)
         if tag not in VOID and not m[3].endswith("/") or tag in BLOCK and tag not in VOID:
-            if len(stack) < MAX_DEPTH * 4:
+            if len(stack) < DEEP:
                 stack.append(node)
                 within += tag in ("article", "main")
+            else:
+                over[tag] = over.get(tag, 0) + 1
     if at < len(page):
         stack[-1].children.append(page[at:])
     return root
@@ -242,43 +257,45 @@ def overlay(a: Slot, b: Slot, room: list[int], memo: dict | None = None) -> None
 
 
 def flagged(s: Slot) -> list:
-    """A wrapper: shape and whether the node is template, nested, without what stood on too few pages for template."""
-    return [s.shape, int(s.pages >= LEAST_PAGES and not s.varies and s.text != ""), [flagged(c) for c in s.children if c.pages >= LEAST_PAGES]]
+    """A wrapper: shape and whether the node is template (2: for sure), nested, without what stood on too few pages for template."""
+    sure = (s.pages >= LEAST_PAGES) + (s.pages >= SURE_PAGES) if not s.varies and s.text != "" else 0
+    return [s.shape, sure, [flagged(c) for c in s.children if c.pages >= LEAST_PAGES]]
 
 
 def _slots(x: list) -> Slot:
-    return Slot(x[0], 1, "", not x[1], [_slots(c) for c in x[2]])
+    """A wrapper as slots; `pages` holds the flag."""
+    return Slot(x[0], x[1], "", not x[1], [_slots(c) for c in x[2]])
 
 
-def constant(page: Slot, wrapper: Slot, out: set[int], memo: dict) -> None:
-    """Ids of the page's folded nodes that the wrapper says are template."""
+def constant(page: Slot, wrapper: Slot, out: dict[int, int], memo: dict) -> None:
+    """The page's folded nodes that the wrapper says are template, by id, with its flag."""
     if not wrapper.varies:
-        out.add(id(page))
+        out[id(page)] = wrapper.pages
     for i, j in matching(wrapper.children, page.children, memo):
         constant(page.children[j], wrapper.children[i], out, memo)
 
 
-def blocks(root: Node, template: set[int]) -> list[tuple[str, tuple[Node, ...], bool, bool]]:
+def blocks(root: Node, template: dict[int, int]) -> list[tuple[str, tuple[Node, ...], int, bool]]:
     """(text, ancestors, template, link) of each block that isn't skipped, in page order."""
-    out: list[tuple[str, tuple[Node, ...], bool, bool]] = []
+    out: list[tuple[str, tuple[Node, ...], int, bool]] = []
     held: list[str] = []
-    state = {"fixed": True, "link": True}
+    state = {"fixed": 2, "link": True}
 
     def flush(path: tuple[Node, ...]) -> None:
         text = " ".join(entities.unescape("".join(held)).split()) if held else ""
         if text:
             out.append((text, path, state["fixed"], state["link"]))
         held.clear()
-        state["fixed"] = state["link"] = True
+        state["fixed"], state["link"] = 2, True
 
     def walk(node: Node, path: tuple[Node, ...], link: bool) -> None:
         path = (*path, node)
-        fixed = id(node) in template
+        fixed = template.get(id(node), 0)
         for c in node.children:
             if isinstance(c, str):
                 held.append(c)
                 if not c.isspace():
-                    state["fixed"] &= fixed
+                    state["fixed"] = min(state["fixed"], fixed)
                     state["link"] &= link
             elif c.tag == "br":
                 held.append(" ")
@@ -300,19 +317,20 @@ def extract(page: str | None, wrapper: str | None = None) -> str:
     if not page:
         return ""
     root = parse(page)
-    template: set[int] = set()
+    template: dict[int, int] = {}
     if wrapper:
         of: dict[int, Slot] = {}
         folded = fold(root, of)
-        fixed: set[int] = set()
+        fixed: dict[int, int] = {}
         constant(folded, _slots(json.loads(wrapper)), fixed, {})
-        template = {k for k, s in of.items() if id(s) in fixed}
+        template = {k: fixed[id(s)] for k, s in of.items() if id(s) in fixed}
     found = blocks(root, template)
     named = [b for b in found if any(n.tag in ("article", "main") for n in b[1])]
     if any(n.tag == "article" for b in named for n in b[1]):
         named = [b for b in named if any(n.tag == "article" for n in b[1])]
     if named:
-        return "\n".join(b[0] for b in named if not (b[2] and b[3]))
+        sure = 2 * sum(len(b[0]) for b in named if not b[2]) > sum(len(b[0]) for b in named)
+        return "\n".join(b[0] for b in named if not (b[2] and b[3] or sure and b[2] > 1))
     left = [b for b in found if not b[2] and not b[3]]
     total = sum(len(b[0]) for b in left)
     region: Node | None = root
@@ -329,7 +347,7 @@ def extract(page: str | None, wrapper: str | None = None) -> str:
         if down.tag in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6"):
             break
         region = down
-    return "\n".join(b[0] for b in left if region in b[1])
+    return "\n".join(b[0] for b in found if not b[2] and (not b[3] or region is not root and any(n is region for n in b[1])))
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -342,7 +360,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         held: dict[str, tuple[Slot, list[int]]] = {}
 
         def out(trees: dict[str, tuple[Slot, list[int]]]) -> pa.RecordBatch:
-            r = pa.RecordBatch.from_arrays([pa.array(trees, pa.string()), pa.array([json.dumps(s.dump()) for s, _ in trees.values()], pa.string())], names=["host", "tree"])
+            r = pa.RecordBatch.from_arrays([pa.array(trees, pa.string()), pa.array([json.dumps(s.dump()) for s, _ in trees.values()], pa.string())], names=["part", "tree"])
             trees.clear()
             return r
 
@@ -360,7 +378,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         if held:
             yield out(held)
 
-    def unite(key: tuple, table: pa.Table) -> pa.Table:
+    def unite(table: pa.Table) -> tuple:
         first = None
         for x in table.column("tree"):
             s = Slot.load(json.loads(x.as_py()))
@@ -368,15 +386,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 first = s
             else:
                 overlay(first, s, [0])
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(flagged(first))], pa.string())})
+        return (json.dumps(first.dump()),)
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(flagged(Slot.load(json.loads(x)))) for x in batch.column(1).to_pylist()], pa.string())], names=["host", "wrapper"])
 
     keyed = pages.where((F.col("host") != "") & (F.length("html") > 0)).select("host", "html")
-    return keyed.mapInArrow(induce, "host string, tree string").groupBy("host").applyInArrow(unite, "host string, wrapper string")
+    return tree(keyed.mapInArrow(induce, "part string, tree string"), unite, input_bytes(pages, "html") // MERGE_INPUT).mapInArrow(flag, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and `text`, the main text."""
-    keyed = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")).alias("host"))
+    keyed = short_batches(pages).select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")).alias("host"))
     both = keyed.join(written(wrappers(keyed), "wrappers"), "host", "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

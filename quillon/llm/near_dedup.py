@@ -20,7 +20,8 @@
    joined texts stay in their buckets.  Pairs of one class are skipped: of a bucket only texts
    outside its largest class are compared with all.
 6. Candidates are verified on the whole texts; links join classes by least label with pointer
-   jumping, in tables of the shared folder.  What comes to the driver has a fixed size.
+   jumping: in one task for up to FEW_LINKS links, beyond that in tables of the shared folder.
+   What comes to the driver has a fixed size.
 
 A bucket of more than BLOCK texts is dealt as pairs of blocks, so no task holds more than two.
 What stays quadratic is the comparison of signatures, inside kernels, between texts of a bucket
@@ -68,6 +69,8 @@ KERNEL_ROWS = 1 << 14
 #: Bits of the filter that keeps other documents' texts from the shuffle: 4 MB.
 FILTER_BITS, FILTER_PARTS = 1 << 25, 64
 BITS = 48
+#: Links that one task may join: 16 MB.
+FEW_LINKS = 1 << 20
 #: Input bytes for each file of a table of links.
 FILE_INPUT = 64 << 20
 #: Input bytes for each group of the first level of a merge.
@@ -473,8 +476,27 @@ def linked(reps: DataFrame, docs: DataFrame, idf, groups: int, scratch: Scratch)
     return labels
 
 
+def joined_here(key: tuple, table: pa.Table) -> pa.Table:
+    """components() of one table."""
+    ids, ends = np.unique(np.concatenate([table.column(k).to_numpy() for k in ("doc", "lead")]), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == label).all():
+            return pa.table({"doc": pa.array(ids), "label": pa.array(ids[label])})
+        label = new
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, label) of every end of an edge: the least id that it is connected to."""
+    edges = scratch.written(edges.select("doc", "lead"), "joined")
+    if edges.count() <= FEW_LINKS:
+        return scratch.written(edges.groupBy(F.lit(0).alias("all")).applyInArrow(joined_here, "doc long, label long"), "labels")
     both = scratch.written(edges.select(F.col("doc").alias("x"), F.col("lead").alias("y")).unionAll(edges.select(F.col("lead").alias("x"), F.col("doc").alias("y"))).distinct(), "edges")
     labels = scratch.written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
     while True:

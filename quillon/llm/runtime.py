@@ -80,7 +80,7 @@ def tree(pieces: DataFrame, merge: Callable[[pa.Table], tuple], groups: int) ->
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
         made = merge(table)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), **{n: pa.array([x], table.schema.field(n).type) for n, x in zip(names, made, strict=True)}, "slot": pa.array([key[1].as_py()], pa.int32())})
+        return pa.table({"part": pa.array([key[0].as_py()], table.schema.field("part").type), **{n: pa.array([x], table.schema.field(n).type) for n, x in zip(names, made, strict=True)}, "slot": pa.array([key[1].as_py()], pa.int32())})
 
     out = pieces.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(groups)))
     while True:
@@ -99,12 +99,12 @@ def short_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the input by the optimiser's statistics; counted where these say nothing."""
+def input_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of the input by the optimiser's statistics; those of the column where these say nothing."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < 1 << 45:
         return size
-    return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textkit as tk
-from quillon.llm.runtime import documents, input_bytes, tidy, tree
+from quillon.llm.runtime import documents, input_bytes, short_batches, tidy, tree
 
 WINDOW, GRAM = 50, 10
 #: Most cells of the merged sketch (one bit of each is broadcast).
@@ -155,7 +155,7 @@ def grouped(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells_a_byte: float = CELLS_A_BYTE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per document: its words, how many are repeated from smaller ids, and the text without them."""
-    spark = docs.sparkSession
+    spark = short_batches(docs).sparkSession
     bits, n_buckets = sizes(docs, cells_a_byte, bucket_bytes)
     slice_bits = max(6, (n_buckets - 1).bit_length())
     known = spark.sparkContext.broadcast(sketch(docs, bits, window, gram, n_buckets * bucket_bytes // MERGE_INPUT))

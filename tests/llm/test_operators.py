@@ -394,3 +394,109 @@ def test_tree_matching():
     b = S("div", children=[S("ul", children=[S("li")]), S("p")])
     assert html_extract.size(a, b, {}) == 4
     assert html_extract.matching(a.children, b.children, {}) == [(1, 0), (2, 1)]
+
+
+def main_texts(spark, rows):
+    return {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_wrapper_decides(spark):
+    """Without names to go by, constant text goes and varying text stays; without the wrapper all of it stays."""
+    rng = random.Random(8)
+    body = {k: [prose(rng, 5), prose(rng, 30), prose(rng, 60)] for k in range(12)}
+    rows = [(k, f"http://w.example.com/{k}", f"<body><div>Welcome to the site</div><h1>{b[0]}</h1><p>{b[1]}</p><div>{b[2]}</div><section>Imprint of the house</section></body>") for k, b in body.items()]
+    got = main_texts(spark, rows)
+    assert got == {k: "\n".join(b) for k, b in body.items()}
+    assert all(html_extract.extract(h).split("\n") == ["Welcome to the site", *body[k], "Imprint of the house"] for k, _, h in rows)
+    article = [(k, u, h.replace("<body>", "<body><article>").replace("</body>", "</article></body>")) for k, u, h in rows]
+    assert main_texts(spark, article) == got
+    few = main_texts(spark, article[:5])  # too few pages to be sure inside an article
+    assert all("Welcome" in few[k] for k in range(5))
+    same = main_texts(spark, [(k, u, article[0][2]) for k, u, _ in article])  # one article on many pages is no template
+    assert all(t == html_extract.extract(article[0][2]) for t in same.values())
+
+
+def test_html_odd_markup():
+    import time
+
+    began = time.perf_counter()
+    for x in ("<a" * 100_000, "<a b " * 50_000, '<a "' * 50_000, "<!" * 50_000, "<!--" * 50_000, "<p>" * 20_000, "<div>" * 20_000 + "deep" + "</div>" * 20_000):
+        html_extract.extract(x)
+    assert time.perf_counter() - began < 20
+    deep = "<article>" + "<div>" * 300 + "in" + "</div>" * 300 + "<p>after</p></article><p>out</p>"
+    assert html_extract.extract(deep).split("\n") == ["in", "after"]
+    assert html_extract.extract("<body><h1>title</h1><p>intro</p><div>" + "long body " * 50 + "</div></body>").startswith("title\nintro\nlong body")
+
+
+def test_tree_matching_against_brute_force():
+    """Largest number of matched nodes, by trying every way to pair children in order."""
+    import itertools
+
+    rng = random.Random(12)
+    S = html_extract.Slot
+
+    def grow(depth):
+        return S(rng.choice("ab"), children=[grow(depth - 1) for _ in range(rng.randint(0, 3 if depth else 0))])
+
+    def best(a, b):
+        if a.shape != b.shape:
+            return 0
+        most = 0
+        for n in range(min(len(a.children), len(b.children)) + 1):
+            for x in itertools.combinations(a.children, n):
+                for y in itertools.combinations(b.children, n):
+                    if all(p.shape == q.shape for p, q in zip(x, y, strict=True)):
+                        most = max(most, sum(best(p, q) for p, q in zip(x, y, strict=True)))
+        return most + 1
+
+    for _ in range(60):
+        a, b = grow(2), grow(2)
+        a.shape = b.shape = "root"
+        got = html_extract.size(a, b, {})
+        same = len(a.children) == len(b.children) and all(x.shape == y.shape for x, y in zip(a.children, b.children, strict=True))
+        assert got <= best(a, b) and (same or got == best(a, b) or any(x.children for x in a.children))
+
+
+def test_hashes_of_long_words():
+    """Two Thue-Morse words, which polynomial hashes modulo 2**64 can't part, are two words."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillon.llm import textkit as tk
+
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    data, bounds = tk.buffers(pa.array([a, b]))
+    w = tk.words(data, bounds, 0, 2, substring_dedup.ACCEPT)
+    assert w.hash[0] != w.hash[1] and w.second[0] != w.second[1]
+    rows = [(k, " ".join([f"w{i}" for i in range(60)] + [x] + [f"v{i}" for i in range(60)])) for k, x in enumerate((a, b))]
+    first = {r[0]: r for r in substring_dedup.brute(rows)}
+    assert np.array_equal([first[0][2], first[1][2]], [0, 120])
+
+
+def test_substring_dedup_parts_long_words(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [" ".join([f"w{i}" for i in range(60)] + [x] + [f"v{i}" for i in range(60)]) for x in (a, b)]
+    got = substring_dedup.repeats(table(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == sorted(substring_dedup.brute(list(enumerate(rows))))
+
+
+def test_decontamination_clean_beyond_the_bound(spark, texts):
+    """Both ways to clean keep the same rows, those of null ids and repeated ids too."""
+    bench = spark.createDataFrame([(1, texts[len(ODD)]), (2, "the same words"), (3, None), (None, "a")], "item_id long, text string")
+    docs = table(spark, texts).unionAll(table(spark, texts[5:15])).unionAll(spark.createDataFrame([(None, "tie tie", "en", "s", 1, "x", 1), (None, "the same words", "en", "s", 1, "x", 1)], table(spark, ["x"]).schema))
+    small, large = (sorted(map(str, decontaminate.clean(docs, bench, n).collect())) for n in (decontaminate.BLOCK_BYTES, 10))
+    assert small == large and 0 < len(small) < docs.count()
+
+
+def test_language_clean(spark):
+    rows = [(k, "the same kind of words over and over again " * (1 + k % 3), "en" if k % 4 else None) for k in range(60)]
+    rows += [(None, "words over and over", "en"), (100, None, "en"), (101, "12 34", "en"), (102, "ᚠᚢᚦᚨᚱᚲ" * 40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("_good0", F.lit(1))
+    got = language_id.clean(docs)
+    kept = got.collect()
+    assert got.columns == docs.columns and len(kept) == 61
+    assert {r.lang for r in kept} == {"en"} and {r.doc_id for r in kept} == {*range(60), None}
