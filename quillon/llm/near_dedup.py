@@ -65,7 +65,7 @@ BLOCK = 2048
 #: Groups up to this size are compared together, by distance in the group.
 SMALL = 48
 #: Rows that a task of the kernel gets, on average.
-KERNEL_ROWS = 1 << 14
+KERNEL_ROWS = 1 << 12
 #: Bits of the filter that keeps other documents' texts from the shuffle: 4 MB.
 FILTER_BITS, FILTER_PARTS = 1 << 25, 64
 BITS = 48
