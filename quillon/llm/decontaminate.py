@@ -282,6 +282,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: The contract in DuckDB's SQL: windows by their own words.  For small tables; every window is a string.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS x FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS y FROM benchmark),
+v AS (SELECT DISTINCT item, size, array_to_string(y[i:i + size - 1], ' ') AS s FROM (SELECT item, y, least({WINDOW}, len(y)) AS size, unnest(range(1, len(y) - least({WINDOW}, len(y)) + 2)) AS i FROM b WHERE len(y) > 0)),
+w AS (SELECT rid, size, i, array_to_string(x[i:i + size - 1], ' ') AS s FROM (SELECT rid, x, size, unnest(range(1, len(x) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM v))),
+h AS (SELECT rid, size, i, item FROM w JOIN v USING (size, s)),
+p AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + size)) AS p FROM h) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(x) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
 def brute(docs: list[tuple[int, str | None]], items: list[tuple[str, str | None]]) -> list[tuple]:
     """The contract read literally, for tests."""
     import re

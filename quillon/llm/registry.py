@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": decontaminate.query,
 }
 
-SQL: dict[str, str] = {"op7_chat_format": chat_format.SQL}
+SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op5_decontamination": decontaminate.SQL, "op7_chat_format": chat_format.SQL}

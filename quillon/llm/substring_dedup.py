@@ -227,6 +227,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The contract in DuckDB's SQL: windows by their own words.  For small tables; every window is a string.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+w AS (SELECT rid, doc_id, i, md5(array_to_string(x[i:i + {WINDOW - 1}], ' ')) AS h FROM (SELECT rid, doc_id, x, unnest(range(1, len(x) - {WINDOW - 2})) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h HAVING count(*) > 1),
+r AS (SELECT DISTINCT rid, unnest(range(i, i + {WINDOW})) AS p FROM w JOIN f USING (h) WHERE doc_id > first),
+k AS (SELECT d.rid, count(r.p) AS n_removed, string_agg(CASE WHEN r.p IS NULL THEN d.t END, ' ' ORDER BY d.p) AS kept FROM (SELECT rid, unnest(x) AS t, unnest(range(1, len(x) + 1)) AS p FROM d) d LEFT JOIN r ON d.rid = r.rid AND d.p = r.p GROUP BY d.rid)
+SELECT doc_id, CAST(len(x) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
+
+
 def brute(docs: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
     """The contract read literally, for tests."""
     import re
