@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions import special
+
 
 def finite(c: Column | str) -> Column:
     """Neither null, NaN nor infinite."""
@@ -67,7 +70,7 @@ Z975 = 1.959963984540054
 
 
 def t975(df: Column) -> Column:
-    """The .975 quantile of Student's t: closed for 1 and 2 degrees of freedom, else the expansion in 1/df."""
+    """The .975 quantile of Student's t: from a table of exact values up to 40 degrees of freedom, else the expansion in 1/df."""
     z = Z975
     terms = [
         (z**3 + z) / 4,
@@ -78,8 +81,14 @@ def t975(df: Column) -> Column:
     series = F.lit(z)
     for k, c in enumerate(terms, 1):
         series = series + F.lit(c) / F.pow(df, F.lit(float(k)))
+    return F.when((df >= 1) & (df <= len(small_t())), F.element_at(F.array(*map(F.lit, small_t())), F.least(F.greatest(F.round(df), F.lit(1)), F.lit(len(small_t()))).cast("int"))).otherwise(series)
+
+
+@lru_cache(maxsize=1)
+def small_t() -> list[float]:
+    """The .975 quantiles of Student's t for 1 to 40 degrees of freedom."""
     exact2 = 2 * 0.475 * math.sqrt(2 / (4 * 0.975 * 0.025))
-    return F.when(df == 1, math.tan(math.pi * 0.475)).when(df == 2, exact2).otherwise(series)
+    return [math.tan(math.pi * 0.475), exact2, *(float(special.t_ppf(0.975, float(k))) for k in range(3, 41))]
 
 
 def poly(coefficients: list[tuple[float, tuple[int, ...]]], xs: list[Column]) -> Column:

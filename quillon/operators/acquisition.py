@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from quillon.functions import special
 from quillon.operators import discrepancy, gram, information
 from quillon.operators.gram import Posterior, Prior, Stats, Structure
 
-POLICIES = ("random", "uncertainty", "qbc", "class_eig", "epig", "maximin", "mmd_safe", "reference_dominance")
+POLICIES = ("random", "uncertainty", "qbc", "class_eig", "epig", "maximin", "mmd_safe", "reference_dominance", "discrepancy_aware", "discriminative")
 POWERS = (0.25, 0.5, 1.0)
 TIE = 1e-15
 
@@ -33,9 +34,9 @@ def stable_argmax(scores: np.ndarray, ids: np.ndarray) -> int:
     return int(good[np.argmin(ids[good])])
 
 
-def class_eig_all(posts: list[Posterior], groups: list[list[int]], x: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nested Gauss-Jacobi class information of all actions at once, and its error."""
-    comps = information.components(posts, x)
+def class_eig_all(posts: list[Posterior], groups: list[list[int]], x: np.ndarray, order: int, extra: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Nested Gauss-Jacobi class information of all actions at once, and its error.  extra: variance that a discrepancy adds to each law."""
+    comps = [(w, df, loc, np.sqrt(scale**2 + extra * (df - 2) / df)) for w, df, loc, scale in information.components(posts, x)]
 
     def at(n: int) -> np.ndarray:
         total = np.zeros(len(x))
@@ -83,7 +84,53 @@ def discrepancy_profile(excess: float, observed: np.ndarray, candidates: np.ndar
     return excess * (1 + d2 / h2)
 
 
-def scores(policy: str, posts: list[Posterior], groups: list[list[int]], observed: np.ndarray, x: np.ndarray, targets: np.ndarray, seed: int, order: int = 16, by_power: dict[float, list[Posterior]] | None = None) -> np.ndarray:
+@dataclass(frozen=True)
+class Maximin:
+    """Bounds of each action's worst score over likelihood powers, the leader, and whether no other can beat it."""
+
+    lower: np.ndarray
+    upper: np.ndarray
+    leader: int
+    certified: bool
+    order: int
+
+
+def maximin_until_ranked(by_power: dict[float, list[Posterior]], groups: list[list[int]], x: np.ndarray, ids: np.ndarray, targets: np.ndarray, eligible: np.ndarray, orders: tuple[int, ...] = (8, 16, 32), extra: np.ndarray | float = 0.0) -> Maximin:
+    """Class information plus predictive information, the least over powers, with finer quadrature until the leader is certain."""
+    epig = [information.class_epig(p, groups, x, targets, extra) for p in by_power.values()]
+    for order in orders:
+        eig = [class_eig_all(p, groups, x, order, extra) for p in by_power.values()]
+        lower = np.where(eligible, np.min([np.maximum(0, v - e) + g for (v, e), g in zip(eig, epig, strict=True)], axis=0), -np.inf)
+        upper = np.where(eligible, np.min([v + e + g for (v, e), g in zip(eig, epig, strict=True)], axis=0), -np.inf)
+        lead = stable_argmax(lower, ids)
+        others = np.delete(upper, lead)
+        if not len(others) or lower[lead] > others.max():
+            return Maximin(lower, upper, lead, True, order)
+    return Maximin(lower, upper, lead, False, orders[-1])
+
+
+def discriminative(by_power: dict[float, list[Posterior]], groups: list[list[int]], observed: np.ndarray, x: np.ndarray, ids: np.ndarray, targets: np.ndarray, seed: int) -> tuple[int, str]:
+    """The next action and why: among the safe ones the certified maximin leader, else a draw among those that may lead; without safe ones the one that harms coverage least."""
+    safe, _, then = safe_set(observed, x, targets)
+    if not safe.any():
+        return stable_argmax(-then, ids), "least_harm"
+    m = maximin_until_ranked(by_power, groups, x, ids, targets, safe)
+    if m.certified:
+        return m.leader, "certified"
+    open_ = np.flatnonzero(safe & (m.upper >= m.lower[m.leader]))
+    return int(open_[weighted_draw(ids[open_], np.ones(len(open_)), seed)]), "undecided"
+
+
+def weighted_draw(ids: np.ndarray, weights: np.ndarray, seed: int) -> int:
+    """Position of an action drawn by reference weights, which need not sum to 1, in the order of ids."""
+    if not len(ids) or (weights < 0).any() or not weights.sum() > 0:
+        raise ValueError("weights must not be negative and not all 0")
+    order = np.argsort(ids, kind="stable")
+    u = int.from_bytes(hashlib.sha256(str(seed).encode()).digest()[:8], "big") / 2**64
+    return int(order[min(len(ids) - 1, int(np.searchsorted(np.cumsum(weights[order]) / weights.sum(), u, "right")))])
+
+
+def scores(policy: str, posts: list[Posterior], groups: list[list[int]], observed: np.ndarray, x: np.ndarray, targets: np.ndarray, seed: int, order: int = 16, by_power: dict[float, list[Posterior]] | None = None, excess: float = 0.0) -> np.ndarray:
     """Higher is better; candidates that a policy excludes score -inf."""
     if policy == "random":
         return np.random.default_rng(seed).random(len(x))
@@ -100,6 +147,9 @@ def scores(policy: str, posts: list[Posterior], groups: list[list[int]], observe
         return information.class_epig(posts, groups, x, targets)
     if policy == "maximin":
         return np.min([class_eig_all(p, groups, x, order)[0] + information.class_epig(p, groups, x, targets) for p in (by_power or {1.0: posts}).values()], axis=0)
+    if policy == "discrepancy_aware":
+        extra = discrepancy_profile(excess, observed, x)
+        return class_eig_all(posts, groups, x, order, extra)[0] + information.class_epig(posts, groups, x, targets, extra)
     if policy == "mmd_safe":
         safe, _, then = safe_set(observed, x, targets)
         if not safe.any():
@@ -108,10 +158,12 @@ def scores(policy: str, posts: list[Posterior], groups: list[list[int]], observe
     raise ValueError(f"unknown policy {policy}")
 
 
-def choose(policy: str, posts: list[Posterior], groups: list[list[int]], observed: np.ndarray, x: np.ndarray, ids: np.ndarray, targets: np.ndarray, seed: int, by_power=None) -> int:
+def choose(policy: str, posts: list[Posterior], groups: list[list[int]], observed: np.ndarray, x: np.ndarray, ids: np.ndarray, targets: np.ndarray, seed: int, by_power=None, excess: float = 0.0) -> int:
     """Position of the next candidate.  Reference dominance hands over to the leader only if its lower bound beats the uniform reference's mean upper bound."""
+    if policy == "discriminative":
+        return discriminative(by_power or {1.0: posts}, groups, observed, x, ids, targets, seed)[0]
     if policy != "reference_dominance":
-        return stable_argmax(scores(policy, posts, groups, observed, x, targets, seed, by_power=by_power), ids)
+        return stable_argmax(scores(policy, posts, groups, observed, x, targets, seed, by_power=by_power, excess=excess), ids)
     value, err = class_eig_all(posts, groups, x, 16)
     lead = stable_argmax(value - err, ids)
     if value[lead] - err[lead] - float(np.mean(value + err)) > 256 * np.finfo(float).eps * max(1.0, float(np.abs(value).max())):
@@ -143,8 +195,9 @@ def run(bank: list[Structure], prior: Prior, initial: tuple, pool: tuple, valid:
         mean = sum(p.probability * (gram.design_rows(xv, p.structure.terms) @ p.mean) for p in posts)
         row = {"step": step, "rmse": float(np.sqrt(np.mean((yv - mean) ** 2))), "nll": float(-gram.mixture_logpdf(posts, xv, yv).mean()), "class_entropy": now, "entropy_gain": start - now, "chosen": -1}
         if step < rounds:
-            by_power = {e: gram.bank_posterior(bank, s, prior, e) for e in POWERS} if policy == "maximin" else None
-            k = choose(policy, posts, frozen, seen, xp[left], left, xv, derived_seed(seed, policy, step), by_power)
+            by_power = {e: gram.bank_posterior(bank, s, prior, e) for e in POWERS} if policy in ("maximin", "discriminative") else None
+            excess = information.residual_excess(posts, s, prior) if policy == "discrepancy_aware" else 0.0
+            k = choose(policy, posts, frozen, seen, xp[left], left, xv, derived_seed(seed, policy, step), by_power, excess)
             at = left[k]
             row["chosen"] = int(at)
             s, seen, left = s + stats(xp[at : at + 1], yp[at : at + 1]), np.vstack((seen, xp[at])), np.delete(left, k)

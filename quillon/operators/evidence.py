@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.sources.state import append_line, file_lock
+
 GENESIS = "0" * 64
+#: Events of one block of a log table: a block is chained in one task.
+BLOCK = 4096
 EVENT_TYPES = ("PROPOSED", "SCREENED", "FROZEN", "CONFIRMED", "REJECTED", "RETRACTED", "REPLICATED", "NOTE")
 EVENT = "event_id string, hypothesis_id string, event_type string, timestamp_utc string, payload string, previous_hash string, event_hash string"
 
@@ -43,32 +47,63 @@ def content_hash(seq, payload, previous):
     return F.sha2(F.concat_ws("|", seq.cast("string"), payload, previous), 256)
 
 
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def anchors(log: DataFrame) -> DataFrame:
+    """(block, anchor): what the first event of each block follows, a digest of all blocks before it; GENESIS for the first.
+
+    Blocks are digested side by side; only one digest a block (of BLOCK events) meets in one task.
+    """
+    block = F.floor(F.col("seq") / BLOCK).alias("block")
+    each = log.groupBy(block).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda x: F.concat_ws("|", x["seq"].cast("string"), x["payload"])), "\n"), 256).alias("digest"))
+
+    def link(part: pd.DataFrame) -> pd.DataFrame:
+        part, out, now = part.sort_values("block"), [], GENESIS
+        for d in part["digest"]:
+            out.append(now)
+            now = _sha(f"{now}|{d}")
+        return pd.DataFrame({"block": part["block"], "anchor": out})
+
+    return each.groupBy(F.lit(0).alias("all")).applyInPandas(link, "block long, anchor string")
+
+
 def chained(events: DataFrame) -> DataFrame:
-    """An event table as a log: each event names its own digest and, by the place before it, its predecessor's."""
+    """An event table as a log: each event's digest covers its predecessor's, and so all events before it."""
     d = events.select(F.col("event_id").alias("seq"), F.concat_ws(":", "event_type", F.col("user_id").cast("string"), "props").alias("payload"))
-    own = F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "payload"), 256)
-    d = d.withColumn("event_hash", own)
-    before = d.select((F.col("seq") + 1).alias("seq"), F.col("event_hash").alias("previous_hash"))
-    return d.join(before, "seq", "left").withColumn("previous_hash", F.coalesce("previous_hash", F.lit(GENESIS)))
+
+    def chain(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["seq", "payload"])
+        now, before, own = part["anchor"].iloc[0], [], []
+        for seq, payload in zip(part["seq"], part["payload"], strict=True):
+            before.append(now)
+            now = _sha(f"{seq}|{payload}|{now}")
+            own.append(now)
+        return pd.DataFrame({"seq": part["seq"], "payload": part["payload"], "event_hash": own, "previous_hash": before})
+
+    placed = d.withColumn("block", F.floor(F.col("seq") / BLOCK)).join(anchors(d), "block")
+    return placed.groupBy("block").applyInPandas(chain, "seq long, payload string, event_hash string, previous_hash string")
 
 
 def verify(log: DataFrame) -> DataFrame:
     """One row: events, links that don't match the event before, wrong digests, repeated ids, and whether all holds.
 
-    Neighbours meet by an equi-join on their place, not in a window over the log.
+    Neighbours meet by an equi-join on their place, not in a window over the log; the first event
+    of a block is held against the digest of all blocks before it.  A gap breaks the link after it.
     """
     before = log.select((F.col("seq") + 1).alias("seq"), F.col("event_hash").alias("_before"))
-    first = log.agg(F.min("seq").alias("_first"))
-    d = log.join(before, "seq", "left").crossJoin(F.broadcast(first))
-    link = F.when(F.col("seq") == F.col("_first"), F.col("previous_hash") == GENESIS).otherwise(F.coalesce(F.col("previous_hash") == F.col("_before"), F.lit(False)))
-    good = F.col("event_hash") == F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "payload"), 256)
+    starts = log.groupBy(F.floor(F.col("seq") / BLOCK).alias("block")).agg(F.min("seq").alias("seq")).join(anchors(log), "block").select("seq", "anchor")
+    d = log.join(before, "seq", "left").join(starts, "seq", "left")
+    link = F.coalesce(F.col("previous_hash") == F.coalesce("anchor", "_before"), F.lit(False))
+    good = F.col("event_hash") == content_hash(F.col("seq"), F.col("payload"), F.col("previous_hash"))
     twice = log.groupBy("seq").agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_ids"))
     s = d.agg(F.count(F.lit(1)).alias("n_events"), F.coalesce(F.sum((~link).cast("long")), F.lit(0)).alias("broken_links"), F.coalesce(F.sum((~good).cast("long")), F.lit(0)).alias("wrong_hashes"))
     return s.crossJoin(twice).withColumn("valid", (F.col("broken_links") == 0) & (F.col("wrong_hashes") == 0) & (F.col("duplicate_ids") == 0))
 
 
 class Log:
-    """One JSON line an event, written by a single driver; appended only after the whole chain is verified."""
+    """One JSON line an event, appended under a lock and only after the whole chain is verified."""
 
     def __init__(self, path: str | Path):
         self.path = Path(path)
@@ -114,14 +149,14 @@ class Log:
     def append(self, hypothesis_id: str, event_type: str, payload: dict) -> dict:
         if event_type not in EVENT_TYPES:
             raise ValueError(f"unknown event type {event_type}")
+        with file_lock(self.path):
+            return self._append(hypothesis_id, event_type, payload)
+
+    def _append(self, hypothesis_id: str, event_type: str, payload: dict) -> dict:
         held = self.events()
         e = {"event_id": f"{len(held):08d}", "hypothesis_id": hypothesis_id, "event_type": event_type, "timestamp_utc": datetime.now(UTC).isoformat(), "payload": strict_loads(canonical_json(payload)), "previous_hash": held[-1]["event_hash"] if held else GENESIS}
         e["event_hash"] = self._hash(e)
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        with self.path.open("a", encoding="utf-8") as f:
-            f.write(canonical_json(e) + "\n")
-            f.flush()
-            os.fsync(f.fileno())
+        append_line(self.path, canonical_json(e))
         return e
 
 
@@ -149,3 +184,19 @@ def confirm(df: DataFrame, expression, target: str, maximum_nmse: float, log: Lo
     passed = r["nmse"] is not None and r["nmse"] <= maximum_nmse
     log.append(hypothesis_id, "CONFIRMED" if passed else "REJECTED", r)
     return r | {"passed": passed}
+
+
+def validate_entry(row: dict, n_features: int = 1, points: int = 19) -> dict:
+    """A store entry with its canonical form, after checks: id, finite gain, and a replay on a grid that must be finite where it is defined."""
+    from quillon.functions import expressions as ex
+
+    if not str(row.get("entry_id", "")).strip():
+        raise ValueError("an entry needs an id")
+    gain = row.get("gain")
+    if isinstance(gain, bool) or not isinstance(gain, int | float) or gain != gain or abs(gain) == float("inf"):
+        raise ValueError("the gain must be a finite number")
+    text = ex.canonical(str(row["expression"]), n_features)
+    values = ex.probe(text, [[-1.5 + 3 * k / (points - 1)] * n_features for k in range(points)])
+    if not any(v is not None for v in values) or any(v is not None and not abs(v) < float("inf") for v in values):
+        raise ValueError("the expression has no finite value on the grid")
+    return {**row, "canonical": text, "probe": [None if v is None else round(v, 12) for v in values]}

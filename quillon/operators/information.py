@@ -183,8 +183,11 @@ def grouped_components(posts: list[Posterior], classes: list[list[int]], x: np.n
     return [[[(float(c[i][0]), float(c[i][1]), float(c[i][2][a]), float(c[i][3][a])) for i in g] for g in classes] for a in range(len(x))]
 
 
-def class_epig(posts: list[Posterior], classes: list[list[int]], x: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Class-averaged -1/2 log(1 - rho^2) between the responses at an action and at the targets, Gaussian in their moments."""
+def class_epig(posts: list[Posterior], classes: list[list[int]], x: np.ndarray, targets: np.ndarray, extra: np.ndarray | float = 0.0, target_extra: np.ndarray | float = 0.0) -> np.ndarray:
+    """Class-averaged -1/2 log(1 - rho^2) between the responses at an action and at the targets, Gaussian in their moments.
+
+    extra, target_extra: variance that a discrepancy adds at the actions and at the targets.
+    """
     out, eps = np.zeros(len(x)), np.finfo(float).eps
     for g in classes:
         mass = sum(posts[i].probability for i in g)
@@ -201,7 +204,7 @@ def class_epig(posts: list[Posterior], classes: list[list[int]], x: np.ndarray,
             vtt = vtt + w * (noise * (1 + np.einsum("ij,jk,ik->i", t, p.cov, t)) + lt**2)
             vat = vat + w * (noise * a @ p.cov @ t.T + np.outer(la, lt))
         cov = vat - np.outer(ma, mt)
-        rho2 = np.clip(cov**2 / np.outer(vaa - ma**2, vtt - mt**2), 0, 1 - 64 * eps)
+        rho2 = np.clip(cov**2 / np.outer(vaa - ma**2 + extra, vtt - mt**2 + target_extra), 0, 1 - 64 * eps)
         out += mass * np.mean(-0.5 * np.log1p(-rho2), axis=1)
     return out
 

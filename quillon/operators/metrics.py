@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.columns import t975, xlogx
@@ -108,9 +110,10 @@ def categorical_entropy(p: Column) -> Column:
 
 
 def wilcoxon_holm(deltas: DataFrame, keys: list[str]) -> DataFrame:
-    """By keys: counts, mean, median, wins, ties, one-sided signed-rank p (normal with tie correction), Holm-adjusted.
+    """By keys: counts, mean, median, wins, ties, one-sided signed-rank p, and p_holm, adjusted over the groups of the first key.
 
-    Ranks of |delta| come from counts of distinct absolute values; the Holm step sorts one row a group.
+    p is exact for up to EXACT_N deltas without ties or zeros, else normal with tie correction.  Ranks of
+    |delta| come from counts of distinct absolute values; the Holm step sorts one row a group.
     """
     d = deltas.withColumn("_a", F.round(F.abs("delta"), 12))
     v = d.where(F.col("_a") > 0).groupBy(*keys, "_a").agg(F.count(F.lit(1)).alias("t"), F.sum((F.col("delta") < 0).cast("long")).alias("wins"))
@@ -122,7 +125,34 @@ def wilcoxon_holm(deltas: DataFrame, keys: list[str]) -> DataFrame:
     m = F.coalesce("m", F.lit(0))
     z = (F.col("w") - m * (m + 1) / 4 - 0.5) / F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties3") / 48)
     out = out.withColumn("z", F.when(m > 0, z).otherwise(0.0))
-    return out.select(*keys, "n", "mean", "median", "n_wins", "n_ties", normal_tail(F.col("z")).alias("p"))
+    tails = F.from_json(F.lit(json.dumps([signed_rank_tail(k) for k in range(EXACT_N + 1)])), "array<array<double>>")
+    exact = F.element_at(F.element_at(tails, F.least(m, F.lit(EXACT_N)).cast("int") + 1), F.least(F.col("w"), m * (m + 1) / 2).cast("int") + 1)
+    whole = (m <= EXACT_N) & (m > 0) & (F.col("ties3") == 0) & (F.col("n_ties") == 0)
+    out = out.withColumn("p", F.when(whole, exact).otherwise(normal_tail(F.col("z"))))
+    return holm_adjusted(out.select(*keys, "n", "mean", "median", "n_wins", "n_ties", "p"), keys[:1], "p", keys)
+
+
+#: Deltas up to which the signed-rank test is exact.
+EXACT_N = 20
+
+
+def signed_rank_tail(n: int) -> list[float]:
+    """P(W >= w) for w from 0 on, W the sum of ranks 1..n with fair signs."""
+    counts = [1]
+    for k in range(1, n + 1):
+        counts = [(counts[w] if w < len(counts) else 0) + (counts[w - k] if w >= k else 0) for w in range(len(counts) + k)]
+    out, total = [], 0
+    for c in reversed(counts):
+        total += c
+        out.append(total / 2**n)
+    return out[::-1]
+
+
+def holm_adjusted(df: DataFrame, family: list[str], p: str, ident: list[str]) -> DataFrame:
+    """Adds `p_holm`: step-down adjusted p values within each family (one row a comparison)."""
+    by = Window.partitionBy(*family)
+    step = df.withColumn("_k", F.row_number().over(by.orderBy(p, *ident))).withColumn("_step", F.least(F.lit(1.0), F.col(p) * (F.count(F.lit(1)).over(by) - F.col("_k") + 1)))
+    return step.withColumn("p_holm", F.max("_step").over(by.orderBy("_k"))).drop("_k", "_step")
 
 
 def normal_tail(z: Column) -> Column:

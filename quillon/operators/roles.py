@@ -102,3 +102,43 @@ def selection_scores(df: DataFrame, features: list[str], strategy: str, ident: s
         z = [F.col(c) - float(m) for c, m in zip(features, mean, strict=True)]
         return df.withColumn("score", F.sqrt(F.greatest(F.lit(0.0), sum((z[i] * z[j] * float(inverse[i, j]) for i in range(d) for j in range(d)), F.lit(0.0)))))
     raise ValueError(f"unknown strategy {strategy}")
+
+
+def split(df: DataFrame, features: list[str], target: str, ident: str, train: float, pool: float, heldout_: float, strategy: str, seed: int) -> tuple[DataFrame, int]:
+    """Rows with a role, and how many repeated rows were removed.
+
+    Of rows that are equal in features and target the first by id stays.  The rows of highest selection
+    score are the pool and the held-out ones, cut in seeded order; the others are development and validation.
+    """
+    if not (0 < train < 1 and pool >= 0 and heldout_ > 0 and pool + heldout_ < 0.8):
+        raise ValueError("shares must lie in (0, 1), those of pool and held-out rows under 0.8 together")
+    before = df.count()
+    d = selection_scores(keep_first(df, [*features, target], [ident]), features, strategy, ident)
+    n = d.count()
+    if n < LEAST_ROWS:
+        raise ValueError(f"{LEAST_ROWS} distinct rows are needed")
+    extra = min(max(2, round(n * (pool + heldout_))), n - 4)
+    n_pool = min(max(round(extra * pool / (pool + heldout_)), 0), extra - 1)
+    n_train = min(max(2, round((n - extra) * train)), n - extra - 2)
+    d = ranked(d, F.col("score"), ident, "_by_score").withColumn("_far", F.col("_by_score") >= n - extra)
+    parts = []
+    for far, cut, names in ((False, n_train, (DEVELOPMENT, VALIDATION)), (True, n_pool, (POOL, HELDOUT))):
+        p = ranked_by_hex(d.where(F.col("_far") == far).withColumn("_hex", seeded_hex(seed, F.col(ident).cast("string"))), "_hex", "_rank")
+        parts.append(p.withColumn("role", F.when(F.col("_rank") < cut, names[0]).otherwise(names[1])).drop("_hex", "_rank", "_far", "_by_score"))
+    return parts[0].unionByName(parts[1]), before - n
+
+
+def fingerprint(df: DataFrame, ident: str, columns: list[str], block: int = 4096) -> str:
+    """SHA-256 of the columns' values in the order of a unique integer id, of their number and names.
+
+    Blocks of rows are digested side by side, then the blocks' digests (one a `block` ids).
+    """
+    row = row_fingerprint(columns)
+    each = df.groupBy(F.floor(F.col(ident) / block).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ident), row.alias("h")))), lambda x: x["h"]), ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    whole = each.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "").alias("h"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return whole.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.lit(",".join(columns)), "h"), 256)).first()[0]
+
+
+def covariate_fingerprint(df: DataFrame, ident: str, features: list[str]) -> str:
+    """The fingerprint of what may be seen: features without the target."""
+    return fingerprint(df, ident, features)

@@ -93,15 +93,16 @@ class _Node:
 
 
 class TreeSearch(Regressor):
-    """UCB over a typed grammar; the untried neighbours of the chosen node are scored together."""
+    """UCB over a typed grammar; the untried neighbours of the chosen node are scored together.  reward: of a score, more is better."""
 
-    def __init__(self, iterations: int = 10, width: int = 6, ucb: float = 1.4142, penalty: float = 1e-3, max_ops: int = 8, seed: int = 0):
+    def __init__(self, iterations: int = 10, width: int = 6, ucb: float = 1.4142, penalty: float = 1e-3, max_ops: int = 8, seed: int = 0, reward: Callable[[float], float] | None = None, functions: tuple[str, ...] = ("sin", "cos", "exp", "log")):
+        self.reward, self.functions = reward or (lambda score: 1 / (1 + score)), functions
         self.iterations, self.width, self.ucb, self.penalty, self.max_ops, self.seed = iterations, width, ucb, penalty, max_ops, seed
         self.scores: dict[str, float] = {}
 
     def neighbours(self, text: str, d: int, rng: np.random.Generator) -> list[str]:
         ends = [f"x{i}" for i in range(d)] + ["0.5", "2.0"]
-        out = [f"{f}({text})" for f in ("sin", "cos", "exp", "log")] + [f"({text}) {op} {e}" for op in "+-*/" for e in ends] + [f"({text})**2"]
+        out = [f"{f}({text})" for f in self.functions] + [f"({text}) {op} {e}" for op in "+-*/" for e in ends] + [f"({text})**2"]
         seen, keep = set(), []
         for k in rng.permutation(len(out)):
             try:
@@ -136,7 +137,7 @@ class TreeSearch(Regressor):
             for t in batch:
                 child = _Node(t, node)
                 node.children.append(child)
-                reward, up = 1 / (1 + self.scores[t]), child
+                reward, up = self.reward(self.scores[t]), child
                 while up is not None:
                     up.visits += 1
                     up.total += reward

@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import acquisition, discrepancy, gram, grammar, information, search, smc
+from quillon.operators import acquisition, discovery, discrepancy, gram, grammar, information, search, smc
 from quillon.operators.gram import Prior, generic_bank
 from quillon.plans.data import X, terms
+from quillon.sources.shared import written
 from quillon.sources.tables import table
 
 ACTIONS = np.array([[a, b, 0.0] for a in (-1.5, -0.5, 0.5, 1.5) for b in (-1.0, 1.0)])
@@ -121,7 +122,16 @@ def acquisition_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acquisition.replay(runs, data, generic_bank(3), Prior(), 32)
 
 
+def discovery_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of one discovery over monthly means: seeds, rounds of all islands, the survivor."""
+    d = written(gram.standardised(yearly(spark, sf_dir), [*X, "y"]), "months")
+    held = F.pmod(F.xxhash64("yr", "mo", "l_returnflag"), F.lit(4)) == 0
+    r = discovery.discover(d.where(~held), d.where(held), [F.col(X[0]), F.col(X[1])], F.col("y"), discovery.Policy(islands=("balanced", "low_complexity"), max_rounds=2))
+    return spark.createDataFrame([(e["seq"], e["phase"], e["event"], e["round_id"], e.get("expression")) for e in r["events"]], "seq int, phase string, event string, round_id int, expression string")
+
+
 QUERIES = {
+    "discovery_run": (discovery_run, None),
     "acquisition_runs": (acquisition_runs, None),
     "class_partition": (class_partition, None), "acquisition_scores": (acquisition_scores, None), "predictive_table": (predictive_table, None), "calibrated_power": (calibrated_power, None),
     "adequacy_eprocess": (adequacy, None), "smc_runs": (smc_runs, None), "lasso_poly4": (lasso_poly4, None), "tree_search": (tree_search, None), "exploration_terms": (exploration, None), "grammar_classes": (grammar_classes, None),

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.columns import Z975
-from quillon.operators import distance, information, metrics, ranking, sequential
+from quillon.operators import certify, discovery, distance, information, metrics, ranking, roles, sequential
 from quillon.operators.ordered import quantiles, ranked
+from quillon.sources.shared import written
 from quillon.sources.tables import table
 
 SIZE = 64
@@ -84,9 +85,67 @@ def paired_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("scope", "baseline", *[F.round(c, 3).alias(c) for c in ("delta_mean", "delta_low", "delta_high", "delta_std")], F.round("worse_share", 6).alias("worse_share"), "n")
 
 
+def real_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in four roles, the extremes of price apart."""
+    d, _ = roles.split(table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("y")), ["price"], "y", "p_partkey", 0.7, 0.15, 0.1, "feature0", 7)
+    return d.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("price"), F.sum("p_partkey").alias("keys"))
+
+
+def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(island, new, old): metric vectors made of parts' columns, to put gates to the test."""
+    d = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 2000).alias("v"), (F.col("p_size") / 50.0).alias("s"))
+    value = {"val_nmse": "v", "val_strict": "s", "val_p99": "v * s", "val_p995": "v", "stress_nmse": "s", "stress_strict": "v", "stress_p99": "v * 0.5", "ood_nmse": "v * v", "ood_strict": "s", "ood_penalty": "v", "complexity": "s * 40"}
+    new = F.struct(*[F.expr(value[m]).cast("double").alias(m) for m in discovery.METRICS], F.lit("new").alias("digest"))
+    old = F.struct(*[F.lit(20.0 if m == "complexity" else 0.7).alias(m) for m in discovery.METRICS], F.lit("old").alias("digest"))
+    island = F.element_at(F.array(*map(F.lit, sorted(discovery.ISLANDS))), (F.col("p_partkey") % len(discovery.ISLANDS) + 1).cast("int"))
+    return d.select(island.alias("island"), new.alias("new"), old.alias("old"))
+
+
+def discovery_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many metric vectors dominate the old one, and are accepted, by island."""
+    policy, new, old = discovery.Policy(), F.col("new"), F.col("old")
+    d = metric_rows(spark, sf_dir).select("island", discovery.dominates(new, old, policy).alias("beats"), discovery.accepts(new, old, F.col("island"), policy).alias("accepted"), discovery.island_score(new, F.col("island")).alias("score"))
+    return d.groupBy("island").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("beats").cast("long")).alias("beats"), F.sum(F.col("accepted").cast("long")).alias("accepted"), F.round(F.avg("score"), 8).alias("score"))
+
+
+def projection_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mass of suppliers by the bin of two intervals about their balance; null where an interval crosses an edge."""
+    s = table(spark, sf_dir, "supplier")
+    mass = F.lit(1.0) / F.lit(s.count())
+    rows = s.select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("coordinate"), (F.col("s_acctbal") / 10000).alias("b"))
+    rows = rows.select(F.col("s_suppkey").alias("state"), mass.alias("mass"), "coordinate", (F.col("b") - 0.02 * (F.col("coordinate") + 1)).alias("lower"), (F.col("b") + 0.02).alias("upper"))
+    return certify.projection_bounds(rows, [0.25, 0.75]).select("class_rank", F.round("mass", 9).alias("mass"))
+
+
+_SAFE = " AND ".join(f"{v} <= 0.7 * 1.01 + 1e-12" for v in ("v", "s", "v * s", "v * 0.5", "v * v"))
+_DOM = " AND ".join(f"{v} <= 0.7 * 1.01 + 1e-12" for v in ("v", "s", "v * 0.5", "v * v"))
+_G = "(0.45*(1-v/0.7) + 0.125*(1-v*s/0.7) + 0.125*(1-s/0.7) + 0.1*(1-s/0.7) + 0.1*(1-v*0.5/0.7) + 0.05*(1-v*v/0.7) + 0.05*(1-s/0.7))"
+_COST = "0.2*least(1.0, greatest(0.0, s*40-20)/36.0)"
+
+
+def _score_sql(v: str, s: str, vs: str, p: str, vv: str, size: str) -> str:
+    common = f"2.5*ln(1+{v}) + 0.7*ln(1+{s}) + 0.5*ln(1+{vv}) + 0.15*ln(1+{v})"
+    return f"CASE island WHEN 'balanced' THEN {common} + 0.65*ln(1+{vs}) + 0.35*ln(1+{s}) + 0.02*{size} WHEN 'nmse' THEN {common} + 0.25*ln(1+{vs}) + 0.01*{size} WHEN 'tail' THEN {common} + 1.5*ln(1+{s}) + 1.2*ln(1+{vs}) + 0.7*ln(1+{p}) + 0.012*{size} WHEN 'low_complexity' THEN {common} + 0.25*ln(1+{vs}) + 0.05*{size} ELSE {common} + 0.4*ln(1+{vs}) + 0.015*{size} END"
+
+
+_GATES_SQL = f"""WITH d AS (SELECT ['balanced', 'low_complexity', 'nmse', 'novelty', 'tail'][p_partkey % 5 + 1] AS island, p_retailprice / 2000 AS v, p_size / 50.0 AS s FROM part),
+g AS (SELECT *, {_G} AS gain, {_COST} AS cost, {_score_sql("v", "s", "(v*s)", "(v*0.5)", "(v*v)", "(s*40)")} AS score, {_score_sql("0.7", "0.7", "0.7", "0.7", "0.7", "20")} AS before FROM d),
+a AS (SELECT *, score - CASE WHEN island = 'novelty' THEN 0.3 ELSE 0 END AS after FROM g)
+SELECT island, count(*) AS n, CAST(sum(CASE WHEN {_DOM} AND v <= 1.25 AND (gain - cost >= 0.01 OR s * 40 < 20) AND gain >= cost - 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS beats,
+CAST(sum(CASE WHEN {_SAFE} AND v <= 1.25 AND ((before - after) / abs(before) >= 0.01 OR gain - cost >= 0.01) THEN 1 ELSE 0 END) AS BIGINT) AS accepted, round(avg(score), 8) AS score FROM a GROUP BY island"""
+_SPLIT_SQL = """WITH d AS (SELECT min(p_partkey) AS k, p_retailprice AS price FROM part GROUP BY p_retailprice, p_size), c AS (SELECT count(*) AS n, least(greatest(2, CAST(round_even(count(*) * 0.25, 0) AS BIGINT)), count(*) - 4) AS extra FROM d),
+r AS (SELECT k, price, row_number() OVER (ORDER BY price, k) - 1 >= n - extra AS far, n, extra FROM d, c),
+h AS (SELECT *, row_number() OVER (PARTITION BY far ORDER BY sha256('7:' || k)) - 1 AS place FROM r)
+SELECT CASE WHEN far THEN CASE WHEN place < CAST(round_even(extra * 0.15 / 0.25, 0) AS BIGINT) THEN 'acquisition-pool' ELSE 'untouched-heldout' END ELSE CASE WHEN place < CAST(round_even((n - extra) * 0.7, 0) AS BIGINT) THEN 'development' ELSE 'validation' END END AS role,
+count(*) AS n, round(sum(price), 2) AS price, CAST(sum(k) AS BIGINT) AS keys FROM h GROUP BY 1"""
+_PROJECTION_SQL = """WITH s AS (SELECT s_suppkey, s_acctbal / 10000 AS b, 1.0 / (SELECT count(*) FROM supplier) AS m FROM supplier),
+x AS (SELECT *, (b - 0.02 >= 0.25)::INT + (b - 0.02 >= 0.75)::INT AS l0, (b + 0.02 >= 0.25)::INT + (b + 0.02 >= 0.75)::INT AS h0, (b - 0.04 >= 0.25)::INT + (b - 0.04 >= 0.75)::INT AS l1 FROM s)
+SELECT CAST(CASE WHEN l0 = h0 AND l1 = h0 THEN l0 + 3 * l1 END AS BIGINT) AS class_rank, round(sum(CAST(m AS DOUBLE)), 9) AS mass FROM x GROUP BY 1"""
+
+
 def signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = metrics.wilcoxon_holm(metrics.paired_deltas(runs(spark, sf_dir), "scope", "unit", "policy", "F", "v"), ["scope", "baseline"])
-    return d.select("scope", "baseline", "n", F.round("mean", 3).alias("mean"), F.round("median", 3).alias("median"), "n_wins", "n_ties", F.round("p", 6).alias("p"))
+    return d.select("scope", "baseline", "n", F.round("mean", 3).alias("mean"), F.round("median", 3).alias("median"), "n_wins", "n_ties", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"))
 
 
 _TAIL = "exp(-z*z/2)/2.5066282746310002*(0.319381530*t + -0.356563782*power(t,2) + 1.781477937*power(t,3) + -1.821255978*power(t,4) + 1.330274429*power(t,5))"
@@ -359,10 +418,16 @@ _CEN = "e AS (SELECT label, unnest(range(1, 65)) AS i, embedding FROM embeddings
 
 
 def evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verification of a hash chain over the event log."""
-    from quillon.operators.evidence import chained, verify
+    """Verification of a hash chain over the event log: as it is, with one payload altered, and with that event's own digest made to fit again."""
+    from quillon.operators.evidence import chained, content_hash, verify
 
-    return verify(chained(table(spark, sf_dir, "events")))
+    log = written(chained(table(spark, sf_dir, "events")), "chain")
+    hit = F.col("seq") == 100
+    altered = log.withColumn("payload", F.when(hit, F.lit("altered")).otherwise(F.col("payload")))
+    refitted = altered.withColumn("event_hash", F.when(hit, content_hash(F.col("seq"), F.col("payload"), F.col("previous_hash"))).otherwise(F.col("event_hash")))
+    cases = {"as it is": log, "altered": altered, "refitted": refitted}
+    out = [verify(x).select(F.lit(k).alias("log"), "n_events", (F.col("wrong_hashes") > 0).alias("wrong_hashes"), (F.col("broken_links") > 0).alias("broken_links"), "duplicate_ids", "valid") for k, x in cases.items()]
+    return out[0].unionAll(out[1]).unionAll(out[2])
 
 
 def island_median(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,9 +464,10 @@ QUERIES = {
     "ood_extremes": (ood_extremes, "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.05) a, quantile_cont(l_extendedprice, 0.95) b, quantile_cont(l_quantity, 0.05) c, quantile_cont(l_quantity, 0.95) d FROM lineitem WHERE year(l_shipdate) <= 1998) SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean_price FROM lineitem, q WHERE l_extendedprice < a OR l_extendedprice > b OR l_quantity < c OR l_quantity > d GROUP BY 1"),
     "entropy_by_user": (entropy_by_user, "WITH c AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY 1, 2), p AS (SELECT user_id, c, c / sum(c) OVER (PARTITION BY user_id) AS p FROM c) SELECT user_id, round(-sum(p*ln(p)), 8) + 0.0 AS entropy, CAST(sum(c) AS BIGINT) AS n FROM p GROUP BY 1"),
     "spearman": (spearman, "WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1)/2.0 AS a, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1)/2.0 AS b FROM lineitem) SELECT count(*) AS n, round(corr(a, b), 8) AS rho FROM r"),
+    "real_split": (real_split, _SPLIT_SQL), "discovery_gates": (discovery_gates, _GATES_SQL), "projection_bounds": (projection_bounds, _PROJECTION_SQL),
     "mean_ci": (mean_ci, f"WITH g AS (SELECT o_orderpriority, o_orderstatus, avg(o_totalprice) AS m, coalesce(stddev_samp(o_totalprice), 0) AS s, count(*) AS n FROM orders GROUP BY 1, 2) SELECT o_orderpriority, o_orderstatus, round(m, 4) AS price_mean, round(m - {_HALF}, 4) AS price_low, round(m + {_HALF}, 4) AS price_high, round(s, 4) AS price_std, n FROM g"),
     "paired_effects": (paired_effects, f"WITH {_RUNS}, g AS (SELECT scope, baseline, avg(delta) AS m, coalesce(stddev_samp(delta), 0) AS s, count(*) AS n, avg(CASE WHEN delta > 0 THEN 1 ELSE 0 END) AS w FROM d GROUP BY 1, 2) SELECT scope, baseline, round(m, 3) AS delta_mean, round(m - {_HALF}, 3) AS delta_low, round(m + {_HALF}, 3) AS delta_high, round(s, 3) AS delta_std, round(w, 6) AS worse_share, n FROM g"),
-    "signed_rank": (signed_rank, f"WITH {_RUNS}, a AS (SELECT *, round(abs(delta), 12) AS ad FROM d), r AS (SELECT *, rank() OVER (PARTITION BY scope, baseline ORDER BY ad) + (count(*) OVER (PARTITION BY scope, baseline, ad) - 1)/2.0 AS rk, count(*) OVER (PARTITION BY scope, baseline, ad) AS tie FROM a WHERE ad > 0), w AS (SELECT scope, baseline, sum(CASE WHEN delta < 0 THEN rk ELSE 0 END) AS w, count(*) AS m, sum(tie*tie - 1) AS ties3 FROM r GROUP BY 1, 2), g AS (SELECT scope, baseline, count(*) AS n, avg(delta) AS mean, quantile_cont(delta, 0.5) AS median, count(*) FILTER (delta < 0) AS n_wins, count(*) FILTER (ad = 0) AS n_ties FROM a GROUP BY 1, 2), z AS (SELECT g.*, coalesce(m, 0) AS m0, CASE WHEN m > 0 THEN (w - m*(m+1)/4.0 - 0.5)/sqrt(m*(m+1)*(2*m+1)/24.0 - ties3/48.0) ELSE 0 END AS z FROM g LEFT JOIN w USING (scope, baseline)), t AS (SELECT *, 1/(1 + 0.2316419*abs(z)) AS t FROM z) SELECT scope, baseline, n, round(mean, 3) AS mean, round(median, 3) AS median, n_wins, n_ties, round(CASE WHEN z >= 0 THEN {_TAIL} ELSE 1 - {_TAIL} END, 6) AS p FROM t"),
+    "signed_rank": (signed_rank, f"WITH {_RUNS}, a AS (SELECT *, round(abs(delta), 12) AS ad FROM d), r AS (SELECT *, rank() OVER (PARTITION BY scope, baseline ORDER BY ad) + (count(*) OVER (PARTITION BY scope, baseline, ad) - 1)/2.0 AS rk, count(*) OVER (PARTITION BY scope, baseline, ad) AS tie FROM a WHERE ad > 0), w AS (SELECT scope, baseline, sum(CASE WHEN delta < 0 THEN rk ELSE 0 END) AS w, count(*) AS m, sum(tie*tie - 1) AS ties3 FROM r GROUP BY 1, 2), g AS (SELECT scope, baseline, count(*) AS n, avg(delta) AS mean, quantile_cont(delta, 0.5) AS median, count(*) FILTER (delta < 0) AS n_wins, count(*) FILTER (ad = 0) AS n_ties FROM a GROUP BY 1, 2), z AS (SELECT g.*, coalesce(m, 0) AS m0, CASE WHEN m > 0 THEN (w - m*(m+1)/4.0 - 0.5)/sqrt(m*(m+1)*(2*m+1)/24.0 - ties3/48.0) ELSE 0 END AS z FROM g LEFT JOIN w USING (scope, baseline)), t AS (SELECT *, 1/(1 + 0.2316419*abs(z)) AS t FROM z) SELECT scope, baseline, n, round(mean, 3) AS mean, round(median, 3) AS median, n_wins, n_ties, round(p, 6) AS p, round(max(least(1.0, p * (k - i + 1))) OVER (PARTITION BY scope ORDER BY i), 6) AS p_holm FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY p, baseline) AS i, count(*) OVER (PARTITION BY scope) AS k FROM (SELECT *, CASE WHEN z >= 0 THEN {_TAIL} ELSE 1 - {_TAIL} END AS p FROM t))"),
     "family_means": (family_means, f"WITH {_RUNS}, u AS (SELECT policy, unit, avg(v) AS u FROM runs GROUP BY 1, 2) SELECT policy, round(avg(u), 4) AS family_mean, count(*) AS n_units FROM u GROUP BY 1"),
     "quantified_gates": (quantified_gates, f"WITH {_RUNS}, g AS (SELECT scope, baseline, avg(delta) AS m, avg(CASE WHEN delta > 0 THEN 1 ELSE 0 END) AS w FROM d GROUP BY 1, 2) SELECT scope, bool_and(m <= 0) AS all_gain, bool_and(w <= 0.25) AS all_safe, count(*) AS n_baselines FROM g GROUP BY 1"),
     "area_under_curve": (area_under_curve, "WITH o AS (SELECT user_id, value, lead(value) OVER w AS nxt, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, count(*) AS n, round(coalesce(sum(0.5*(value + nxt)), 0), 4) AS area, round(CASE WHEN count(*) > 1 AND max(CASE WHEN k = 1 THEN value END) <> 0 THEN sum(0.5*(value + nxt))/((count(*) - 1)*max(CASE WHEN k = 1 THEN value END)) END, 6) AS normalised FROM o GROUP BY 1"),
@@ -441,7 +507,7 @@ QUERIES = {
     "nearest_neighbour": (nearest_neighbour, "WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT q.vec_id AS query_id, x.vec_id AS nn_id, list_distance(q.e, CAST(x.embedding AS DOUBLE[])) AS d FROM q JOIN embeddings x ON x.vec_id <> q.vec_id) SELECT query_id, arg_min(nn_id, (d, nn_id)) AS nn_id, round(min(d), 5) AS distance FROM d GROUP BY 1"),
     "label_kernel": (label_kernel, f"WITH {_CEN} SELECT a, b, round(d2, 5) AS d2, round(exp(-0.5*d2/(SELECT quantile_cont(d2, 0.5) FROM k WHERE a < b AND d2 > 0)), 5) AS k FROM k"),
     "label_mmd": (label_mmd, f"WITH {_CEN}, g AS (SELECT a, b, exp(-0.5*d2) AS k FROM k), s AS (SELECT sum(CASE WHEN a < 3 AND b < 3 THEN k END) AS oo, sum(CASE WHEN a < 3 THEN k END) AS ot, sum(k) AS tt, 3.0 AS n, count(DISTINCT a)*1.0 AS m FROM g), c AS (SELECT a AS candidate, sum(CASE WHEN b < 3 THEN k END) AS co, sum(k) AS ct FROM g WHERE a >= 3 GROUP BY 1), r AS (SELECT candidate, oo/(n*n) - 2*ot/(n*m) + tt/(m*m) AS cur, (oo + 2*co + 1)/((n+1)*(n+1)) - 2*(ot + ct)/((n+1)*m) + tt/(m*m) AS aug FROM c, s) SELECT candidate, round(cur, 6) AS current, round(aug, 6) AS augmented, aug <= cur AS safe FROM r"),
-    "evidence_chain": (evidence_chain, "SELECT count(*) AS n_events, CAST(0 AS BIGINT) AS broken_links, CAST(0 AS BIGINT) AS wrong_hashes, CAST(0 AS BIGINT) AS duplicate_ids, true AS valid FROM events"),
+    "evidence_chain": (evidence_chain, "SELECT log, (SELECT count(*) FROM events) AS n_events, wrong_hashes, (SELECT max(event_id) >= 4096 FROM events) AND log <> 'as it is' OR log = 'refitted' AS broken_links, CAST(0 AS BIGINT) AS duplicate_ids, log = 'as it is' AS valid FROM (VALUES ('as it is', false), ('altered', true), ('refitted', false)) AS t(log, wrong_hashes)"),
     "island_median": (island_median, "WITH c AS (SELECT event_type, user_id, count(*) AS c FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY c, user_id) - 1 AS rk, count(*) OVER (PARTITION BY event_type) AS n FROM c) SELECT event_type, c AS median, n AS n_islands FROM r WHERE rk = (n - 1)//2"),
     "particle_bounds": (particle_bounds, "WITH g AS (SELECT n_nationkey + 1 AS s, 2*n_nationkey + 1 AS islands FROM nation), x AS (SELECT s, islands, unnest(range((islands + 1)//2, islands + 1)) AS k FROM g) SELECT s, islands, CAST(ceil(ln(128.0*s)*greatest(18/0.5, 1/(2*power(0.1, 2)))) AS BIGINT) AS particles, round(sum(exp(lgamma(islands + 1) - lgamma(k + 1) - lgamma(islands - k + 1) + k*ln(0.25) + (islands - k)*ln(0.75))), 10) AS failure FROM x GROUP BY 1, 2"),
     "grammar_mass": (grammar_mass, "WITH RECURSIVE g(n, a) AS (SELECT 1, [2::BIGINT] UNION ALL SELECT n + 1, list_append(a, CAST(a[n] + 2*coalesce(list_sum(list_transform(range(1, n), lambda l: a[l]*a[n - l])), 0) AS BIGINT)) FROM g WHERE n < 10) SELECT CAST(n AS INTEGER) AS size, a[n] AS expressions, round(0.6*power(0.4, n - 1), 10) AS mass, round(power(0.4, n), 10) AS tail FROM g"),
