@@ -3,7 +3,9 @@
 Sources lay conversations out in different ways.  The nested field paths of a row, sorted and
 hashed, are its schema fingerprint; the fingerprint selects a declarative mapping, a list of
 field paths and roles, that turns the row into canonical turns (an array of role and text).
-A typed table has one fingerprint, taken from its schema; JSON rows have one each.
+A typed table has one fingerprint, taken from its schema; JSON rows have one each.  A row with
+fields of several layouts has a fingerprint of none: it goes by the first mapping, in the order of
+MAPPINGS, all of whose paths it has.
 
 The template puts `<s>[INST]role[/INST]text</s>` for each turn.  In roles and texts `&`, `<`
 and `[` are escaped, so no control string can occur inside them and escaping is undone
@@ -11,8 +13,9 @@ exactly.  The loss mask lists the code point ranges of assistant texts in the ou
 
 Defined cases: null roles and texts are empty strings; turns of one number go by role, then
 text; a conversation of no turns gives an empty string; repeated rows are repeated turns;
-columns that no mapping names are ignored; an unknown fingerprint raises for a typed table and
-gives null turns for a JSON row.
+columns that the chosen mapping doesn't name are ignored, also those that another one names; a table
+with the paths of no mapping raises, a JSON row with them has null turns; rows without a conv_id are
+one conversation, null; texts of any length are kept whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,7 +111,8 @@ def _prefixed(keys: Column, at: str) -> Column:
 
 def canonical(df: DataFrame) -> DataFrame:
     """A table of any known layout as (conv_id, turns); tables without a conv_id get one from their row's content."""
-    m = BY_PRINT.get(fingerprint(field_paths(df.schema)))
+    paths = field_paths(df.schema)
+    m = BY_PRINT.get(fingerprint(paths)) or next((m for m in MAPPINGS if paths >= set(m.paths)), None)
     if m is None:
         raise ValueError(f"no mapping has the fields {sorted(field_paths(df.schema))}")
     if m.key:
@@ -129,7 +133,8 @@ def canonical_json(df: DataFrame, column: str) -> DataFrame:
     paths = F.array_sort(F.array_intersect(F.array_distinct(F.concat(top, *below)), known))
     out: Column = F.lit(None).cast(TURNS)
     print_ = F.sha2(F.array_join(paths, "\n"), 256)
-    for h, m in BY_PRINT.items():
+    made: list[tuple[Mapping, Column]] = []
+    for m in MAPPINGS:
         if m.key:
             continue
         if m.list_field:
@@ -137,7 +142,11 @@ def canonical_json(df: DataFrame, column: str) -> DataFrame:
             turns = _listed(items, m)
         else:
             turns = _single(m, lambda p: F.get_json_object(raw, f"$.{p}"))
-        out = F.when(print_ == h, turns).otherwise(out)
+        made.append((m, turns))
+    for m, turns in reversed(made):  # what is asked last decides first
+        out = F.when(F.size(F.array_except(F.array(*map(F.lit, m.paths)), paths)) == 0, turns).otherwise(out)
+    for m, turns in made:
+        out = F.when(print_ == fingerprint(m.paths), turns).otherwise(out)
     return df.withColumns({"fingerprint": print_, "turns": out})
 
 

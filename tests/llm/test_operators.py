@@ -500,3 +500,91 @@ def test_language_clean(spark):
     kept = got.collect()
     assert got.columns == docs.columns and len(kept) == 61
     assert {r.lang for r in kept} == {"en"} and {r.doc_id for r in kept} == {*range(60), None}
+
+
+def test_chat_clashing_fields(spark):
+    """Fields of another layout beside a whole one don't matter."""
+    import json
+
+    rows = spark.createDataFrame([(1, 0, "user", "q", "p", 1), (1, 1, "assistant", "a", None, 2), (None, 0, "user", None, "p", 3)], "conv_id long, turn long, role string, text string, prompt string, formatted int")
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat_format.canonical(rows).collect()}
+    assert got == {1: [("user", "q"), ("assistant", "a")], None: [("user", "")]}
+    mixed = [{"messages": [{"role": "user", "content": "q"}], "input": "x"}, {"instruction": "i", "output": "o", "prompt": "p"}, {"prompt": "p", "answer": "a"}]
+    df = spark.createDataFrame([(json.dumps(x),) for x in mixed], "j string")
+    assert [r.turns and [tuple(t) for t in r.turns] for r in chat_format.canonical_json(df, "j").collect()] == [[("user", "q")], [("user", "i"), ("assistant", "o")], None]
+
+
+def test_secrets_in_prose(spark):
+    """Random strings without a telling word, planted between words, paths and identifiers of the same length."""
+    rng = random.Random(41)
+    alphabets = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    ordinary = ["internationalisation", "src/main/java/org/example/application", "get_user_account_by_identifier", "https_proxy_configuration_2024", "abstractHttpMessageConverter2", "the-quick-brown-fox-jumps-over-1-dog", "maximum_likelihood_estimation", "Donaudampfschifffahrtsgesellschaft", "com/example/service/v2/orders/items"]
+    rows, planted = [], []
+    for k in range(300):
+        words = [rng.choice(["we", "use", "the", "service", "with", "this", "value", "and", "then", "go"]) for _ in range(20)]
+        words.insert(7, rng.choice(ordinary))
+        if k % 2:
+            alphabet = alphabets[k // 2 % 3]
+            token = "".join(rng.choice(alphabet) for _ in range(rng.randint(24, 44)))
+            words.insert(13, token if any(c.isdigit() for c in token) else token[:-1] + "7")
+        planted.append(len(" ".join(words[:13])) + 1 if k % 2 else None)
+        rows.append(" ".join(words))
+    got = {r.doc_id: [(x["start"], x["kind"]) for x in r.spans] for r in secret_scan.scan(table(spark, rows)).collect()}
+    found = sum(any(s == planted[k] for s, _ in got[k]) for k in range(300) if planted[k] is not None)
+    wrong = sum(s != planted[k] for k in range(300) for s, _ in got[k])
+    assert found >= 0.95 * 150 and wrong <= 3, (found, wrong)
+
+
+def test_contract_columns(spark):
+    """The queries' digests against the contract, read with Python's own libraries."""
+    import tiktoken
+    import public_tokenizers
+    import zlib
+    from tokenizers import Tokenizer
+
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+
+    def sha(x):
+        return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+    for r in secret_scan.query(spark, d).collect():
+        want = secret_scan.brute(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _ in want) for j in range(3))
+        assert r.base_sha256 == sha(",".join(f"{secret_scan.KINDS[k]}:{a}:{e}" for a, k, e in want))
+    assert sorted(map(tuple, substring_dedup.query(spark, d).collect())) == sorted(substring_dedup.brute(list(texts.items())))
+    for r in media_audio.query(spark, d).collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-32:]))
+    held = language_id.query(spark, d).collect()
+    assert len(held) == len(texts) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in held)
+    items = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").selectExpr("cast(item_id as string)", "text").collect()]
+    assert sorted(map(tuple, decontaminate.query(spark, d).collect())) == sorted(decontaminate.brute(list(texts.items()), items))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY)), special_tokens={})
+    for r in byte_bpe.query(spark, d).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(texts[r.doc_id]))
+    lib = Tokenizer.from_file(public_tokenizers.path(token_count.VOCABULARY))
+    for r in token_count.query(spark, d).collect():
+        n = len(lib.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
+    pages = html_extract.query(spark, d).collect()
+    assert all(r.n_chars == len(r.text) for r in pages) and len(pages) == spark.read.parquet(f"{d}/pages.parquet").count()
+
+
+def test_rows_beyond_a_slice(spark):
+    """Texts over one slice of a batch are taken whole, alone or beside short ones."""
+    rng = random.Random(77)
+    pool = ["w%d" % k for k in range(5000)]
+    long = " ".join(rng.choice(pool) for _ in range(260_000))
+    rows = ["short one", long, None, long, "tail " + long[: 400_000], "short one"]
+    assert len(long) > 1 << 20
+    got = sorted(map(tuple, substring_dedup.repeats(table(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()))
+    assert got == sorted(substring_dedup.brute(list(enumerate(rows))))
+    assert class_of(spark, rows) == {0: 0, 1: 1, 2: 2, 3: 1, 4: 4, 5: 0}
+    ids = {r.doc_id: bytes(r.decoded) for r in byte_bpe.encode(table(spark, rows), round_trip=True).collect()}
+    assert all(ids[k] == (t or "").encode() for k, t in enumerate(rows))
+    bench = spark.createDataFrame([(1, " ".join(long.split()[200_000:200_015]))], "item_id long, text string")
+    hit = {r.doc_id: len(r.hit_words) for r in decontaminate.hits(table(spark, rows), bench).collect()}
+    assert hit == {0: 0, 1: 15, 2: 0, 3: 15, 4: 0, 5: 0}
