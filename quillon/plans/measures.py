@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.columns import Z975
+from quillon.functions.columns import Z975, small_t
 from quillon.operators import certify, discovery, distance, information, metrics, ranking, roles, sequential
 from quillon.operators.ordered import quantiles, ranked
 from quillon.sources.shared import written
@@ -69,7 +69,8 @@ def _t(df: str) -> str:
     return f"CASE WHEN {df} = 1 THEN tan(pi()*0.475) WHEN {df} = 2 THEN 2*0.475*sqrt(2/(4*0.975*0.025)) ELSE {series} END"
 
 
-_HALF = f"CASE WHEN n > 1 THEN ({_t('(n-1)')}) * s / sqrt(n) ELSE 0 END"
+_SMALL = "[" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in small_t()) + "]"
+_HALF = f"CASE WHEN n > 41 THEN ({_t('(n-1)')}) * s / sqrt(n) WHEN n > 1 THEN {_SMALL}[n-1] * s / sqrt(n) ELSE 0 END"
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

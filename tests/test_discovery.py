@@ -119,7 +119,7 @@ def test_discovery_finds_a_law(spark):
     d = spark.range(400).select(((F.col("id") * 37 % 101) / 50 - 1).alias("a"), ((F.col("id") * 53 % 97) / 48 - 1).alias("b"), "id").withColumn("y", 1.5 + 2 * F.col("a") * F.col("b") - 0.5 * F.sin("a"))
     train, valid = d.where("id % 4 > 0").cache(), d.where("id % 4 = 0").cache()
     xs, y = [F.col("a"), F.col("b")], F.col("y")
-    r = discovery.discover(train, valid, xs, y, discovery.Policy(islands=("balanced",), max_rounds=2), seeds=[("1.5", "seed"), ("broken(", "seed")])
+    r = discovery.discover(train, valid, xs, y, discovery.Policy(islands=("balanced",), max_rounds=1), seeds=[("1.5", "seed"), ("broken(", "seed")])
     assert r["survivor"]["metrics"]["val_nmse"] < 1e-3 < r["anchor"]["metrics"]["val_nmse"]
     assert [e["phase"] for e in r["events"]][:2] == ["INITIALIZE", "SEED"] and r["events"][-1]["phase"] == "COMPLETE" and r["lineage"]
     assert [s for _, s in discovery.deterministic_candidates(train, xs, y)][0] == "constant"
