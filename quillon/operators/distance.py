@@ -29,7 +29,7 @@ def nearest(df: DataFrame, ident: str, vector: str, queries: DataFrame, block: i
     Queries go out in blocks of bounded size; each partition keeps one candidate a query.
     """
     parts, held = [], []
-    for r in queries.select(ident, vector).orderBy(ident).toLocalIterator():
+    for r in queries.select(ident, vector).where(F.col(vector).isNotNull()).orderBy(ident).toLocalIterator():
         held.append((r[0], r[1]))
         if len(held) == block:
             parts.append(_nearest(df, ident, vector, held))
@@ -52,28 +52,38 @@ def _nearest(df: DataFrame, ident: str, vector: str, queries: list) -> DataFrame
         best = np.full(len(ids), np.inf)
         at = np.zeros(len(ids), np.int64)
         for p in parts:
+            p = p[p[vector].notna()]
             if not len(p) or not len(ids):
                 continue
             x, n = np.stack(p[vector].to_numpy()).astype(float), p[ident].to_numpy()
             for k in range(0, len(x), 1024):
                 xs, ns = x[k : k + 1024], n[k : k + 1024]
-                order = np.argsort(ns, kind="stable")
-                xs, ns = xs[order], ns[order]
-                d = np.maximum((q * q).sum(1)[:, None] + (xs * xs).sum(1)[None, :] - 2 * q @ xs.T, 0)
+                size = (q * q).sum(1)[:, None] + (xs * xs).sum(1)[None, :]
+                d = size - 2 * q @ xs.T
                 d[ids[:, None] == ns[None, :]] = np.inf
-                j = d.argmin(axis=1)
-                # The expansion rounds; the winner's distance is taken from differences.
-                v = np.where(np.isinf(d[np.arange(len(ids)), j]), np.inf, ((q - xs[j]) ** 2).sum(1))
-                better = (v < best) | (v == best) & (ns[j] < at)
-                best, at = np.where(better, v, best), np.where(better, ns[j], at)
+                # The expansion rounds: all that its error leaves possible is measured by differences.
+                slack = 4 * (q.shape[1] + 4) * np.finfo(float).eps * size
+                qs, js = np.nonzero(d - slack <= np.minimum((d + slack).min(axis=1), best)[:, None])
+                for c in range(0, len(qs), 16384):
+                    i, j = qs[c : c + 16384], js[c : c + 16384]
+                    v = ((q[i] - xs[j]) ** 2).sum(1)
+                    v[ids[i] == ns[j]] = np.inf
+                    order = np.lexsort((ns[j], v, i))
+                    i, j, v = i[order], j[order], v[order]
+                    first = np.r_[True, i[1:] != i[:-1]]
+                    i, j, v = i[first], j[first], v[first]
+                    better = (v < best[i]) | (v == best[i]) & (ns[j] < at[i])
+                    best[i[better]], at[i[better]] = v[better], ns[j[better]]
         good = np.isfinite(best)
         yield pd.DataFrame({"query_id": ids[good], "nn_id": at[good], "d2": best[good]})
 
     return df.select(ident, vector).mapInPandas(run, f"query_id {kind}, nn_id {kind}, d2 double")
 
 
-def kernel_table(points: DataFrame, ident: str, vector: str) -> DataFrame:
-    """(a, b, d2) of all ordered pairs of a small registered design (centers, candidates), which is broadcast."""
+def kernel_table(points: DataFrame, ident: str, vector: str, most: int = 4096) -> DataFrame:
+    """(a, b, d2) of all ordered pairs of a small registered design (centers, candidates), which is broadcast; more than `most` points raise."""
+    if points.limit(most + 1).count() > most:
+        raise ValueError("too many points for a table of all pairs")
     b = points.select(F.col(ident).alias("b"), F.col(vector).alias("_vb"))
     return points.select(F.col(ident).alias("a"), F.col(vector).alias("_va")).join(F.broadcast(b)).select("a", "b", squared_distance(F.col("_va"), F.col("_vb")).alias("d2"))
 

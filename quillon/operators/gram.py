@@ -8,14 +8,22 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import special
 
+#: Terms that one aggregate takes: beyond, its columns outgrow code generation.
+WIDE = 24
+#: Partitions of the levels at which partial matrices are added.
+MERGES = (64, 1)
+PARTIAL = pa.schema([("n", pa.float64()), ("sums", pa.list_(pa.float64()))])
+
 LEGACY = {
     "1": lambda x: F.lit(1.0), "x": lambda x: x, "x_alias": lambda x: x, "x2": lambda x: x * x, "x3": lambda x: x * x * x,
     "sin_x": F.sin, "cos_x": F.cos, "exp_neg_x2": lambda x: F.exp(-x * x), "reciprocal_1_plus_x2": lambda x: 1 / (1 + x * x),
@@ -94,10 +102,42 @@ def _unpack(names: tuple[str, ...], row) -> Stats:
 
 
 def gram(df: DataFrame, terms: dict[str, Column], y: Column) -> Stats:
-    """Sufficient statistics by one partial-then-final aggregate."""
+    """Sufficient statistics in one pass: one aggregate, or partial matrices beyond WIDE terms; a product with a null counts as none."""
+    if len(terms) > WIDE:
+        return _wide(df, terms, y)
     return _unpack(tuple(terms), df.agg(*[c.alias(f"s{k}") for k, c in enumerate(_sums(terms, y))]).first())
 
 
+def _wide(df: DataFrame, terms: dict[str, Column], y: Column) -> Stats:
+    """One matrix a partition from Arrow batches, added up in a tree; the driver gets one matrix."""
+    k = len(terms) + 1
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0.0, np.zeros((k, k))
+        for b in batches:
+            for at in range(0, b.num_rows, 65536):
+                m = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in b.slice(at, 65536).columns])
+                n, total = n + len(m), total + m.T @ m
+        yield pa.RecordBatch.from_pydict({"n": [n], "sums": [total.ravel()]}, schema=PARTIAL)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0.0, np.zeros(k * k)
+        for b in batches:
+            for got, sums in zip(b["n"].to_pylist(), b["sums"]):
+                n, total = n + got, total + sums.values.to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_pydict({"n": [n], "sums": [total]}, schema=PARTIAL)
+
+    columns = [c.cast("double").alias(f"c{i}") for i, c in enumerate([*terms.values(), y])]
+    parts = df.select(*columns).mapInArrow(partial, "n double, sums array<double>")
+    for count in MERGES:
+        parts = parts.repartition(count).mapInArrow(add, "n double, sums array<double>")
+    row = parts.first()
+    if row is None:
+        return Stats(tuple(terms), 0.0, np.zeros((k - 1, k - 1)), np.zeros(k - 1), 0.0)
+    m = np.array(row["sums"]).reshape(k, k)
+    return Stats(tuple(terms), row["n"], m[:-1, :-1], m[:-1, -1], float(m[-1, -1]))
+
+
 def grams(df: DataFrame, terms: dict[str, Column], y: Column, key: Column, most: int = 1000) -> dict:
     """Sufficient statistics by a key of few values (folds); more than `most` raise."""
     rows = df.groupBy(key.alias("_key")).agg(*[c.alias(f"s{k}") for k, c in enumerate(_sums(terms, y))]).limit(most + 1).collect()

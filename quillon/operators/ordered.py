@@ -6,10 +6,16 @@ bucket, and only rows of one bucket meet in a task.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+#: A value in this many buckets or more is cut by ident, into TIE_PARTS parts.
+TIED, TIE_PARTS = 16, 64
 
 
 def _before(counts: DataFrame, keys: list[str], bucket: str, sums: list[str]) -> DataFrame:
@@ -26,26 +32,50 @@ def ranked_by_hex(df: DataFrame, hexed: str, rank: str = "rank", digits: int = 3
     return df.join(F.broadcast(before), "_bucket").withColumn(rank, F.col("_n_before") + F.row_number().over(w) - 1).drop("_bucket", "_n_before")
 
 
-def _bounds(df: DataFrame, value: Column) -> tuple[float, float]:
-    lo, hi = df.agg(F.min(value), F.max(value)).first()
-    return (0.0, 0.0) if lo is None else (float(lo), float(hi))
+def _levels(df: DataFrame, value: str, parts: int) -> list[float]:
+    """The parts - 1 inner quantiles of a double column, approximate, ascending and with repeats; non-finite ones are left out."""
+    levels = ", ".join(f"{k / parts!r}D" for k in range(1, parts))
+    row = df.agg(F.expr(f"percentile_approx(CASE WHEN NOT isnan({value}) THEN {value} END, array({levels}), {2 * parts})")).first()
+    return [v + 0.0 for v in row[0] or [] if math.isfinite(v)]
+
+
+def _search(df: DataFrame, value: str, levels: list[float], out: str) -> DataFrame:
+    """Adds the bucket of a double column between the levels: nulls in -1, NaN in the last; a repeated level has a bucket of its own."""
+    splits = {-math.inf, math.inf, *levels, *[math.nextafter(v, math.inf) for v, n in Counter(levels).items() if n > 1]}
+    if len(splits) < 3:
+        splits |= {0.0}
+    df = Bucketizer(splits=sorted(splits), inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
+    return df.withColumn(out, F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.col(out).cast("int")))
 
 
-def bucket_of(value: Column, lo: float, hi: float, buckets: int) -> Column:
-    """An order-preserving bucket between the bounds."""
-    if hi <= lo:
-        return F.lit(0)
-    return F.least(F.lit(buckets - 1), F.floor((value - F.lit(lo)) / F.lit((hi - lo) / buckets)).cast("int"))
+def bucketed(df: DataFrame, value: Column, buckets: int = BUCKETS, ident: str | None = None) -> DataFrame:
+    """Adds an order-preserving _bucket, -1 and up, with about as many rows in each whatever the values' spread.
+
+    The bounds are approximate quantiles, so outliers and skew don't fill one bucket.  A value
+    that fills TIED buckets or more is cut by the quantiles of a numeric ident among its rows.
+    """
+    plain = F.when(value == 0, F.lit(0.0)).otherwise(value.cast("double"))
+    df = df.withColumn("_double", plain)
+    levels = _levels(df, "_double", buckets)
+    df = _search(df, "_double", levels, "_bucket")
+    tied = [v for v, n in Counter(levels).items() if n >= TIED]
+    kind = dict(df.dtypes).get(ident, "")
+    if tied and kind.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"):
+        df = df.withColumn("_ident", F.when(F.col("_double").isin(tied), F.col(ident).cast("double")))
+        df = _search(df, "_ident", _levels(df, "_ident", TIE_PARTS), "_part")
+        df = df.withColumn("_bucket", F.col("_bucket") * (2 * TIE_PARTS + 2) + F.col("_part") + 1).drop("_ident", "_part")
+    return df.drop("_double")
 
 
 def running(df: DataFrame, order: Column, ident: str, sums: dict[str, Column], keys: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Adds running sums, this row included, in the order of (order, ident) within the keys.
 
-    order: numeric.  Keys times buckets rows are aggregated; a hot key is cut into its buckets.
+    order: numeric; nulls come first, NaN last.  Keys times buckets rows are aggregated; a hot
+    key is cut into its buckets.
     """
     keys = keys or []
-    lo, hi = _bounds(df, order)
-    df = df.withColumns({"_order": order, "_bucket": bucket_of(order, lo, hi, buckets), **{f"_v_{k}": c for k, c in sums.items()}})
+    df = df.withColumns({"_order": order, **{f"_v_{k}": c for k, c in sums.items()}})
+    df = bucketed(df, F.col("_order"), buckets, ident)
     totals = df.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{k}").alias(k) for k in sums])
     before = _before(totals, keys, "_bucket", list(sums))
     w = Window.partitionBy(*keys, "_bucket").orderBy("_order", ident).rowsBetween(Window.unboundedPreceding, 0)
@@ -67,8 +97,7 @@ def quantiles(df: DataFrame, value: Column, levels: list[float], keys: list[str]
     """
     keys = keys or []
     df = df.select(*keys, value.alias("_x")).where(F.col("_x").isNotNull())
-    lo, hi = _bounds(df, F.col("_x"))
-    df = df.withColumn("_bucket", bucket_of(F.col("_x"), lo, hi, buckets))
+    df = bucketed(df, F.col("_x"), buckets)
     counts = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_bucket")
     placed = counts.select(*keys, "_bucket", "_n", (F.sum("_n").over(w) - F.col("_n")).alias("_from"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))

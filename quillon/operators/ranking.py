@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TIE = 1e-15
+#: Partitions of the levels at which local fronts meet.
+MERGES = (32, 1)
 
 
 def stable_argmax(df: DataFrame, keys: list[str], score: str, ident: str, tie: float = TIE) -> DataFrame:
@@ -46,7 +48,8 @@ def pareto_front(df: DataFrame, ident: str, metrics: list[str], slack: float = 1
     """Rows that no other beats: at most `slack` worse in every metric, better by more than it in one; less is better.
 
     A bounded set of strong rows is sent to all partitions first, each partition then keeps its
-    own front, and the fronts meet in one last kernel over what is left.
+    own front, and the fronts meet in a tree, so one last kernel sees what some tens of merged
+    fronts left.
     """
     strong = df.orderBy(sum((F.col(m) for m in metrics), F.lit(0.0)), ident).limit(pruners).select(*metrics).collect()
     prune = np.array([[float(v) for v in r] for r in strong]).reshape(-1, len(metrics))
@@ -72,7 +75,9 @@ def pareto_front(df: DataFrame, ident: str, metrics: list[str], slack: float = 1
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in [ident, *metrics])
     left = df.select(ident, *metrics).mapInPandas(local, schema)
-    return left.coalesce(1).mapInPandas(local, schema)
+    for parts in MERGES:
+        left = left.repartition(parts).mapInPandas(local, schema)
+    return left
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -167,15 +167,13 @@ def balance(matrix: DataFrame, target: DataFrame) -> DataFrame:
     return db.crossJoin(st)
 
 
-def reachable(edges: DataFrame, start: Column, most_rounds: int = 64) -> DataFrame:
-    """States that the edge list reaches from the start, by rounds of joins until nothing is new."""
+def reachable(edges: DataFrame, start: Column) -> DataFrame:
+    """States that the edge list reaches from the start, by rounds of joins until nothing is new: as many rounds as the longest shortest path."""
     from quillon.sources.shared import written
 
     seen = written(edges.select(start.alias("state")).limit(1), "reach")
     front = seen
-    for _ in range(most_rounds):
+    while not front.isEmpty():
         front = written(edges.join(front, edges["source"] == front["state"]).select(F.col("target").alias("state")).distinct().join(seen, "state", "left_anti"), "front")
-        if front.isEmpty():
-            break
         seen = written(seen.unionByName(front), "reach")
     return seen

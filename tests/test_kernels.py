@@ -58,6 +58,17 @@ def test_gram_on_rows_equals_arrays(spark):
     assert np.allclose(s.xx, want.xx) and np.allclose(s.xy, want.xy) and abs(s.yy - want.yy) < 1e-9
 
 
+def test_wide_gram_equals_arrays(spark):
+    m = np.random.default_rng(3).normal(size=(300, 31))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in m], [f"c{k}" for k in range(31)])
+    df = df.withColumn("c0", F.when(F.col("c0") > -2, F.col("c0")))
+    m[:, 0][m[:, 0] <= -2] = 0.0
+    s = gram.gram(df, {f"t{k}": F.col(f"c{k}") for k in range(30)}, F.col("c30"))
+    assert s.n == 300 and np.allclose(s.xx, m[:, :30].T @ m[:, :30]) and np.allclose(s.xy, m[:, :30].T @ m[:, 30]) and abs(s.yy - m[:, 30] @ m[:, 30]) < 1e-9
+    empty = gram.gram(df.limit(0), {f"t{k}": F.col(f"c{k}") for k in range(30)}, F.col("c30"))
+    assert empty.n == 0 and not empty.xx.any()
+
+
 def test_special_functions():
     for df in (1.0, 2.5, 7.0, 40.0):
         for z in (-2.0, -0.3, 0.0, 1.1):

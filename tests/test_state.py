@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import evidence, metrics, ordered, roles, sequential
+from quillon.operators import distance, evidence, metrics, ordered, ranking, roles, sequential
 from quillon.sources import tables
 from quillon.streaming import running
 
@@ -71,6 +71,43 @@ def test_ordered_operators(spark):
     assert all(abs(run[i] - x[i % 3 : i + 1 : 3].sum()) < 1e-9 for i in range(len(x)))
 
 
+def test_buckets_hold_few_rows_whatever_the_spread(spark):
+    x = [1e12, -0.0, 0.0, None, float("nan"), float("inf")] + [k / 1000 for k in range(2000)] + [0.5] * 2000
+    df = spark.createDataFrame(list(enumerate(x)), "id long, x double")
+    b = ordered.bucketed(df, F.col("x"), 64, "id")
+    assert b.groupBy("_bucket").count().agg(F.max("count")).first()[0] < 200
+    got = [r.id for r in ordered.ranked(df, F.col("x"), "id", "rk", buckets=64).orderBy("rk").collect()]
+    assert got == [r.id for r in df.orderBy("x", "id").collect()]
+    assert ordered.quantiles(df.where("x < 1e6"), F.col("x"), [0.5]).first().q == 0.5
+    assert ordered.ranked(df.limit(0), F.col("x"), "id").isEmpty()
+
+
+def test_nearest_by_differences(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 6)) * 1e-3 + 1e4  # the expansion of the square keeps no digit of these distances
+    rows = [(k, [float(c) for c in r]) for k, r in enumerate(v)] + [(400, None), (401, [float(c) for c in v[7]])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r.query_id: r.nn_id for r in distance.nearest(df, "id", "v", df.where("id % 20 = 0 OR id = 401"), 5).collect()}
+    d = ((v[:, None] - v[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert got == {k: int(d[k].argmin()) for k in range(0, 400, 20)} | {401: 7}
+    with pytest.raises(ValueError):
+        distance.kernel_table(df.where("v IS NOT NULL"), "id", "v", most=100)
+
+
+def test_front_meets_in_a_tree(spark):
+    x = np.random.default_rng(4).integers(0, 60, (3000, 3)).astype(float)
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "id long, a double, b double, c double").repartition(40)
+    beaten = [((x <= r).all(axis=1) & (x < r).any(axis=1)).any() for r in x]
+    got = {r.id for r in ranking.pareto_front(df, "id", ["a", "b", "c"], pruners=2).collect()}
+    assert got == {k for k, b in enumerate(beaten) if not b}
+
+
+def test_reachable_goes_on_to_the_end(spark):
+    edges = spark.range(70).selectExpr("id AS source", "id + 1 AS target").coalesce(1)
+    assert sequential.reachable(edges, F.lit(0).cast("long")).count() == 71
+
+
 def test_resampling_is_unbiased(spark):
     w = spark.createDataFrame([(0, 0.05), (1, 0.15), (2, 0.30), (3, 0.50)], "id long, w double")
     for f in (lambda: sequential.systematic_counts(w, "id", "w", 400, 0.3), lambda: sequential.stratified_counts(w, "id", "w", 400, 1), lambda: sequential.residual_counts(w, "id", "w", 400, 0.3)):
