@@ -13,13 +13,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+#: Buckets at least and at most, and the estimated bytes that one should hold.
+FEWEST, MOST, HELD = 512, 4096, 64 << 20
 #: A value in this many buckets or more is cut by ident, into TIE_PARTS parts.
 TIED, TIE_PARTS = 16, 64
 
 
 def _before(counts: DataFrame, keys: list[str], bucket: str, sums: list[str]) -> DataFrame:
-    """What lies before each bucket: the aggregate has BUCKETS rows a key at most."""
+    """What lies before each bucket: the aggregate has a few thousand rows a key, more only where ties are cut."""
     w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(*keys, bucket, *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"{s}_before") for s in sums])
 
@@ -32,11 +33,16 @@ def ranked_by_hex(df: DataFrame, hexed: str, rank: str = "rank", digits: int = 3
     return df.join(F.broadcast(before), "_bucket").withColumn(rank, F.col("_n_before") + F.row_number().over(w) - 1).drop("_bucket", "_n_before")
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for a table, by the planner's estimate of its bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(FEWEST, min(MOST, size // HELD))
+
+
 def _levels(df: DataFrame, value: str, parts: int) -> list[float]:
     """The parts - 1 inner quantiles of a double column, approximate, ascending and with repeats; non-finite ones are left out."""
-    levels = ", ".join(f"{k / parts!r}D" for k in range(1, parts))
-    row = df.agg(F.expr(f"percentile_approx(CASE WHEN NOT isnan({value}) THEN {value} END, array({levels}), {2 * parts})")).first()
-    return [v + 0.0 for v in row[0] or [] if math.isfinite(v)]
+    held = df.approxQuantile(value, [k / parts for k in range(1, parts)], 0.5 / parts)
+    return [v + 0.0 for v in held if math.isfinite(v)]
 
 
 def _search(df: DataFrame, value: str, levels: list[float], out: str) -> DataFrame:
@@ -48,12 +54,13 @@ def _search(df: DataFrame, value: str, levels: list[float], out: str) -> DataFra
     return df.withColumn(out, F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.col(out).cast("int")))
 
 
-def bucketed(df: DataFrame, value: Column, buckets: int = BUCKETS, ident: str | None = None) -> DataFrame:
+def bucketed(df: DataFrame, value: Column, buckets: int | None = None, ident: str | None = None) -> DataFrame:
     """Adds an order-preserving _bucket, -1 and up, with about as many rows in each whatever the values' spread.
 
     The bounds are approximate quantiles, so outliers and skew don't fill one bucket.  A value
     that fills TIED buckets or more is cut by the quantiles of a numeric ident among its rows.
     """
+    buckets = buckets or bucket_count(df)
     plain = F.when(value == 0, F.lit(0.0)).otherwise(value.cast("double"))
     df = df.withColumn("_double", plain)
     levels = _levels(df, "_double", buckets)
@@ -67,10 +74,10 @@ def bucketed(df: DataFrame, value: Column, buckets: int = BUCKETS, ident: str |
     return df.drop("_double")
 
 
-def running(df: DataFrame, order: Column, ident: str, sums: dict[str, Column], keys: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def running(df: DataFrame, order: Column, ident: str, sums: dict[str, Column], keys: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Adds running sums, this row included, in the order of (order, ident) within the keys.
 
-    order: numeric; nulls come first, NaN last.  Keys times buckets rows are aggregated; a hot
+    order: numeric; nulls come first, NaN last.  Keys times a few thousand rows at most are aggregated; a hot
     key is cut into its buckets.
     """
     keys = keys or []
@@ -84,12 +91,12 @@ def running(df: DataFrame, order: Column, ident: str, sums: dict[str, Column], k
     return out.drop("_order", "_bucket", *[f"_v_{k}" for k in sums], *[f"{k}_before" for k in sums])
 
 
-def ranked(df: DataFrame, order: Column, ident: str, rank: str = "rank", keys: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def ranked(df: DataFrame, order: Column, ident: str, rank: str = "rank", keys: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Adds the 0-based rank by (order, ident) within the keys."""
     return running(df, order, ident, {rank: F.lit(1)}, keys, buckets).withColumn(rank, F.col(rank) - 1)
 
 
-def quantiles(df: DataFrame, value: Column, levels: list[float], keys: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def quantiles(df: DataFrame, value: Column, levels: list[float], keys: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: (keys, level, q).
 
     Counts of distinct values in the buckets that hold the two neighbours of each level are
