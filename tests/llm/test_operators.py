@@ -99,6 +99,83 @@ def test_media_resynchronises():
     assert (s.frames, s.samples, s.hertz) == (10, 11520, 44100)
 
 
+def bitwise_crc(bits):
+    r = [1] * 16
+    for b in bits:
+        out = r[0] ^ b
+        r = r[1:] + [0]
+        if out:
+            for k in (0, 13, 15):
+                r[k] ^= 1
+    return int("".join(map(str, r)), 2)
+
+
+def bits_of(data):
+    return [int(b) for x in data for b in f"{x:08b}"]
+
+
+@pytest.mark.parametrize(
+    ("head", "length", "body", "bits"),
+    [
+        # Layer II, 192 kbit/s, 48 kHz, two channels: 2 x 88 bits of allocations, then 2 for each that isn't zero.
+        (b"\xff\xfc\xa4\x00", 576, bytes([0x50, 0x01]) + bytes(30), 176 + 2 * 2),
+        # The same as joint stereo from subband 4 on: 32 bits twice over, the other 72 once for both channels.
+        (b"\xff\xfc\xa4\x40", 576, bytes([0x11, 0, 0, 0, 0x10]) + bytes(30), 32 + 72 + 2 * 2 + 2 * 2),
+        # One channel at 48 kbit/s, 32 kHz: 2 x 4 and 10 x 3 bits.
+        (b"\xff\xfc\x28\xc0", 216, bytes([0xF0]) + bytes(30), 38 + 2),
+        # MPEG-2, 160 kbit/s, 24 kHz, two channels: 2 x 75 bits.
+        (b"\xff\xf4\xe4\x00", 960, bytes(40), 150),
+        # Layer I, 192 kbit/s, 48 kHz: joint stereo from subband 8 on, two channels, one channel.
+        (b"\xff\xfe\x64\x50", 192, bytes(range(40)), 160),
+        (b"\xff\xfe\x64\x00", 192, bytes(range(40)), 256),
+        (b"\xff\xfe\x64\xc0", 192, bytes(range(40)), 128),
+    ],
+)
+def test_checksums_of_layers_1_and_2(head, length, body, bits):
+    want = bitwise_crc(bits_of(head[2:4]) + bits_of(body)[:bits])
+    frame = head + want.to_bytes(2, "big") + body
+    frame += bytes(length - len(frame))
+    s = media_audio.parse(frame * 6)
+    assert (s.frames, s.bad_checksums, s.skipped, s.offsets) == (6, 0, 0, list(range(0, 6 * length, length)))
+    torn = bytearray(frame * 6)
+    torn[2 * length + 6 + (bits - 1) // 8] ^= 128 >> (bits - 1) % 8
+    s = media_audio.parse(bytes(torn))
+    assert (s.frames, s.bad_checksums) == (5, 1)
+    torn = bytearray(frame * 6)
+    torn[2 * length + 6 + bits // 8] ^= 128 >> bits % 8  # the first bit that isn't covered
+    assert media_audio.parse(bytes(torn)).frames == 6
+
+
+def test_tables_and_tags_of_other_encoders(spark):
+    head = b"\xff\xfb\x90\x00"  # MPEG-1 Layer III, 128 kbit/s, 44.1 kHz, two channels
+    plain = head + bytes(413)
+    vbri = head + bytes(32) + b"VBRI" + b"".join(x.to_bytes(n, "big") for x, n in ((1, 2), (576, 2), (75, 2), (4170, 4), (9, 4), (3, 2), (10, 2), (2, 2), (3, 2), (125, 2), (126, 2), (127, 2)))
+    lame = head + bytes(32) + b"Info" + (15).to_bytes(4, "big") + (9).to_bytes(4, "big") + (4170).to_bytes(4, "big") + bytes(range(100)) + bytes(4) + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+
+    def field3(name, body):
+        return name + len(body).to_bytes(4, "big") + b"\0\0" + body
+
+    def tag(version, flags, body):
+        return b"ID3" + bytes([version, 0, flags, *((len(body) >> k) & 127 for k in (21, 14, 7, 0))]) + body
+
+    old = b"TAG" + b"an old title".ljust(30, b"\0") + b"someone".ljust(30, b" ") + bytes(30) + b"1999" + bytes(28) + bytes([0, 7, 1])
+    third = tag(3, 0, field3(b"TIT2", b"\1" + "título".encode("utf-16")) + field3(b"TXXX", b"\1" + "clé".encode("utf-16") + b"\0\0" + "été".encode("utf-16")) + field3(b"APIC", b"\0\0\0"))
+    fourth = tag(4, 0x40, (6).to_bytes(4, "big") + b"\1\0" + b"TPE1" + bytes([0, 0, 0, 5]) + b"\0\0" + b"\3a\0bc" + b"TCON" + bytes([0, 0, 0, 3]) + b"\0\x08" + b"\3zz")
+    second = tag(2, 0, b"TT2" + (4).to_bytes(3, "big") + b"\0two" + bytes(20))
+    fill = lambda x: x.ljust(417, b"\0")
+    s = media_audio.parse(third + fill(vbri) + plain * 9 + old)
+    assert (s.table, s.table_frames, s.table_bytes, s.table_seek, s.delay) == ("VBRI", 9, 4170, [0, 1250, 2510], 576)
+    assert (s.frames, s.samples, s.skipped) == (9, 9 * 1152, 0)
+    assert s.tags == {"TIT2": "título", "clé": "été", "TPE1": "someone", "TYER": "1999", "TRCK": "7"}
+    s = media_audio.parse(fourth + fill(lame) + plain * 9)
+    assert (s.table, s.table_seek, s.delay, s.padding, s.frames, s.tags) == ("Info", list(range(100)), 576, 1000, 9, {"TPE1": "a/bc"})
+    assert media_audio.parse(second + plain * 3).tags == {"TIT2": "two"}
+    wild = tag(3, 0, field3(b"TXXX", b"\0n_bytes\0many")) + fill(vbri[:46] + b"\xff" * 200) + plain * 3
+    rows = [(1, bytearray(wild)), (1, bytearray(wild)), (None, bytearray(third[:30])), (2, bytearray(b"ID3")), (3, bytearray(old))]
+    got = media_audio.index(spark.createDataFrame(rows, "doc_id long, media binary").withColumn("frames", F.lit("clash"))).collect()
+    assert [r.frames for r in got] == [3, 3, 0, 0, 0] and got[0].vbr and got[0].seek == []
+
+
 def test_language(spark):
     rng = random.Random(3)
     kinds = {"aa": ["kalo", "miru", "tenshi", "no", "wa"], "bb": ["der", "schung", "ver", "keit", "und"], "cc": ["ción", "los", "que", "ando", "ñar"]}
