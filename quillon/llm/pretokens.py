@@ -23,15 +23,15 @@ MET_BITS = 1 << 23
 
 
 class Table:
-    """What `work` gives for each chunk, kept for short ones until the table is full."""
+    """What `work` gives for each chunk, kept for short ones until the table is full.  cut: the chunks of a text."""
 
-    def __init__(self, work: Callable[[list[str]], list[Any]]):
-        self.work, self.held = work, {}
+    def __init__(self, work: Callable[[list[str]], list[Any]], cut: Callable[[str], list[str]] = PLAIN.findall):
+        self.work, self.cut, self.held = work, cut, {}
         self.met, self.n_met = np.zeros(MET_BITS, bool), 0
 
     def of(self, texts: Iterable[str]) -> list[list[Any]]:
         """For each text, what its chunks give, in order."""
-        cut = [PLAIN.findall(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         seen = set().union(*cut)
         new = seen.difference(self.held)
         if len(self.held) + len(new) > MAX_ENTRIES:  # what this call uses again stays

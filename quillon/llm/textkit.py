@@ -91,14 +91,17 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
-    hash: np.ndarray
     fold: np.ndarray | None = None
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return word_hashes(self.data, self.start, self.end, self.fold)
+
     @cached_property
     def second(self) -> np.ndarray:
         return word_hashes(self.data, self.start, self.end, self.fold, True)
 
-    @property
+    @cached_property
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
@@ -151,7 +154,7 @@ def words(data: np.ndarray, bounds: np.ndarray, lo: int, hi: int, accept: np.nda
         after[:-1] = inside[1:]
     after &= ~edge[1:]
     end = np.flatnonzero(inside & ~after) + 1
-    return Words(data, bounds, start, end, np.searchsorted(start, bounds), word_hashes(data, start, end, fold), fold)
+    return Words(data, bounds, start, end, np.searchsorted(start, bounds), fold)
 
 
 def grams(w: Words, size: int, second: bool = False) -> np.ndarray:
