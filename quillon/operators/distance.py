@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors in one broadcast block.
-BLOCK = 2000
+from quillon.sources.shared import removed, written
+
+#: Rows of a block of queries or of the pool.
+BLOCK = 16_384
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -23,61 +23,147 @@ def centroids(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     return df.groupBy(key).agg(F.array(*[F.avg(F.get(vector, F.lit(k)).cast("double")) for k in range(size)]).alias("center"), F.count(F.lit(1)).alias("n"))
 
 
+class _Best:
+    """The `most` nearest pool rows of some queries so far: flat arrays in order of query, distance and id."""
+
+    def __init__(self, q: np.ndarray, most: int):
+        self.q, self.most = q, most
+        self.worst = np.full(len(q), np.inf)
+        self.i, self.name, self.d2 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, i: np.ndarray, name: np.ndarray, d2: np.ndarray) -> None:
+        i, name, d2 = (np.concatenate(x) for x in ((self.i, i), (self.name, name), (self.d2, d2)))
+        order = np.lexsort((name, d2, i))
+        i, name, d2 = i[order], name[order], d2[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        on = nth < self.most
+        self.i, self.name, self.d2 = i[on], name[on], d2[on]
+        full = nth == self.most - 1
+        self.worst[i[full]] = d2[full]
+
+
+def _vectors(t: pa.Table, column: str) -> np.ndarray:
+    c = t.column(column).combine_chunks()
+    c = c if not isinstance(c, pa.ChunkedArray) else pa.concat_arrays(c.chunks)
+    return c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+
+
+def _compare(q: pa.Table, p: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, pool ids and squared distances of the nearest that each query may have of these pool rows."""
+    if not q.num_rows or not p.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    qv, pv = _vectors(q, "v"), _vectors(p, "v")
+    qn, turn, after, after_id = (q.column(c).to_numpy() for c in ("id", "turn", "after", "after_id"))
+    pn, held = (p.column(c).to_numpy() for c in ("id", "held"))
+    out = []
+    for a in range(0, len(qv), 1024):
+        part = slice(a, a + 1024)
+        x, best = qv[part], _Best(qv[part], most)
+        for b in range(0, len(pv), 2048):
+            y, names = pv[b : b + 2048], pn[b : b + 2048]
+            size = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+            d = size - 2 * x @ y.T
+            # The expansion rounds: all that its error leaves possible is measured by differences.
+            slack = 4 * (x.shape[1] + 4) * np.finfo(float).eps * size
+            free = (qn[part][:, None] != names[None, :]) & (held[b : b + 2048][None, :] > turn[part][:, None])
+            upper = np.where(free & (d - slack > after[part][:, None]), d + slack, np.inf)
+            bound = best.worst if y.shape[0] <= most else np.minimum(best.worst, np.partition(upper, most - 1, axis=1)[:, most - 1])
+            i, j = np.nonzero(free & (d - slack <= bound[:, None]) & (d + slack >= after[part][:, None]))
+            for c in range(0, len(i), 16384):
+                k, m = i[c : c + 16384], j[c : c + 16384]
+                v = ((x[k] - y[m]) ** 2).sum(1)
+                on = (v > after[part][k]) | (v == after[part][k]) & (names[m] > after_id[part][k])
+                best.add(k[on], names[m[on]], v[on])
+        out.append((qn[part][best.i], best.name, best.d2))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def nearest_rows(pool: DataFrame, queries: DataFrame, most: int, query_rows: int = BLOCK, pool_rows: int = BLOCK) -> DataFrame:
+    """(query_id, pool_id, d2): the `most` nearest pool rows of each query, ties to the smaller id.
+
+    pool: id, v, held; queries: id, v, turn, after, after_id.  Left out are the query's own id, pool rows held
+    by an earlier turn, and what isn't farther than (after, after_id).  Queries and pool are dealt to blocks; one
+    task compares a block of each, so a task's memory is bounded and nothing passes through the driver.
+    """
+    n_pool, n_queries = pool.count(), queries.count()
+    parts, turns = max(1, -(-n_pool // pool_rows)), max(1, -(-n_queries // query_rows))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = pool.select("id", "v", "held", deal(parts).alias("_p")).select("*", every(turns).alias("_q"))
+    q = queries.select("id", "v", "turn", "after", "after_id", deal(turns).alias("_q")).select("*", every(parts).alias("_p"))
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, names, d2 = _compare(left, right, most)
+        return pa.table({"query_id": pa.array(ids, pa.int64()), "pool_id": pa.array(names, pa.int64()), "d2": pa.array(d2, pa.float64())})
+
+    met = q.groupBy("_p", "_q").cogroup(p.groupBy("_p", "_q")).applyInArrow(pair, "query_id long, pool_id long, d2 double")
+    if parts == 1:
+        return met
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "pool_id"))
+    return met.withColumn("_n", nth).where(F.col("_n") <= most).drop("_n")
+
+
+def _sides(pool: DataFrame, queries: DataFrame, ident: str, vector: str, turn: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides as nearest_rows takes them; rows without a vector, or with a null in it, are left out."""
+    v = F.col(vector).cast("array<double>")
+    whole = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    p = pool.where(whole).select(F.col(ident).cast("long").alias("id"), v.alias("v"), F.lit((1 << 63) - 1).alias("held"))
+    q = queries.where(whole).select(F.col(ident).cast("long").alias("id"), v.alias("v"), turn.cast("long").alias("turn"), F.lit(-1.0).alias("after"), F.lit(0).cast("long").alias("after_id"))
+    return p, q
+
+
 def nearest(df: DataFrame, ident: str, vector: str, queries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(query_id, nn_id, distance): for each query the nearest other row, ties to the smaller id.
+    """(query_id, nn_id, distance): for each query the nearest other row, ties to the smaller id.  block: rows of one block."""
+    p, q = _sides(df, queries, ident, vector, F.lit(0))
+    kind = df.schema[ident].dataType
+    return nearest_rows(p, q, 1, block, block).select(F.col("query_id").cast(kind).alias("query_id"), F.col("pool_id").cast(kind).alias("nn_id"), F.sqrt("d2").alias("distance"))
+
+
+def matched(pool: DataFrame, queries: DataFrame, ident: str, vector: str, turn: str | None = None, page: int = 16, block: int = BLOCK) -> DataFrame:
+    """(query_id, pool_id, distance): each query's nearest pool row that no query before it took, as taking turns would give.
 
-    Queries go out in blocks of bounded size; each partition keeps one candidate a query.
+    turn: a column of distinct integers, the id where None; a query whose pool is used up gives no row.
+    Queries propose to their nearest pool row and a row keeps the proposal of the earliest turn.  A refused
+    query goes on to its next one.  Since a row's holder only ever gets earlier, what this ends with doesn't depend on
+    the order of proposals and is what taking turns gives.  Proposals are made from pages of
+    `page` candidates; a query that was refused by all of its page gets the next page, of rows that it may still have.
     """
-    parts, held = [], []
-    for r in queries.select(ident, vector).where(F.col(vector).isNotNull()).orderBy(ident).toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:
-            parts.append(_nearest(df, ident, vector, held))
-            held = []
-    if held or not parts:
-        parts.append(_nearest(df, ident, vector, held))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    best = F.min(F.struct(F.col("d2"), F.col("nn_id"))).alias("_b")
-    return out.groupBy("query_id").agg(best).select("query_id", F.col("_b.nn_id").alias("nn_id"), F.sqrt("_b.d2").alias("distance"))
-
-
-def _nearest(df: DataFrame, ident: str, vector: str, queries: list) -> DataFrame:
-    ids = np.array([q for q, _ in queries], np.int64)
-    q = np.array([v for _, v in queries], float).reshape(len(ids), -1)
-    kind = dict(df.dtypes)[ident]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = np.full(len(ids), np.inf)
-        at = np.zeros(len(ids), np.int64)
-        for p in parts:
-            p = p[p[vector].notna()]
-            if not len(p) or not len(ids):
-                continue
-            x, n = np.stack(p[vector].to_numpy()).astype(float), p[ident].to_numpy()
-            for k in range(0, len(x), 1024):
-                xs, ns = x[k : k + 1024], n[k : k + 1024]
-                size = (q * q).sum(1)[:, None] + (xs * xs).sum(1)[None, :]
-                d = size - 2 * q @ xs.T
-                d[ids[:, None] == ns[None, :]] = np.inf
-                # The expansion rounds: all that its error leaves possible is measured by differences.
-                slack = 4 * (q.shape[1] + 4) * np.finfo(float).eps * size
-                qs, js = np.nonzero(d - slack <= np.minimum((d + slack).min(axis=1), best)[:, None])
-                for c in range(0, len(qs), 16384):
-                    i, j = qs[c : c + 16384], js[c : c + 16384]
-                    v = ((q[i] - xs[j]) ** 2).sum(1)
-                    v[ids[i] == ns[j]] = np.inf
-                    order = np.lexsort((ns[j], v, i))
-                    i, j, v = i[order], j[order], v[order]
-                    first = np.r_[True, i[1:] != i[:-1]]
-                    i, j, v = i[first], j[first], v[first]
-                    better = (v < best[i]) | (v == best[i]) & (ns[j] < at[i])
-                    best[i[better]], at[i[better]] = v[better], ns[j[better]]
-        good = np.isfinite(best)
-        yield pd.DataFrame({"query_id": ids[good], "nn_id": at[good], "d2": best[good]})
-
-    return df.select(ident, vector).mapInPandas(run, f"query_id {kind}, nn_id {kind}, d2 double")
+    spark, made, pages = pool.sparkSession, [], []
+    p, q = _sides(pool, queries, ident, vector, F.col(turn or ident))
+    kind = pool.schema[ident].dataType
+    p, everyone = written(p, "pool", made), written(q, "queries", made)
+    waiting, turns = everyone, everyone.select(F.col("id").alias("query_id"), "turn")
+    tables: list[str] = []
+    choice = None
+    while True:
+        free = p
+        if choice is not None:
+            holders = choice.select(F.col("pool_id").alias("id"), F.col("turn").alias("_turn"))
+            free = p.join(holders, "id", "left").select("id", "v", F.coalesce("_turn", "held").alias("held"))
+        last = written(nearest_rows(free, waiting, page, block, block).join(turns, "query_id"), "candidates", pages)
+        if last.isEmpty():
+            break
+        able = spark.read.schema(last.schema).parquet(*pages)
+        while True:
+            open_ = able
+            if choice is not None:
+                held = choice.groupBy("pool_id").agg(F.min("turn").alias("held"))
+                open_ = able.join(held, "pool_id", "left").where("held is null or held >= turn")
+            old, tables = tables, []
+            choice = written(open_.groupBy("query_id", "turn").agg(F.min(F.struct("d2", "pool_id")).alias("c")).select("query_id", "turn", "c.pool_id", "c.d2"), "choices", tables)
+            removed(spark, old)
+            n, distinct = choice.agg(F.count(F.lit(1)), F.count_distinct("pool_id")).first()
+            if n == distinct:
+                break
+        cursor = able.groupBy(F.col("query_id").alias("id")).agg(F.max(F.struct("d2", "pool_id")).alias("c")).select("id", "c.d2", "c.pool_id")
+        left = everyone.join(choice.select(F.col("query_id").alias("id")), "id", "left_anti").join(cursor, "id")
+        waiting = written(left.select("id", "v", "turn", F.col("d2").alias("after"), F.col("pool_id").alias("after_id")), "queries", made)
+        if waiting.isEmpty():
+            break
+    if choice is None:
+        return q.select(F.col("id").cast(kind).alias("query_id"), F.col("id").cast(kind).alias("pool_id"), F.lit(0.0).alias("distance")).limit(0)
+    removed(spark, made + pages)
+    return choice.select(F.col("query_id").cast(kind).alias("query_id"), F.col("pool_id").cast(kind).alias("pool_id"), F.sqrt("d2").alias("distance"))
 
 
 def kernel_table(points: DataFrame, ident: str, vector: str, most: int = 4096) -> DataFrame:
@@ -104,7 +190,7 @@ def mmd_augmented(pairs: DataFrame, observed: Column, target: Column, bandwidth:
 
 
 def greedy_nearest(pool: np.ndarray, queries: np.ndarray) -> list[int]:
-    """Pool index for each query in turn, nearest first, without replacement (a kernel for one small pool)."""
+    """Pool index for each query in turn, nearest first, without replacement (a kernel for one small pool; `matched` is the operator)."""
     free = np.ones(len(pool), bool)
     out = []
     for q in queries:

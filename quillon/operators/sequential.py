@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.columns import seeded_hex, uniform
 from quillon.operators.ordered import running
+from quillon.sources.shared import removed, written
 
 PIT_LAMBDAS = (-0.8, -0.4, 0.4, 0.8)
 
@@ -139,6 +140,34 @@ def genealogy_event(before: DataFrame, after: DataFrame, root: str, parent: str)
     return counts.crossJoin(families).withColumn("retention", F.col("roots_after") / F.col("roots_before"))
 
 
+def recomposed(maps: DataFrame, step: str, child: str, parent: str) -> DataFrame:
+    """(step, child, root): each child's ancestor before the first step, by pointer doubling; null where its line is broken.
+
+    maps: of every step, each child once with its parent among the children of the step before; steps are
+    consecutive integers.  A round joins every pointer with the pointer of where it leads, so pointers of
+    length 1, 2, 4, ... give all roots of T steps after log2(T) rounds, and no round sees more rows than the maps have.
+    """
+    spark, made = maps.sparkSession, []
+    span = maps.agg(F.min(step), F.max(step)).first()
+    base = (span[0] or 0) - 1
+    state = written(maps.select(F.col(step).cast("long").alias("step"), F.col(child).alias("child"), F.col(parent).alias("at"), (F.col(step) - 1).cast("long").alias("level")), "pointers", made)
+    for _ in range(max(0, (span[1] or 0) - base - 1).bit_length()):
+        leads = state.select(F.col("step").alias("level"), F.col("child").alias("at"), F.col("at").alias("_at"), F.col("level").alias("_level"), F.lit(True).alias("_met"))
+        j = state.where(F.col("level") > base).join(leads, ["level", "at"], "left")
+        moved = j.select("step", "child", F.col("_at").alias("at"), F.coalesce("_level", F.lit(base)).alias("level"))
+        last, made = made, []
+        state = written(state.where(F.col("level") <= base).unionByName(moved), "pointers", made)
+        removed(spark, last)
+    return state.select(F.col("step").cast(maps.schema[step].dataType).alias(step), F.col("child").alias(child), F.col("at").alias("root"))
+
+
+def genealogy_check(maps: DataFrame, step: str, child: str, parent: str, root: str) -> DataFrame:
+    """By step: children, distinct roots, children whose line to the first step is broken, and those whose tracked root isn't the recomposed one."""
+    r = recomposed(maps, step, child, parent)
+    d = maps.select(step, child, F.col(root).alias("_tracked")).join(r, [step, child])
+    return d.groupBy(step).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("root").alias("n_roots"), F.sum(F.col("root").isNull().cast("long")).alias("n_broken"), F.sum((~F.col("root").eqNullSafe(F.col("_tracked"))).cast("long")).alias("n_wrong"))
+
+
 def monotone(df: DataFrame, step: str, value: str) -> DataFrame:
     """One row: whether the value never grows from one (consecutive integer) step to the next."""
     nxt = df.select((F.col(step) - 1).alias(step), F.col(value).alias("_next"))
@@ -168,12 +197,13 @@ def balance(matrix: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: Column) -> DataFrame:
-    """States that the edge list reaches from the start, by rounds of joins until nothing is new: as many rounds as the longest shortest path."""
-    from quillon.sources.shared import written
+    """States that the edge list reaches from the start, by rounds of joins until nothing is new: as many rounds as the longest shortest path.
 
-    seen = written(edges.select(start.alias("state")).limit(1), "reach")
-    front = seen
+    A round writes what it finds first and nothing else; what was found before is the fronts that are there, read as one table.
+    """
+    spark, fronts = edges.sparkSession, []
+    front = written(edges.select(start.alias("state")).limit(1), "reach", fronts)
     while not front.isEmpty():
-        front = written(edges.join(front, edges["source"] == front["state"]).select(F.col("target").alias("state")).distinct().join(seen, "state", "left_anti"), "front")
-        seen = written(seen.unionByName(front), "reach")
-    return seen
+        seen = spark.read.schema(front.schema).parquet(*fronts)
+        front = written(edges.join(front, edges["source"] == front["state"]).select(F.col("target").alias("state")).distinct().join(seen, "state", "left_anti"), "reach", fronts)
+    return spark.read.schema(front.schema).parquet(*fronts)

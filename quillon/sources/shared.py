@@ -20,8 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows from a table in the shared folder."""
+def written(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """The rows from a table in the shared folder.  made: gets its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, folders: list[str]) -> None:
+    """Delete tables of written() that nothing will read again; the list is emptied."""
+    for f in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folders.clear()
