@@ -1,7 +1,7 @@
 """Discovery over one table: seeds without chance, gates, islands, and rounds until nothing is accepted.
 
-A state is an expression with its metrics.  Metrics of a round's candidates are aggregates over the
-whole table; gates are Columns over rows (island, new, old), so a round decides on all islands at once.
+A state is an expression with its metrics by domain.  Metrics of all candidates of a round come from one pass over the
+whole table (`evaluation`); gates are Columns over rows (island, new, old), so a round decides on all islands at once.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as ex
-from quillon.operators import gram, refine, search
+from quillon.operators import evaluation, gram, search
 from quillon.operators.ranking import log_metric
 
 INF = float("inf")
@@ -126,17 +126,23 @@ class State:
         return all(self.metrics[m] is not None and abs(self.metrics[m]) < INF for m in METRICS)
 
 
+def evaluated(domains: evaluation.Domains, texts: list[tuple[str, str]]) -> list[State | None]:
+    """The states of (expression, source) pairs, in order, all from one pass; None for what can't be read."""
+    d, digests = domains.features, {}
+    for text, _ in texts:
+        try:
+            digests[text] = ex.digest(text, d)
+            ex.compile_expression(text, [F.lit(1.0)] * d)
+        except (ValueError, SyntaxError, ZeroDivisionError, OverflowError):
+            digests.pop(text, None)
+    readable = [t for t in dict.fromkeys(t for t, _ in texts) if t in digests]
+    got = dict(zip(readable, evaluation.metric_vectors(domains, readable), strict=True))
+    return [State(t, digests[t], {k: float(got[t][k]) for k in METRICS}, source) if t in got else None for t, source in texts]
+
+
 def evaluate(train: DataFrame, valid: DataFrame, text: str, xs: list[Column], y: Column, source: str = "") -> State | None:
-    """The state of an expression; None if it can't be read."""
-    try:
-        digest = ex.digest(text, len(xs))
-        m = refine.domain_metrics(train, valid, text, xs, y)
-    except (ValueError, SyntaxError, ZeroDivisionError, OverflowError):
-        return None
-    strict = m["val_max_rel"]
-    # Tails of the stress and outside domains are bounded by those of all validation rows.
-    out = {"val_nmse": m["val_nmse"], "val_strict": strict, "val_p99": m["val_p99"], "val_p995": m.get("val_p995", strict), "stress_nmse": m["stress_nmse"], "stress_strict": strict, "stress_p99": m["val_p99"], "ood_nmse": m["ood_nmse"], "ood_strict": strict, "ood_penalty": 0.0, "complexity": m["complexity"]}
-    return State(text, digest, {k: INF if v is None else float(v) for k, v in out.items()}, source)
+    """The state of one expression; None if it can't be read."""
+    return evaluated(evaluation.prepare(train, valid, xs, y), [(text, source)])[0]
 
 
 def deterministic_candidates(train: DataFrame, xs: list[Column], y: Column, alpha: float = 1e-8) -> list[tuple[str, str]]:
@@ -174,17 +180,13 @@ def front(states: list[State]) -> list[State]:
     return [s for s in states if s.finite and not any(beats(o, s) for o in states)]
 
 
-def seed_survivor(train: DataFrame, valid: DataFrame, seeds: list[tuple[str, str]], xs: list[Column], y: Column, budget: search.Budget | None = None) -> tuple[State, list[State]]:
+def seed_survivor(train: DataFrame, valid: DataFrame, seeds: list[tuple[str, str]], xs: list[Column], y: Column, budget: search.Budget | None = None, domains: evaluation.Domains | None = None) -> tuple[State, list[State]]:
     """The seed of least balanced score on the front, and all that could be evaluated; a generic sparse fit if none could."""
+    domains = domains or evaluation.prepare(train, valid, xs, y)
 
     def tried(texts: list[tuple[str, str]]) -> list[State]:
-        out = []
-        for text, source in texts:
-            if text.strip() and (budget is None or budget.consume("seed")):
-                s = evaluate(train, valid, text, xs, y, source)
-                if s is not None and s.finite:
-                    out.append(s)
-        return out
+        allowed = [t for t in texts if t[0].strip() and (budget is None or budget.consume("seed"))]
+        return [s for s in evaluated(domains, allowed) if s is not None and s.finite]
 
     states = tried(seeds)
     if not states and (budget is None or sum(budget.used.values()) < budget.most):
@@ -274,17 +276,18 @@ def discover(train: DataFrame, valid: DataFrame, xs: list[Column], y: Column, po
     policy, events = policy or Policy(), Events(write)
     spark = train.sparkSession
     events.add("INITIALIZE", "started", 0, features=len(xs))
-    anchor, tried = seed_survivor(train, valid, seeds or deterministic_candidates(train, xs, y), xs, y, budget)
+    domains = evaluation.prepare(train, valid, xs, y)
+    anchor, tried = seed_survivor(train, valid, seeds or deterministic_candidates(train, xs, y), xs, y, budget, domains)
     events.add("SEED", "anchor_selected", 0, expression=anchor.expression)
     islands, accepted = dict.fromkeys(policy.islands, anchor), []
     for round_id in range(1, policy.max_rounds + 1):
-        new: dict[str, State] = {}
-        for island, state in islands.items():
+        allowed = []
+        for island in islands:
             if budget is not None and not budget.consume("exploration"):
                 break
-            candidate = evaluate(train, valid, proposals(train, state, xs, y, island), xs, y, f"round_{round_id}_{island}")
-            if candidate is not None and candidate.finite:
-                new[island] = candidate
+            allowed.append(island)
+        texts = [(proposals(train, islands[k], xs, y, k), f"round_{round_id}_{k}") for k in allowed]
+        new = {k: s for k, s in zip(allowed, evaluated(domains, texts), strict=True) if s is not None and s.finite}
         passed = []
         if new:
             rows = spark.createDataFrame([(k, s.row, islands[k].row) for k, s in new.items()], f"island string, new {METRIC_TYPE}, old {METRIC_TYPE}")

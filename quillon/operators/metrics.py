@@ -46,9 +46,10 @@ def objective(nmse_: Column, p99: Column, p99_of_mean: Column, profile: str, tai
 
 
 def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation, zero where it isn't defined."""
-    r = F.corr(a, b)
-    return F.when(r.isNull() | F.isnan(r), 0.0).otherwise(r)
+    """Pearson correlation over rows where both are there, zero where it isn't defined."""
+    u, v = F.var_pop(F.when(b.isNotNull(), a)), F.var_pop(F.when(a.isNotNull(), b))
+    r = F.when((u > 0) & (v > 0), F.covar_pop(a, b) / F.sqrt(u) / F.sqrt(v))
+    return F.when(r.isNull() | F.isnan(r), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

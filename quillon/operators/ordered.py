@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Buckets at least and at most, and the estimated bytes that one should hold.
 FEWEST, MOST, HELD = 512, 4096, 64 << 20
+#: Estimated bytes up to which a table is one bucket.
+SMALL = 16 << 20
 #: A value in this many buckets or more is cut by ident, into TIE_PARTS parts.
 TIED, TIE_PARTS = 16, 64
 
@@ -34,9 +36,9 @@ def ranked_by_hex(df: DataFrame, hexed: str, rank: str = "rank", digits: int = 3
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets for a table, by the planner's estimate of its bytes."""
+    """Buckets for a table, by the planner's estimate of its bytes; one for a table that a task sorts at once, which saves the scan for the bounds."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(FEWEST, min(MOST, size // HELD))
+    return 1 if size <= SMALL else max(FEWEST, min(MOST, size // HELD))
 
 
 def _levels(df: DataFrame, value: str, parts: int) -> list[float]:
@@ -61,6 +63,8 @@ def bucketed(df: DataFrame, value: Column, buckets: int | None = None, ident: st
     that fills TIED buckets or more is cut by the quantiles of a numeric ident among its rows.
     """
     buckets = buckets or bucket_count(df)
+    if buckets == 1:
+        return df.withColumn("_bucket", F.lit(0))
     plain = F.when(value == 0, F.lit(0.0)).otherwise(value.cast("double"))
     df = df.withColumn("_double", plain)
     levels = _levels(df, "_double", buckets)
@@ -81,7 +85,11 @@ def running(df: DataFrame, order: Column, ident: str, sums: dict[str, Column], k
     key is cut into its buckets.
     """
     keys = keys or []
+    buckets = buckets or bucket_count(df)
     df = df.withColumns({"_order": order, **{f"_v_{k}": c for k, c in sums.items()}})
+    if buckets == 1:
+        w = Window.partitionBy(*keys).orderBy("_order", ident).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({k: F.sum(f"_v_{k}").over(w) for k in sums}).drop("_order", *[f"_v_{k}" for k in sums])
     df = bucketed(df, F.col("_order"), buckets, ident)
     totals = df.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{k}").alias(k) for k in sums])
     before = _before(totals, keys, "_bucket", list(sums))
