@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as ex
-from quillon.operators import evaluation
+from quillon.operators import evaluation, semantic
+from quillon.operators.gram import Prior
+from quillon.operators.grammar import Grammar
 from quillon.plans.measures import _U
 from quillon.sources.tables import table
 
@@ -92,4 +94,69 @@ SELECT o_orderstatus, yr, n, n_worst, coalesce(nullif(concat_ws(',', CASE WHEN n
   round(nmse, 6) AS nmse, round(p99, 6) AS p99, round(mean/s, 6) AS mean_scaled, round(sd/s, 6) AS sd_scaled, round(worst_y_low, 6) AS worst_y_low, round(worst_y_high, 6) AS worst_y_high, round(worst_p_low, 6) AS worst_p_low, round(worst_p_high, 6) AS worst_p_high, round(tail/s, 6) AS worst_p99_scaled,
   CASE f WHEN 3 THEN 'size' WHEN 2 THEN 'x1' ELSE 'x0' END AS feature, round(c[f], 6) AS correlation, CAST(3 AS BIGINT) AS n_followed FROM h"""
 
-QUERIES = {"metric_vectors": (metric_vectors, _VECTORS), "failure_summary": (failure_summary, _FAILURES)}
+#: The open grammar of the certificate, and the sizes that are listed.
+RHO, LEAST, MOST = 0.4, 2, 6
+CONTRACT = Prior(0.0, 0.7, 3.0, 0.08)
+
+
+def finished_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of finished orders by year: a year on [-1.5, 1.5], the share less a half."""
+    o = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("yr")).agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("share"))
+    return o.select(((F.col("yr") - 1995) / 2).alias("x"), (F.col("share") - 0.5).alias("y"), F.when(F.col("yr") == 1998, 0.5).otherwise(1.0).alias("power"))
+
+
+def semantic_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posterior beyond each listed size of the open grammar, over orders by year, the last year at half its power."""
+    g = Grammar(1, RHO)
+    m = semantic.moments(finished_line(spark, sf_dir), [F.col("x")], F.col("y"), MOST, F.col("power"))
+    c = semantic.classes(spark, g, MOST)
+    out = semantic.certificate(c.withColumn("log_marginal", semantic.log_marginal(F.col("terms"), m, CONTRACT)), g, m.n, CONTRACT, LEAST, MOST)
+    return out.select("most", "classes", *[F.round(k, 8).alias(k) for k in ("log_core", "log_tail", "tail_probability", "minorisation", "beyond")], "mixing_steps", "inside", F.round("violation", 8).alias("violation"))
+
+
+def semantic_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest classes of the open grammar over line items: price by quantity, all rows at the power of a hundred."""
+    g = Grammar(1, RHO)
+    d = table(spark, sf_dir, "lineitem").select(((F.col("l_quantity") - 25) / 25).alias("x"), (F.col("l_extendedprice") / 50000 - 1).alias("y"))
+    m = semantic.moments(d, [F.col("x")], F.col("y"), MOST, F.lit(100.0) / d.count())
+    c = semantic.classes(spark, g, MOST)
+    p = semantic.class_posterior(c.withColumn("log_marginal", semantic.log_marginal(F.col("terms"), m, CONTRACT)))
+    shown = c.groupBy("class_id").agg(F.first("terms").alias("terms"))
+    spelled = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.coalesce(F.get(F.filter("terms", lambda t: t["code"] == k), F.lit(0))["coefficient"].cast("int"), F.lit(0)).cast("string")), ",")
+    return p.join(shown, "class_id").where("probability > 1e-4").select(spelled.alias("coefficients"), F.round("mass", 10).alias("mass"), F.round("probability", 7).alias("probability"))
+
+
+def _shells(most: int) -> str:
+    """Classes of each size as coefficients up to the third power, with their numbers of expressions, from smaller sizes."""
+    plus = "list_transform(range(1, 5), lambda i: a.c[i] + b.c[i])"
+    times = "list_transform(range(1, 5), lambda k: CAST(list_sum(list_transform(range(1, k + 1), lambda i: a.c[i]*b.c[k + 1 - i])) AS BIGINT))"
+    out = ["s1(c, m) AS (VALUES ([1, 0, 0, 0]::BIGINT[], 1::BIGINT), ([0, 1, 0, 0]::BIGINT[], 1::BIGINT))"]
+    for n in range(2, most + 1):
+        parts = [f"SELECT list_transform(c, lambda v: -v) AS c, m FROM s{n - 1}"]
+        parts += [f"SELECT {f}, a.m*b.m FROM s{k} a, s{n - 1 - k} b" for f in (plus, times) for k in range(1, n - 1)]
+        out.append(f"s{n} AS MATERIALIZED (SELECT c, CAST(sum(m) AS BIGINT) AS m FROM ({' UNION ALL '.join(parts)}) GROUP BY c)")
+    every = " UNION ALL ".join(f"SELECT {n} AS size, c, m, m*{1 - RHO}*power({RHO}, {n - 1})/(SELECT sum(m) FROM s{n}) AS mass FROM s{n}" for n in range(1, most + 1))
+    return ",\n".join(out) + f",\ns AS MATERIALIZED ({every})"
+
+
+_ALL_MOMENTS = ", ".join(f"sum(w*power(x, {k})) AS s{k}" for k in range(7)) + ", " + ", ".join(f"sum(w*power(x, {k})*y) AS t{k}" for k in range(4))
+_SQUARE = " + ".join(f"c[{i + 1}]*c[{j + 1}]*s{i + j}" for i in range(4) for j in range(4))
+_CROSS = " + ".join(f"c[{i + 1}]*t{i}" for i in range(4))
+_EVIDENCE = f"""m AS (SELECT sum(w) AS n, sum(w*y*y) AS yy, {_ALL_MOMENTS} FROM d),
+b AS (SELECT n, lgamma(3 + n/2) - lgamma(3) - n/2*(ln(2*pi()) + ln(0.08)) AS bound FROM m),
+e AS (SELECT size, c, mass, -n/2*ln(2*pi()) + 0.5*ln(0.7) + 3*ln(0.08) + lgamma(3 + n/2) - lgamma(3) - 0.5*ln(0.7 + {_SQUARE}) - (3 + n/2)*ln(0.08 + 0.5*(yy - power({_CROSS}, 2)/(0.7 + {_SQUARE}))) AS lm FROM s, m)"""
+
+_CERTIFICATE = f"""WITH d AS (SELECT (yr - 1995)/2 AS x, share - 0.5 AS y, CASE WHEN yr = 1998 THEN 0.5 ELSE 1.0 END AS w FROM (SELECT year(o_orderdate) AS yr, avg(CAST(o_orderstatus = 'F' AS INTEGER)) AS share FROM orders GROUP BY 1)),
+{_shells(MOST)}, {_EVIDENCE},
+r AS (SELECT most, count(DISTINCT c) FILTER (size <= most) AS classes, sum(mass*exp(lm)) FILTER (size <= most) AS core, sum(mass*exp(lm)) AS whole, max(lm) FILTER (size <= most) AS largest FROM e, range({LEAST}, {MOST + 1}) g(most) GROUP BY most),
+q AS (SELECT *, exp(most*ln({RHO}) + bound) AS tail, exp({MOST}*ln({RHO}) + bound) AS last FROM r, b)
+SELECT CAST(most AS INTEGER) AS most, classes, round(ln(core), 8) AS log_core, round(ln(tail), 8) AS log_tail, round(tail/(core + tail), 8) AS tail_probability, round(core/(core + tail), 8) AS minorisation, round((whole - core)/(whole + last), 8) AS beyond,
+  greatest(1, CAST(ceil(ln(0.01)/ln(tail/(core + tail))) AS BIGINT)) AS mixing_steps, true AS inside, round(greatest(0.0, largest - bound), 8) AS violation FROM q"""
+
+_POSTERIOR = f"""WITH d AS (SELECT (l_quantity - 25)/25 AS x, l_extendedprice/50000 - 1 AS y, 100.0/(SELECT count(*) FROM lineitem) AS w FROM lineitem),
+{_shells(MOST)}, {_EVIDENCE},
+c AS (SELECT c, sum(mass) AS mass, any_value(lm) AS lm FROM e GROUP BY c),
+p AS (SELECT c, mass, mass*exp(lm - (SELECT max(lm) FROM c)) AS v FROM c)
+SELECT array_to_string(c, ',') AS coefficients, round(mass, 10) AS mass, round(v/(SELECT sum(v) FROM p), 7) AS probability FROM p WHERE v/(SELECT sum(v) FROM p) > 1e-4"""
+
+QUERIES = {"semantic_certificate": (semantic_certificate, _CERTIFICATE), "semantic_posterior": (semantic_posterior, _POSTERIOR), "metric_vectors": (metric_vectors, _VECTORS), "failure_summary": (failure_summary, _FAILURES)}
