@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as ex
-from quillon.operators import evaluation, semantic
+from quillon.operators import certify, envelope, evaluation, knot, semantic
 from quillon.operators.gram import Prior
 from quillon.operators.grammar import Grammar
 from quillon.plans.measures import _U
@@ -159,4 +160,46 @@ c AS (SELECT c, sum(mass) AS mass, any_value(lm) AS lm FROM e GROUP BY c),
 p AS (SELECT c, mass, mass*exp(lm - (SELECT max(lm) FROM c)) AS v FROM c)
 SELECT array_to_string(c, ',') AS coefficients, round(mass, 10) AS mass, round(v/(SELECT sum(v) FROM p), 7) AS probability FROM p WHERE v/(SELECT sum(v) FROM p) > 1e-4"""
 
-QUERIES = {"semantic_certificate": (semantic_certificate, _CERTIFICATE), "semantic_posterior": (semantic_posterior, _POSTERIOR), "metric_vectors": (metric_vectors, _VECTORS), "failure_summary": (failure_summary, _FAILURES)}
+#: Sizes of the slice and of the envelope's list, particles and streams.
+SLICE, PARTICLES, RUNS, DRAWS, STREAMS = 5, 256, 16, 2500, 8
+
+
+def finished_design(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, np.ndarray]:
+    """One row a year: a registered design."""
+    rows = finished_line(spark, sf_dir).orderBy("x").limit(64).collect()
+    return np.array([[r.x] for r in rows]), np.array([r.y for r in rows])
+
+
+def knot_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Populations of every kind of last move over orders by year, against the slice's exact evidence."""
+    x, y = finished_design(spark, sf_dir)
+    runs = spark.createDataFrame([("years", m, PARTICLES, s) for m in knot.METHODS for s in range(RUNS)], "dataset string, method string, n int, seed int")
+    out = knot.summary(knot.populations(runs, {"years": (x, y)}, Grammar(1, RHO), SLICE, CONTRACT))
+    return out.select("method", "n_runs", F.round("exact", 8).alias("exact"), (F.abs("bias") < 0.25).alias("agrees"), "potentials", "proposals")
+
+
+def envelope_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws from the envelope over orders by year: how often they are listed, and whether their log masses are what they must be."""
+    x, y = finished_design(spark, sf_dir)
+    d = envelope.draws(spark, Grammar(1, RHO), SLICE, x, y, CONTRACT, DRAWS, STREAMS)
+    over = F.col("log_target") - F.col("log_proposal") - F.col("log_total")
+    env = envelope.Envelope(Grammar(1, RHO), SLICE, envelope.class_evidence(x, y, CONTRACT), certify.uniform_log_bound(float(len(y)), CONTRACT))
+    p = F.when(F.col("listed"), env.listed_probability).otherwise(1 - env.listed_probability)
+    s = d.groupBy("listed").agg(F.count(F.lit(1)).alias("n"), F.max(over).alias("most"), F.min(over).alias("least"), F.min("size").alias("small"), F.max("size").alias("large"))
+    n = DRAWS * STREAMS
+    frequent = F.abs(F.col("n") / n - p) < 5 * F.sqrt(p * (1 - p) / n)
+    masses = F.when(F.col("listed"), (F.col("most") < 1e-9) & (F.col("least") > -1e-9) & (F.col("large") <= SLICE)).otherwise((F.col("most") <= 1e-9) & (F.col("small") > SLICE))
+    return s.select("listed", F.round(p, 8).alias("probability"), frequent.alias("frequency_agrees"), masses.alias("masses_agree"))
+
+
+_LINE = "d AS (SELECT (yr - 1995)/2 AS x, share - 0.5 AS y, 1.0 AS w FROM (SELECT year(o_orderdate) AS yr, avg(CAST(o_orderstatus = 'F' AS INTEGER)) AS share FROM orders GROUP BY 1))"
+
+_KNOTS = f"""WITH {_LINE}, {_shells(SLICE)}, {_EVIDENCE}
+SELECT method, CAST({RUNS} AS BIGINT) AS n_runs, (SELECT round(ln(sum(mass*exp(lm))) - ln(1 - power({RHO}, {SLICE})), 8) FROM e) AS exact, true AS agrees, CAST({RUNS * PARTICLES * (len(knot.BETAS) + 1)}*(SELECT count(*) FROM d) AS BIGINT) AS potentials, CAST({RUNS * PARTICLES}*(SELECT count(*) FROM d) AS BIGINT) AS proposals
+FROM (VALUES {", ".join(f"('{m}')" for m in knot.METHODS)}) k(method)"""
+
+_DRAWS = f"""WITH {_LINE}, {_shells(SLICE)}, {_EVIDENCE},
+p AS (SELECT sum(mass*exp(lm)) AS core, any_value(power({RHO}, {SLICE})*exp(bound)) AS tail FROM e, b)
+SELECT listed, round(CASE WHEN listed THEN core ELSE tail END/(core + tail), 8) AS probability, true AS frequency_agrees, true AS masses_agree FROM p, (VALUES (true), (false)) k(listed)"""
+
+QUERIES = {"knot_populations": (knot_populations, _KNOTS), "envelope_draws": (envelope_draws, _DRAWS), "semantic_certificate": (semantic_certificate, _CERTIFICATE), "semantic_posterior": (semantic_posterior, _POSTERIOR), "metric_vectors": (metric_vectors, _VECTORS), "failure_summary": (failure_summary, _FAILURES)}
