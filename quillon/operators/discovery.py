@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as ex
-from quillon.operators import evaluation, gram, search
+from quillon.operators import evaluation, gram, residual, search
 from quillon.operators.ranking import log_metric
+from quillon.operators.residual import intermediate_outputs  # noqa: F401
 
 INF = float("inf")
 METRICS = ("val_nmse", "val_strict", "val_p99", "val_p995", "stress_nmse", "stress_strict", "stress_p99", "ood_nmse", "ood_strict", "ood_penalty", "complexity")
@@ -197,34 +198,6 @@ def seed_survivor(train: DataFrame, valid: DataFrame, seeds: list[tuple[str, str
     return scored(spark, front(states) or states, "balanced")[0], scored(spark, states, "balanced")
 
 
-def intermediate_outputs(df: DataFrame, text: str, xs: list[Column], most: int = 20) -> list[tuple[str, float]]:
-    """Sub-expressions that vary, by log(1 + deviation) plus .05 a variable; one aggregate for all."""
-    d = len(xs)
-    parts = [p for p in dict.fromkeys(n.signature for n in ex.nodes(text, d)[1:] if n.kind not in ("name", "constant")) if any(f"x{i}" in p for i in range(d))]
-    parts = [p for p in parts if ex.canonical(p, d) != ex.canonical(text, d)]
-    if not parts:
-        return []
-    got = ex.score_candidates(df, parts, xs, F.lit(0.0)).collect()
-    rank = [(math.log1p(math.sqrt(r.variance)) + 0.05 * sum(f"x{i}" in r.candidate for i in range(d)), r.candidate) for r in got if r.valid and r.variance is not None and r.variance > 1e-24]
-    return [(t, s) for s, t in sorted(rank, key=lambda x: (-x[0], x[1]))[:most]]
-
-
-def expanded_terms(df: DataFrame, base: list[str], xs: list[Column], unary: tuple[str, ...] = ("sin", "cos", "tanh", "exp"), probe: int = 64, digits: int = 9) -> list[str]:
-    """Base terms and their unary and pairwise combinations that are new: equal values on `probe` rows, rounded, are one term, the first."""
-    texts = [*base, *[f"{f}({t})" for t in base for f in unary], *[f"({t})**2" for t in base]]
-    texts += [f"({a})*({b})" for k, a in enumerate(base) for b in base[k + 1 :]] + [f"({a})/(1 + abs({b}))" for a in base for b in base if a != b]
-    columns = [(t, ex.compile_expression(t, xs)) for t in dict.fromkeys(texts)]
-    rows = df.orderBy(*[F.xxhash64(*xs)]).limit(probe).select(*[F.round(c, digits).alias(f"t{k}") for k, (_, c) in enumerate(columns)]).collect()
-    out, seen = [], set()
-    for k, (t, _) in enumerate(columns):
-        values = tuple(r[k] for r in rows)
-        flat = len(set(values)) <= 1
-        if not flat and all(v is not None and abs(v) < INF for v in values) and values not in seen:
-            seen.add(values)
-            out.append(t)
-    return out
-
-
 def validate_batch(rows: DataFrame, column: str, request_id: str, most: int) -> DataFrame:
     """(candidate_id, expression, reject_reason): proposals of a JSON batch {request_id, candidates: [{candidate_id, expression}]}, judged one by one."""
     kind = "struct<request_id:string,candidates:array<struct<candidate_id:string,expression:string>>>"
@@ -263,12 +236,17 @@ class Events:
         return row
 
 
+#: How many terms an island may add to its state in a round.
+ADDED = {"low_complexity": 2, "nmse": 5, "tail": 4, "novelty": 4}
+
+
 def proposals(train: DataFrame, state: State, xs: list[Column], y: Column, island: str) -> str:
-    """The island's candidate: terms chosen forward for what the state leaves over, added to it."""
-    keep = {"low_complexity": 1, "nmse": 4, "tail": 3, "novelty": 3}.get(island, 2)
-    left = y - ex.compile_expression(state.expression, xs)
-    found = search.explore(train, xs, left, beam=keep)
-    return f"({state.expression}) + {found['expression']}"
+    """The island's candidate: the state corrected by what the residual grammar finds under the island's profile; the first terms of a generic basis where the state doesn't vary."""
+    try:
+        return residual.program(train, state.expression, xs, y, island, residual.Settings(beam=8, most_terms=64, chosen=ADDED.get(island, 3)))["expression"]
+    except ValueError:
+        found = search.explore(train, xs, y - ex.compile_expression(state.expression, xs), beam=ADDED.get(island, 3) - 1)
+        return f"({state.expression}) + {found['expression']}"
 
 
 def discover(train: DataFrame, valid: DataFrame, xs: list[Column], y: Column, policy: Policy | None = None, seeds: list[tuple[str, str]] | None = None, budget: search.Budget | None = None, write: Callable[[dict], None] | None = None) -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as ex
-from quillon.operators import certify, envelope, evaluation, knot, semantic
+from quillon.operators import certify, envelope, evaluation, knot, residual, semantic
 from quillon.operators.gram import Prior
 from quillon.operators.grammar import Grammar
 from quillon.plans.measures import _U
@@ -202,4 +202,19 @@ _DRAWS = f"""WITH {_LINE}, {_shells(SLICE)}, {_EVIDENCE},
 p AS (SELECT sum(mass*exp(lm)) AS core, any_value(power({RHO}, {SLICE})*exp(bound)) AS tail FROM e, b)
 SELECT listed, round(CASE WHEN listed THEN core ELSE tail END/(core + tail), 8) AS probability, true AS frequency_agrees, true AS masses_agree FROM p, (VALUES (true), (false)) k(listed)"""
 
-QUERIES = {"knot_populations": (knot_populations, _KNOTS), "envelope_draws": (envelope_draws, _DRAWS), "semantic_certificate": (semantic_certificate, _CERTIFICATE), "semantic_posterior": (semantic_posterior, _POSTERIOR), "metric_vectors": (metric_vectors, _VECTORS), "failure_summary": (failure_summary, _FAILURES)}
+def residual_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the residual grammar adds to a linear guess over line items when the truth has a product, and with which coefficients."""
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), "l_tax")
+    y = F.col("a") + 0.7 * F.col("a") * F.col("b") + F.col("l_tax") / 10
+    r = residual.program(d, "x0", [F.col("a"), F.col("b")], y, settings=residual.Settings(beam=4, depth=1, chosen=2))
+    rows = [(t["expression"], t["family"], t["operator"], t["depth"], t["coefficient"], ",".join(r["actions"]), r["interaction"]) for t in r["terms"]]
+    out = spark.createDataFrame(rows, "expression string, family string, operator string, depth int, coefficient double, actions string, interaction boolean")
+    return out.withColumn("coefficient", F.round("coefficient", 6))
+
+
+_RESIDUAL = """WITH d AS (SELECT l_quantity/50 AS a, (l_quantity/50)*(l_discount*10) AS t, l_quantity/50 + 0.7*(l_quantity/50)*(l_discount*10) + l_tax/10 AS y FROM lineitem),
+m AS (SELECT var_pop(a) AS aa, var_pop(t) AS tt, covar_pop(a, t) AS ca, covar_pop(a, y) AS ay, covar_pop(t, y) AS ty FROM d)
+SELECT 'y_hat' AS expression, 'current_prediction' AS family, 'identity' AS operator, CAST(0 AS INTEGER) AS depth, round((tt*ay - ca*ty)/(aa*tt - ca*ca), 6) AS coefficient, 'REPARAMETERIZE,CHANGE_INTERACTION,ADD' AS actions, true AS interaction FROM m
+UNION ALL SELECT '(y_hat)*(x1)', 'interaction', 'multiply', CAST(1 AS INTEGER), round((aa*ty - ca*ay)/(aa*tt - ca*ca), 6), 'REPARAMETERIZE,CHANGE_INTERACTION,ADD', true FROM m"""
+
+QUERIES = {"residual_program": (residual_program, _RESIDUAL), "knot_populations": (knot_populations, _KNOTS), "envelope_draws": (envelope_draws, _DRAWS), "semantic_certificate": (semantic_certificate, _CERTIFICATE), "semantic_posterior": (semantic_posterior, _POSTERIOR), "metric_vectors": (metric_vectors, _VECTORS), "failure_summary": (failure_summary, _FAILURES)}
