@@ -62,7 +62,9 @@ def class_eig_all(posts: list[Posterior], groups: list[list[int]], x: np.ndarray
 
 def safe_set(observed: np.ndarray, candidates: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """Candidates that don't raise the squared MMD to the target set; the present value; the value with each."""
-    mean, sd = targets.mean(0), np.where(targets.std(0) > 0, targets.std(0), 1.0)
+    mean = targets.mean(0)
+    pooled = np.sqrt(((np.vstack((observed, candidates, targets)) - mean) ** 2).mean(0))
+    sd = np.where(targets.std(0) > 0, targets.std(0), np.where(pooled > 0, pooled, 1.0))
     o, c, t = ((v - mean) / sd for v in (observed, candidates, targets))
     h2 = discrepancy.median_positive(discrepancy.squared(t))
 

@@ -21,6 +21,34 @@ class ClassProjector(Protocol):
     def project(self, states: DataFrame) -> DataFrame: ...
 
 
+@dataclass(frozen=True)
+class MappedClasses:
+    """Classes by a table (state, class_id); a state that it doesn't hold is in no class."""
+
+    mapping: DataFrame
+
+    def project(self, states: DataFrame) -> DataFrame:
+        return states.join(self.mapping.select("state", "class_id"), "state", "left").select("state", "class_id", "mass")
+
+
+@dataclass(frozen=True)
+class BinnedClasses:
+    """Classes by the bins of a state's coordinates (state, mass, coordinate, lower, upper); null where an interval crosses an edge."""
+
+    edges: tuple[float, ...]
+
+    def project(self, states: DataFrame) -> DataFrame:
+        lo, hi = binned(F.col("lower"), F.col("upper"), list(self.edges))
+        place = F.struct("coordinate", lo.alias("bin"))
+        d = states.groupBy("state").agg(F.max("mass").alias("mass"), F.bool_and(lo == hi).alias("_sure"), F.array_sort(F.collect_list(place)).alias("_bins"))
+        return d.select("state", F.when(F.col("_sure"), F.array_join(F.transform("_bins", lambda b: b["bin"].cast("string")), ",")).alias("class_id"), "mass")
+
+
+def class_masses(projector: ClassProjector, states: DataFrame) -> DataFrame:
+    """(class_id, mass) of a population; the mass in no class has a null id."""
+    return projector.project(states).groupBy("class_id").agg(F.sum("mass").alias("mass"))
+
+
 def uniform_log_bound(n: float, prior: Prior) -> float:
     """Upper bound of the log evidence of n (weighted) responses under every design and every response."""
     if not (math.isfinite(n) and n >= 0):

@@ -174,6 +174,15 @@ def kernel_table(points: DataFrame, ident: str, vector: str, most: int = 4096) -
     return points.select(F.col(ident).alias("a"), F.col(vector).alias("_va")).join(F.broadcast(b)).select("a", "b", squared_distance(F.col("_va"), F.col("_vb")).alias("d2"))
 
 
+def standardised_by_targets(points: DataFrame, columns: list[str], target: Column) -> DataFrame:
+    """The columns about the targets' means over their deviations; where targets don't vary, over the deviation of all points about these means; where nothing varies, over 1."""
+    means = points.agg(*[F.avg(F.when(target, F.col(c))).alias(f"_m_{c}") for c in columns])
+    d = points.crossJoin(F.broadcast(means)).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+    own, pooled = (lambda c: F.sqrt(F.avg(F.when(target, F.col(c) * F.col(c))))), (lambda c: F.sqrt(F.avg(F.col(c) * F.col(c))))
+    scales = d.agg(*[F.when(own(c) > 0, own(c)).when(pooled(c) > 0, pooled(c)).otherwise(1.0).alias(f"_s_{c}") for c in columns])
+    return d.crossJoin(F.broadcast(scales)).withColumns({c: F.col(c) / F.col(f"_s_{c}") for c in columns}).drop(*[f"_s_{c}" for c in columns])
+
+
 def mmd_augmented(pairs: DataFrame, observed: Column, target: Column, bandwidth: float) -> DataFrame:
     """(candidate, current, augmented): biased squared MMD to the target set, now and with each candidate added.
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.sources.state import append_line, file_lock
+from quillon.sources.state import append_line, file_lock, write_json
 
 GENESIS = "0" * 64
 #: Events of one block of a log table: a block is chained in one task.
@@ -200,3 +200,80 @@ def validate_entry(row: dict, n_features: int = 1, points: int = 19) -> dict:
     if not any(v is not None for v in values) or any(v is not None and not abs(v) < float("inf") for v in values):
         raise ValueError("the expression has no finite value on the grid")
     return {**row, "canonical": text, "probe": [None if v is None else round(v, 12) for v in values]}
+
+
+def confirmations(log: Log) -> set[str]:
+    """Hypotheses whose last verdict in a log is a confirmation that passed its own bound; a log whose chain doesn't hold raises."""
+    check = log.verify()
+    if not check["valid"]:
+        raise ValueError(f"the log doesn't hold: {check['errors']}")
+    frozen, out = {}, set()
+    for e in log.events():
+        h, payload = e["hypothesis_id"], e["payload"]
+        if e["event_type"] == "FROZEN":
+            frozen[h] = payload.get("maximum_nmse")
+        elif e["event_type"] == "CONFIRMED" and frozen.get(h) is not None and payload.get("nmse") is not None and payload["nmse"] <= frozen[h]:
+            out.add(h)
+        elif e["event_type"] in ("REJECTED", "RETRACTED"):
+            out.discard(h)
+    return out
+
+
+def promote_confirmed(store: DataFrame, staged: DataFrame, log: Log, hypothesis_id: str, most: int) -> DataFrame:
+    """promote() for the staged entries of one hypothesis, and only after its confirmation is found in a log that holds; else raises."""
+    if hypothesis_id not in confirmations(log):
+        raise ValueError(f"{hypothesis_id} has no confirmation that passed")
+    mine = staged.where(F.col("hypothesis_id") == hypothesis_id)
+    if mine.isEmpty():
+        raise ValueError(f"nothing is staged for {hypothesis_id}")
+    return promote(store, staged, mine.select("hypothesis_id"), most)
+
+
+def persist_hypothesis(folder: str | Path, spec: dict, log: Log, validation: dict | None = None) -> Path:
+    """A hypothesis as a JSON file of its own, PROPOSED in the log once; the same id with another expression raises.
+
+    validation: metrics and the fingerprint of the rows they are of, logged once for each fingerprint.  Calling again changes nothing.
+    """
+    ident, text = str(spec.get("hypothesis_id", "")).strip(), str(spec.get("expression", "")).strip()
+    if not ident or not text or Path(ident).name != ident:
+        raise ValueError("a hypothesis needs an id that can name a file, and an expression")
+    path = Path(folder) / f"{ident}.json"
+    with file_lock(path.with_name(f".{ident}")):
+        if path.exists():
+            spec = strict_loads(path.read_text("utf-8"))
+            if spec.get("expression") != text:
+                raise ValueError(f"{ident} is there with another expression")
+        else:
+            write_json(path, spec)
+    held = log.events(ident)
+    if not any(e["event_type"] == "PROPOSED" for e in held):
+        log.append(ident, "PROPOSED", {"expression": spec["expression"], "spec_sha256": _sha(canonical_json(spec))})
+    if validation is not None and not any(e["event_type"] == "SCREENED" and e["payload"].get("fingerprint") == validation.get("fingerprint") for e in held):
+        log.append(ident, "SCREENED", validation)
+    return path
+
+
+def payload_table(events: DataFrame, event_type: str, most: int = 512) -> DataFrame:
+    """The events of a type as a table: place, hypothesis and one text column for each field of any payload, by name.
+
+    events: seq, hypothesis_id, event_type, payload (JSON).  Values that aren't text are JSON; a field that a payload hasn't is null.
+    """
+    d = events.where(F.col("event_type") == event_type).select("seq", "hypothesis_id", F.from_json("payload", "map<string,string>").alias("_p"))
+    fields = [r.k for r in d.select(F.explode(F.map_keys("_p")).alias("k")).distinct().orderBy("k").limit(most + 1).collect()]
+    if len(fields) > most:
+        raise ValueError("more fields than a table takes")
+    return d.select("seq", "hypothesis_id", *[F.col("_p")[f].alias(f) for f in fields])
+
+
+def export(events: DataFrame, folder: str, types: tuple[str, ...] = EVENT_TYPES) -> DataFrame:
+    """Every type of event that there is as a CSV folder, rebuilt from the log alone, and a manifest (path, sha256) of the files, which is written beside them as JSON."""
+    spark = events.sparkSession
+    there = {r.event_type for r in events.select("event_type").distinct().collect()}
+    if unknown := there - set(types):
+        raise ValueError(f"unknown event types {sorted(unknown)}")
+    for t in [t for t in types if t in there]:
+        payload_table(events, t).write.mode("overwrite").csv(f"{folder}/{t.lower()}", header=True)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(folder)
+    manifest = files.select(F.substring_index("path", folder.rstrip("/") + "/", -1).alias("path"), F.sha2("content", 256).alias("sha256"))
+    manifest.write.mode("overwrite").json(f"{folder}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{folder}/manifest")

@@ -32,15 +32,18 @@ def discrete_mi(joint: DataFrame, keys: list[str], cls: str, outcome: str, p: st
     return hj.join(hc, keys).join(ho, keys).select(*keys, F.greatest(F.lit(0.0), F.col("hj") - F.col("hc") - F.col("ho")).alias("mi"), (-F.col("hc")).alias("class_entropy"))
 
 
-def update_utility(table: DataFrame, keys: list[str], structure: str, outcome: str, prior: str, likelihood: str, eta: float) -> DataFrame:
+def update_utility(table: DataFrame, keys: list[str], structure: str, outcome: str, prior: str, likelihood: str, eta: float, cls: str | None = None) -> DataFrame:
     """By keys: the drop of structure entropy when the posterior is made with likelihood**eta, under the ordinary predictive.
 
-    For eta = 1 it is the mutual information; for less it may be negative.
+    cls: a column that maps structures to classes; the entropies are then those of classes, whose masses are summed
+    after the update.  For eta = 1 the drop is the mutual information; for less it may be negative.
     """
     t = table.withColumns({"_j": F.col(prior) * F.col(likelihood), "_w": F.col(prior) * F.pow(F.col(likelihood), F.lit(eta))})
+    prior_of = t.select(*keys, structure, F.col(cls or structure).alias("_c"), F.col(prior).alias("_p")).distinct()
+    t = t.groupBy(*keys, outcome, F.col(cls or structure).alias("_c")).agg(F.sum("_j").alias("_j"), F.sum("_w").alias("_w"))
     o = t.groupBy(*keys, outcome).agg(F.sum("_j").alias("_py"), F.sum("_w").alias("_z"), F.sum(xlogx(F.col("_w"))).alias("_e"))
     after = o.select(*keys, (F.col("_py") * F.when(F.col("_z") > 0, F.ln("_z") - F.col("_e") / F.col("_z")).otherwise(0.0)).alias("_h"))
-    before = t.select(*keys, structure, prior).distinct().groupBy(*keys).agg((-F.sum(xlogx(F.col(prior)))).alias("_b"))
+    before = prior_of.groupBy(*keys, "_c").agg(F.sum("_p").alias("_p")).groupBy(*keys).agg((-F.sum(xlogx(F.col("_p")))).alias("_b"))
     return after.groupBy(*keys).agg(F.sum("_h").alias("_a")).join(before, keys).select(*keys, F.col("_b").alias("entropy_before"), F.col("_a").alias("entropy_after"), (F.col("_b") - F.col("_a")).alias("utility"))
 
 

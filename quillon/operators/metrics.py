@@ -7,12 +7,17 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.columns import t975, xlogx
+from quillon.functions.columns import finite, t975, xlogx
 from quillon.operators.ordered import quantiles, running
 
 FLOOR = 1e-12
 
 
+def finite_pairs(df: DataFrame, y: Column, p: Column) -> DataFrame:
+    """The rows where truth and prediction are both finite."""
+    return df.where(finite(y) & finite(p))
+
+
 def mse(y: Column, p: Column) -> Column:
     return F.avg((y - p) * (y - p))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import expressions as ex
+from quillon.operators.ordered import quantiles
+
 TIE = 1e-15
 #: Partitions of the levels at which local fronts meet.
 MERGES = (32, 1)
@@ -95,6 +100,29 @@ def best_per_group(df: DataFrame, keys: list[str], order: list[Column], fields:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*fields), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)])).alias("_b")).select(*keys, "_b.*")
 
 
+def least_favourable(df: DataFrame, keys: list[str], power: str, score: str, tie: float = TIE) -> DataFrame:
+    """By keys (actions): the least score over likelihood powers, and the smallest power whose score is within `tie` of it.
+
+    Two aggregates on the same keys, so rows are shuffled once and no group is held in a task.
+    """
+    least = df.groupBy(*keys).agg(F.min(score).alias("_least"))
+    return df.join(least, keys).where(F.col(score) <= F.col("_least") + tie).groupBy(*keys).agg(F.min(power).alias(power), F.max("_least").alias("least"))
+
+
+def best_with_median(df: DataFrame, keys: list[str], score: str, complexity: str, expression: str, fields: list[str]) -> DataFrame:
+    """The best row of each group by score, complexity and expression, with the exact median score and the rows of the group."""
+    best = best_per_group(df, keys, [F.col(score), F.col(complexity), F.col(expression)], fields)
+    median = quantiles(df, F.col(score), [0.5], keys).select(*keys, F.col("q").alias("median"))
+    count = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return best.join(median, keys).join(count, keys)
+
+
+def top_distinct(df: DataFrame, digest: str, score: str, expression: str, k: int) -> DataFrame:
+    """The k best rows by score and expression, of each digest the best one."""
+    fields = [c for c in df.columns if c != digest]
+    return best_per_group(df, [digest], [F.col(score), F.col(expression)], fields).orderBy(score, expression).limit(k)
+
+
 def multiset_diff(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """(columns, only_a, only_b): how often a row is in one side more than in the other (EXCEPT ALL both ways)."""
     both = a.select(*columns, F.lit(1).alias("_s")).unionAll(b.select(*columns, F.lit(-1).alias("_s")))
@@ -102,9 +130,52 @@ def multiset_diff(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return n.select(*columns, F.greatest(F.col("_n"), F.lit(0)).alias("only_a"), F.greatest(-F.col("_n"), F.lit(0)).alias("only_b"))
 
 
-def edit_action(added: Column, removed: Column) -> Column:
-    """The label of a structural change from counts of added and removed parts."""
-    return F.when((added == 0) & (removed == 0), "NOOP").when(removed == 0, "ADD").when(added == 0, "DELETE").otherwise("REPLACE")
+def edit_action(added: Column, removed: Column, changed: Column | None = None, same_shape: Column | None = None, same_root: Column | None = None, same_variables: Column | None = None) -> Column:
+    """The label of a structural change from counts of added and removed parts.
+
+    changed: whether anything differs at all; same_shape: whether only constants do; same_root, same_variables: whether
+    the outermost operation and the variables are the same.  Where these are not given, four labels are left.
+    """
+    no = F.lit(False)
+    changed = changed if changed is not None else (added > 0) | (removed > 0)
+    label = F.when(~changed, "NOOP").when(same_shape if same_shape is not None else no, "REPARAMETERIZE").when((added > 0) & (removed == 0), "ADD").when((removed > 0) & (added == 0), "DELETE")
+    if same_root is not None and same_variables is not None:
+        label = label.when(~same_root & same_variables, "CHANGE_OPERATOR").when(same_root & ~same_variables, "CHANGE_INTERACTION")
+    return label.otherwise("REPLACE")
+
+
+def edits(df: DataFrame, before: str, after: str, n_features: int) -> DataFrame:
+    """Adds `action`, the label of the edit between two columns of expressions, and the parts that were added and removed; null where one can't be read.
+
+    The parts of an expression are its subtrees but for constants; each pair of expressions is a row, told apart in Arrow batches.
+    """
+    fields = "added array<string>, removed array<string>, changed boolean, same_shape boolean, same_root boolean, same_variables boolean"
+
+    @F.pandas_udf(f"struct<{fields.replace(', ', ',').replace(' ', ':')}>")
+    def told(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        held: dict = {}
+        return pd.DataFrame([_edit(x, y, n_features, held) for x, y in zip(a, b, strict=True)], columns=["added", "removed", "changed", "same_shape", "same_root", "same_variables"])
+
+    d = df.withColumn("_edit", told(F.col(before), F.col(after)))
+    e = F.col("_edit")
+    action = F.when(e["changed"].isNotNull(), edit_action(F.size(e["added"]), F.size(e["removed"]), e["changed"], e["same_shape"], e["same_root"], e["same_variables"]))
+    return d.withColumns({"action": action, "added": e["added"], "removed": e["removed"]}).drop("_edit")
+
+
+def _edit(a: str | None, b: str | None, d: int, held: dict) -> tuple:
+    """What differs between two expressions; shapes are expressions whose constants are all alike."""
+
+    def of(text: str) -> tuple:
+        if text not in held:
+            parts = ex.nodes(text, d)
+            held[text] = ex.canonical(text, d), ex.canonical(re.sub(r"(?<![A-Za-z_\d.])\d+(\.\d+)?([eE][+-]?\d+)?", "7.25", text), d), Counter(n.signature for n in parts if n.kind != "constant"), (parts[0].kind, parts[0].label), frozenset(re.findall(r"\bx\d+\b", text))
+        return held[text]
+
+    try:
+        x, y = of(a), of(b)
+    except (TypeError, ValueError, SyntaxError, AttributeError, ZeroDivisionError, OverflowError):
+        return None, None, None, None, None, None
+    return sorted((y[2] - x[2]).elements()), sorted((x[2] - y[2]).elements()), x[0] != y[0], x[1] == y[1], x[3] == y[3], x[4] == y[4]
 
 
 # Weights of the score and of the accuracy gain.

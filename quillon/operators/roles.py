@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.columns import all_of, finite, numeric, seeded_hex
 from quillon.operators.ordered import ranked, ranked_by_hex
+from quillon.sources.shared import written
+from quillon.sources.tables import finalise, read_delimited
+from quillon.sources.workbooks import read_workbooks
 
 DEVELOPMENT, VALIDATION, POOL, HELDOUT = "development", "validation", "acquisition-pool", "untouched-heldout"
 ROLES = (DEVELOPMENT, VALIDATION, POOL, HELDOUT)
@@ -142,3 +145,23 @@ def fingerprint(df: DataFrame, ident: str, columns: list[str], block: int = 4096
 def covariate_fingerprint(df: DataFrame, ident: str, features: list[str]) -> str:
     """The fingerprint of what may be seen: features without the target."""
     return fingerprint(df, ident, features)
+
+
+def load(spark: SparkSession, path: str, target: str, features: list[str] | None = None, delimiter: str | None = None, header: bool = True, train: float = 0.7, pool: float = 0.15, held_out: float = 0.15, strategy: str = "pca1", seed: int = 42) -> tuple[DataFrame, dict]:
+    """A delimited file or a workbook as rows with roles: scanned, coerced, cleaned, freed of repeated rows and split; and what was left out.
+
+    features: all other columns where None, which must then be named in a header.  Columns of a headerless file are `_c0`, `_c1`, ....
+    """
+    if path.endswith(".xlsx"):
+        if features is None:
+            raise ValueError("the columns of a workbook must be named")
+        raw = read_workbooks(spark, path, [*features, target]).select(*features, target)
+    else:
+        raw = read_delimited(spark, path, delimiter, header)
+        features = features if features is not None else [c for c in raw.columns if c != target]
+    clean = finalise(raw.select(*[c for c in raw.columns if c in (*features, target)]), features, target)
+    # The id is the rank by values, so that it doesn't depend on how files are read.
+    ident = ranked_by_hex(clean.withColumn("_hex", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in [*features, target]]), 256)), "_hex", "row_id").drop("_hex")
+    before, held = raw.count(), written(ident, "loaded")
+    out, repeated = split(held, features, target, "row_id", train, pool, held_out, strategy, seed)
+    return out, {"scanned": before, "not_numeric": before - held.count(), "repeated": repeated}

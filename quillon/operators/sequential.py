@@ -187,6 +187,19 @@ def mh_transition(states: DataFrame, edges: DataFrame) -> DataFrame:
     return off.unionByName(stay)
 
 
+def complete_proposals(states: DataFrame, kind: str = "uniform", prior: str | None = None, most: int = 4096) -> DataFrame:
+    """(source, target, forward, reverse) between all pairs of a small registered set of states, at most `most`: every other state alike, or by a prior whatever the source."""
+    n = states.limit(most + 1).count()
+    if n > most:
+        raise ValueError("too many states for a table of all pairs")
+    if kind not in ("uniform", "prior"):
+        raise ValueError(f"unknown kind of proposal {kind}")
+    total = states.agg(F.sum(prior)).first()[0] if kind == "prior" else None
+    p = F.col(prior) / F.lit(float(total)) if kind == "prior" else F.lit(1.0 / max(1, n - 1))
+    a, b = states.select(F.col("state").alias("source"), p.alias("reverse")), states.select(F.col("state").alias("target"), p.alias("forward"))
+    return a.join(F.broadcast(b), F.col("source") != F.col("target")).select("source", "target", "forward", "reverse")
+
+
 def balance(matrix: DataFrame, target: DataFrame) -> DataFrame:
     """One row: largest detailed-balance and stationarity errors of a transition matrix; target: (state, pi)."""
     a = matrix.join(target.select(F.col("state").alias("source"), F.col("pi").alias("_pa")), "source").select("source", "target", (F.col("_pa") * F.col("p")).alias("flow"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import data, evaluations, kernels, measures, sequences
+from quillon.plans import data, evaluations, kernels, measures, records, sequences
 
-_ALL = data.QUERIES | measures.QUERIES | kernels.QUERIES | sequences.QUERIES | evaluations.QUERIES
+_ALL = data.QUERIES | measures.QUERIES | kernels.QUERIES | sequences.QUERIES | evaluations.QUERIES | records.QUERIES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, (f, _) in _ALL.items()}
 SQL: dict[str, str] = {k: s for k, (_, s) in _ALL.items() if s is not None}
