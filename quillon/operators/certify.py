@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillon.functions import enclosure
 from quillon.operators import gram
 from quillon.operators.gram import Prior, Stats, Structure
 
@@ -49,6 +52,45 @@ def class_masses(projector: ClassProjector, states: DataFrame) -> DataFrame:
     return projector.project(states).groupBy("class_id").agg(F.sum("mass").alias("mass"))
 
 
+class CdfOracle(Protocol):
+    """What encloses predictive probabilities: intervals that hold P(Y <= y) at each design row."""
+
+    def cdf(self, x: np.ndarray, y: np.ndarray) -> enclosure.Interval: ...
+
+
+@dataclass(frozen=True)
+class PosteriorCdf:
+    """Enclosures under a bank's posterior, whose parameters are taken as they are."""
+
+    posts: list[gram.Posterior]
+
+    def cdf(self, x: np.ndarray, y: np.ndarray) -> enclosure.Interval:
+        of, parts, total = enclosure.Interval.of, [], enclosure.Interval.of(0.0)
+        for p in self.posts:
+            df, loc, scale = p.predict(gram.design_rows(x, p.structure.terms))
+            parts.append(enclosure.t_cdf((of(y) - of(loc)) / of(scale), of(np.full(len(y), float(df)))))
+            total = total + p.probability
+        return enclosure.mixture_cdf([of(p.probability) / total for p in self.posts], parts)
+
+
+def enclosed_t_cdf(df: DataFrame, z: Column, nu: Column) -> DataFrame:
+    """Adds `lower` and `upper`, which enclose Student's t distribution function; null where an argument isn't finite or degrees of freedom aren't positive."""
+    keep = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            zz, nn = (np.asarray(b.column(c).fill_null(np.nan)) for c in ("_z", "_nu"))
+            good = np.isfinite(zz) & np.isfinite(nn) & (nn > 0)
+            lo, hi = (np.full(len(zz), np.nan) for _ in range(2))
+            if good.any():
+                got = enclosure.t_cdf(zz[good], nn[good])
+                lo[good], hi[good] = got.lo, got.hi
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *(pa.array(v, mask=~good) for v in (lo, hi))], names=[*keep, "lower", "upper"])
+
+    return df.withColumns({"_z": z.cast("double"), "_nu": nu.cast("double")}).mapInArrow(run, schema)
+
+
 def uniform_log_bound(n: float, prior: Prior) -> float:
     """Upper bound of the log evidence of n (weighted) responses under every design and every response."""
     if not (math.isfinite(n) and n >= 0):

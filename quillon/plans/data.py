@@ -124,7 +124,30 @@ def bank_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = gram.generic_bank(len(X))
     s = gram.gram(d, terms(), F.col("l_extendedprice"))
     rows = [(p.structure.name, len(p.structure.terms), float(p.log_evidence), float(p.probability), float(p.shape), float(p.scale)) for p in gram.bank_posterior(bank, s, gram.Prior())]
-    return spark.createDataFrame(rows, "structure string, n_terms int, log_evidence double, probability double, shape double, scale double")
+    out = spark.createDataFrame(rows, "structure string, n_terms int, log_evidence double, probability double, shape double, scale double")
+    return out.select("structure", "n_terms", *[F.round(c, k).alias(c) for c, k in (("log_evidence", 4), ("probability", 6), ("shape", 1), ("scale", 4))])
+
+
+def z_terms() -> dict[str, str]:
+    """The terms as SQL over x0, x1, x2."""
+    return {"intercept": "1.0", **{n: e.replace("l_quantity", "x0").replace("l_discount", "x1").replace("l_tax", "x2") for n, e in _TERMS.items() if n != "intercept"}}
+
+
+def _bank_sql() -> str:
+    """Sums of products of all terms, and Gaussian elimination of each structure's part: pivots give the determinant, what is left of y'y the scale."""
+    names, every = list(z_terms()), [*z_terms().values(), "y"]
+    sums = ", ".join("[" + ", ".join(f"sum(({every[min(i, j)]})*({every[max(i, j)]}))" for j in range(len(every))) + "]" for i in range(len(every)))
+    rows = ", ".join(f"('{b.name}', {[names.index(t) + 1 for t in b.terms] + [len(every)]})" for b in gram.generic_bank(len(X)))
+    scales = ", ".join(f"avg({c}) AS m{k}, stddev_pop({c}) AS s{k}" for k, c in enumerate((*X, "l_extendedprice")))
+    z = ", ".join(f"({c} - m{k})/s{k} AS {'y' if k == len(X) else f'x{k}'}" for k, c in enumerate((*X, "l_extendedprice")))
+    return f"""WITH RECURSIVE st AS (SELECT {scales} FROM lineitem), z AS (SELECT {z} FROM lineitem, st), g AS MATERIALIZED (SELECT count(*) AS n, [{sums}] AS g FROM z),
+b(structure, idx) AS (VALUES {rows}),
+e(structure, n, k, size, m, log_det) AS (
+  SELECT structure, n, 1, len(idx), list_transform(idx, lambda i: list_transform(idx, lambda j: g[i][j] + CASE WHEN i = j AND i <> {len(every)} THEN 1.0 ELSE 0.0 END)), CAST(0 AS DOUBLE) FROM b, g
+  UNION ALL SELECT structure, n, k + 1, size, list_transform(range(1, size + 1), lambda i: CASE WHEN i <= k THEN m[i] ELSE list_transform(range(1, size + 1), lambda j: m[i][j] - m[i][k]/m[k][k]*m[k][j]) END), log_det + ln(m[k][k]) FROM e WHERE k < size),
+r AS (SELECT structure, size - 1 AS n_terms, n, 3 + n/2 AS shape, 1 + 0.5*m[size][size] AS scale, log_det FROM e WHERE k = size),
+v AS (SELECT *, -n/2*ln(2*pi()) - 0.5*log_det - shape*ln(scale) + lgamma(shape) - lgamma(3) AS ev FROM r)
+SELECT structure, CAST(n_terms AS INTEGER) AS n_terms, round(ev, 4) AS log_evidence, round(exp(ev - (SELECT max(ev) FROM v))/(SELECT sum(exp(ev - (SELECT max(ev) FROM v))) FROM v), 6) AS probability, round(shape, 1) AS shape, round(scale, 4) AS scale FROM v"""
 
 
 def expression_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +213,7 @@ QUERIES = {
     "gram_matrix": (gram_matrix, _GRAM),
     "ridge_closed_form": (ridge_closed_form, "WITH s AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS yr, count(*) AS n, sum(l_quantity) AS sx, sum(l_quantity*l_quantity) + 1 AS sxx, sum(l_extendedprice) AS sy, sum(l_quantity*l_extendedprice) AS sxy FROM lineitem GROUP BY 1) SELECT yr, round((sy*sxx - sx*sxy) / (n*sxx - sx*sx), 3) AS b0, round((n*sxy - sx*sy) / (n*sxx - sx*sx), 5) AS b1 FROM s"),
     "intercept_evidence": (intercept_evidence, "WITH s AS (SELECT count(*) AS n FROM lineitem), p AS (SELECT n, 3 + n/2.0 AS a, 1 + 0.5*n AS b FROM s) SELECT 'intercept' AS structure, round((-n/2.0*ln(2*pi()) - 0.5*ln(1.0 + n) - a*ln(b) + lgamma(a) - lgamma(3)) / n, 8) AS log_evidence_per_row, n FROM p"),
-    "bank_posterior": (bank_posterior, None),
+    "bank_posterior": (bank_posterior, _bank_sql()),
     "expression_eval": (expression_eval, "WITH e AS (SELECT l_returnflag, l_quantity*l_discount + sin(l_tax) - 0.5*l_quantity*l_quantity/(1 + abs(l_discount)) AS e FROM lineitem) SELECT l_returnflag, round(avg(e), 6) AS mean_e, round(min(e), 6) AS min_e, round(max(e), 6) AS max_e FROM e GROUP BY 1"),
     "guarded_candidates": (guarded_candidates, " UNION ALL ".join(f"SELECT '{n}' AS candidate, CASE WHEN bool_and({ok}) THEN round(avg(power(({e}) - l_extendedprice/1000, 2)), 5) END AS mse, bool_and({ok}) AS valid FROM lineitem" for n, e, ok in _CANDIDATES)),
     "scalar_powers": (scalar_powers, "SELECT c_custkey, round(power(abs(c_acctbal/1000), 1.5), 6) AS abspow, round(sign(c_acctbal)*power(abs(c_acctbal/1000), 2.0), 6) AS signpow, round(1/(1+exp(-least(greatest(c_acctbal/1000, -40), 40))), 8) AS sigmoid FROM customer"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import acquisition, discovery, discrepancy, gram, grammar, information, search, smc
 from quillon.operators.gram import Prior, generic_bank
-from quillon.plans.data import X, terms
+from quillon.plans.data import X, terms, z_terms
 from quillon.sources.shared import written
 from quillon.sources.tables import table
 
@@ -54,7 +54,26 @@ def acquisition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictive_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts, _ = posteriors(spark, sf_dir)
-    return information.predictive_moments(information.component_rows(spark, posts, ACTIONS), "action")
+    d = information.predictive_moments(information.component_rows(spark, posts, ACTIONS), "action")
+    return d.select("action", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+def _predictive_sql() -> str:
+    """As for the bank's posterior, with each action's design row beside the sums: elimination leaves minus its location and minus its spread."""
+    names, every = list(z_terms()), [*z_terms().values(), "y"]
+    sums = ", ".join("[" + ", ".join(f"sum(({every[min(i, j)]})*({every[max(i, j)]}))" for j in range(len(every))) + "]" for i in range(len(every)))
+    bank = ", ".join(f"('{b.name}', {[names.index(t) + 1 for t in b.terms]})" for b in generic_bank(3))
+    actions = ", ".join(f"({k}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {a[2]}::DOUBLE)" for k, a in enumerate(ACTIONS.tolist()))
+    cols = (*X, "y")
+    return f"""WITH RECURSIVE q AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in X)}, avg(l_extendedprice) AS y FROM lineitem GROUP BY year(l_shipdate), month(l_shipdate), lineitem.l_returnflag),
+st AS (SELECT {", ".join(f"avg({c}) AS m{k}, stddev_pop({c}) AS s{k}" for k, c in enumerate(cols))} FROM q), z AS (SELECT {", ".join(f"({c} - m{k})/s{k} AS {'y' if c == 'y' else f'x{k}'}" for k, c in enumerate(cols))} FROM q, st),
+g AS MATERIALIZED (SELECT count(*) AS n, [{sums}] AS g FROM z), b(structure, idx) AS (VALUES {bank}), a(action, x0, x1, x2) AS (VALUES {actions}), v AS (SELECT action, [{", ".join(every[:-1])}] AS v FROM a),
+e(structure, action, n, k, size, m, log_det) AS (
+  SELECT structure, action, n, 1, len(idx), list_append(list_append(list_transform(idx, lambda i: list_append(list_append(list_transform(idx, lambda j: g[i][j] + CASE WHEN i = j THEN 1.0 ELSE 0.0 END), g[i][{len(every)}]), v[i])), list_append(list_append(list_transform(idx, lambda j: g[j][{len(every)}]), g[{len(every)}][{len(every)}]), 0.0)), list_append(list_append(list_transform(idx, lambda j: v[j]), 0.0), 0.0)), CAST(0 AS DOUBLE) FROM b, g, v
+  UNION ALL SELECT structure, action, n, k + 1, size, list_transform(range(1, size + 3), lambda i: CASE WHEN i <= k THEN m[i] ELSE list_transform(range(1, size + 3), lambda j: m[i][j] - m[i][k]/m[k][k]*m[k][j]) END), log_det + ln(m[k][k]) FROM e WHERE k <= size),
+r AS (SELECT structure, action, n, 3 + n/2 AS shape, 1 + 0.5*m[size + 1][size + 1] AS scale, log_det, -m[size + 1][size + 2] AS loc, -m[size + 2][size + 2] AS spread FROM e WHERE k = size + 1),
+w AS (SELECT *, -0.5*log_det - shape*ln(scale) AS ev FROM r), p AS (SELECT *, exp(ev - max(ev) OVER (PARTITION BY action)) AS w, scale/shape*(1 + spread)*shape/(shape - 1) AS var FROM w)
+SELECT CAST(action AS INTEGER) AS action, round(sum(w*loc)/sum(w), 6) AS mean, round(sum(w*(var + loc*loc))/sum(w) - power(sum(w*loc)/sum(w), 2), 6) AS variance FROM p GROUP BY action"""
 
 
 def calibrated_power(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +152,6 @@ def discovery_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "discovery_run": (discovery_run, None),
     "acquisition_runs": (acquisition_runs, None),
-    "class_partition": (class_partition, None), "acquisition_scores": (acquisition_scores, None), "predictive_table": (predictive_table, None), "calibrated_power": (calibrated_power, None),
+    "class_partition": (class_partition, None), "acquisition_scores": (acquisition_scores, None), "predictive_table": (predictive_table, _predictive_sql()), "calibrated_power": (calibrated_power, None),
     "adequacy_eprocess": (adequacy, None), "smc_runs": (smc_runs, None), "lasso_poly4": (lasso_poly4, None), "tree_search": (tree_search, None), "exploration_terms": (exploration, None), "grammar_classes": (grammar_classes, None),
 }

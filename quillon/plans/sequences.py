@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.operators import distance, gram, prequential, sequential
+from quillon.operators import certify, distance, gram, prequential, sequential
 from quillon.operators.ordered import ranked
 from quillon.plans.measures import _BETS
 from quillon.sources.shared import written
@@ -66,6 +66,17 @@ e AS (SELECT user_id, t, list_max(c) + ln(list_sum(list_transform(c, lambda x: e
 f AS (SELECT user_id, max(t) AS n, round(arg_max(m, t), 5) AS log_e, round(max(m), 5) AS max_log_e, coalesce(min(CASE WHEN m >= ln(100.0) THEN t END), -1) AS first_crossing FROM e GROUP BY 1)
 SELECT user_id, f.n, round(avg(pit), 6) AS mean_pit, round(sum(score), 5) AS log_score, max(p.n) AS most_before, log_e, max_log_e, first_crossing FROM p JOIN f USING (user_id) GROUP BY ALL"""
 
+def cdf_enclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enclosures of t probabilities of event values, by user: sums of the middles, and whether all are narrow."""
+    d = table(spark, sf_dir, "events").select("user_id", ((F.col("value") - 40) / 20).alias("z"), (F.col("user_id") % 5 + 3).alias("nu"))
+    e = certify.enclosed_t_cdf(d, F.col("z"), F.col("nu"))
+    width = F.col("upper") - F.col("lower")
+    return e.groupBy("user_id").agg(F.count("lower").alias("n"), F.round(F.sum((F.col("lower") + F.col("upper")) / 2), 7).alias("total"), ((F.max(width) < 1e-11) & (F.min(width) >= 0)).alias("narrow"))
+
+
+_ENCLOSURES = f"""WITH d AS (SELECT user_id, (value - 40)/20 AS z, user_id % 5 + 3 AS nu FROM events) SELECT user_id, count(*) AS n, round(sum({_t_cdf("z", "nu")}), 7) AS total, true AS narrow FROM d GROUP BY user_id"""
+
+
 def ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of six-hour windows as children of users of the window before: (step, user_id, parent), the parent by a rule on ranks."""
     e = table(spark, sf_dir, "events").select(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / 1000000 - 1704067200) / 21600).alias("w"), "user_id").distinct()
@@ -116,6 +127,7 @@ r(k, query_id, pool_id, dist, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS B
 SELECT query_id, pool_id, round(dist, 5) AS distance FROM r WHERE k > 0"""
 
 QUERIES = {
+    "cdf_enclosures": (cdf_enclosures, _ENCLOSURES),
     "genealogy_recomposed": (genealogy_recomposed, _GENEALOGY),
     "matched_vectors": (matched_vectors, _MATCHED),
     "prequential_calibration": (prequential_calibration, _CALIBRATION),
