@@ -174,6 +174,54 @@ def score_candidates(df: DataFrame, candidates: list[str], xs: list[Column], y:
     return row.select(F.inline(F.array(*items)))
 
 
+#: Node names of an algebra system's printed trees, and what they are here.
+IMPORTED = {"Abs": "abs", "sin": "sin", "cos": "cos", "tan": "tan", "tanh": "tanh", "exp": "exp", "log": "log", "sqrt": "sqrt", "sign": "sign"}
+
+
+def imported(tree: str, n_features: int) -> str | None:
+    """The expression of a printed tree such as Add(Mul(Integer(2), Symbol('x0')), Pow(Symbol('x1'), Rational(1, 2))); None where it has a part that isn't known here.
+
+    Sums and products take any number of parts; numbers become decimal.  What is returned passes the checks of parse().
+    """
+
+    def number(x: ast.expr) -> float:
+        sign = -1 if isinstance(x, ast.UnaryOp) and isinstance(x.op, ast.USub) else 1
+        x = x.operand if isinstance(x, ast.UnaryOp) else x
+        if not isinstance(x, ast.Constant) or isinstance(x.value, bool) or not isinstance(x.value, int | float | str):
+            raise ValueError("not a number")
+        return sign * float(x.value)
+
+    def spell(v: float) -> str:
+        return f"({v!r})" if v < 0 else repr(v)
+
+    def go(x: ast.expr) -> str:
+        if not isinstance(x, ast.Call) or not isinstance(x.func, ast.Name):
+            raise ValueError("not a node")
+        name, args = x.func.id, x.args
+        if name == "Symbol":
+            if not isinstance(args[0], ast.Constant) or not re.fullmatch(r"x\d+", str(args[0].value)):
+                raise ValueError("not a feature")
+            return str(args[0].value)
+        if name in ("Integer", "Float"):
+            return spell(number(args[0]))
+        if name == "Rational":
+            return spell(number(args[0]) / number(args[1]))
+        if name in ("Add", "Mul") and args:
+            return "(" + (" + " if name == "Add" else "*").join(map(go, args)) + ")"
+        if name == "Pow" and len(args) == 2:
+            return f"({go(args[0])})**{go(args[1])}"
+        if name in IMPORTED and len(args) == 1:
+            return f"{IMPORTED[name]}({go(args[0])})"
+        raise ValueError(f"unknown node {name}")
+
+    try:
+        text = go(ast.parse(tree, mode="eval").body)
+        parse(text, n_features)
+        return text
+    except (ValueError, SyntaxError, TypeError, IndexError, ZeroDivisionError, RecursionError):
+        return None
+
+
 def operations(text: str, n_features: int) -> int:
     return sum(isinstance(x, ast.BinOp | ast.Call | ast.UnaryOp) for x in ast.walk(parse(text, n_features)))
 

@@ -160,18 +160,17 @@ def scores(policy: str, posts: list[Posterior], groups: list[list[int]], observe
     raise ValueError(f"unknown policy {policy}")
 
 
-def choose(policy: str, posts: list[Posterior], groups: list[list[int]], observed: np.ndarray, x: np.ndarray, ids: np.ndarray, targets: np.ndarray, seed: int, by_power=None, excess: float = 0.0) -> int:
-    """Position of the next candidate.  Reference dominance hands over to the leader only if its lower bound beats the uniform reference's mean upper bound."""
+def choose(policy: str, posts: list[Posterior], groups: list[list[int]], observed: np.ndarray, x: np.ndarray, ids: np.ndarray, targets: np.ndarray, seed: int, by_power=None, excess: float = 0.0, reference: np.ndarray | None = None) -> int:
+    """Position of the next candidate.  Reference dominance hands over to the leader only if its lower bound beats the reference's mean upper bound, else draws by it.  reference: its weights, alike where None."""
     if policy == "discriminative":
         return discriminative(by_power or {1.0: posts}, groups, observed, x, ids, targets, seed)[0]
     if policy != "reference_dominance":
         return stable_argmax(scores(policy, posts, groups, observed, x, targets, seed, by_power=by_power, excess=excess), ids)
     value, err = class_eig_all(posts, groups, x, 16)
-    lead = stable_argmax(value - err, ids)
-    if value[lead] - err[lead] - float(np.mean(value + err)) > 256 * np.finfo(float).eps * max(1.0, float(np.abs(value).max())):
+    lead, weights = stable_argmax(value - err, ids), np.ones(len(ids)) if reference is None else np.asarray(reference, float)
+    if value[lead] - err[lead] - float(weights @ (value + err) / weights.sum()) > 256 * np.finfo(float).eps * max(1.0, float(np.abs(value).max())):
         return lead
-    u = int.from_bytes(hashlib.sha256(str(seed).encode()).digest()[:8], "big") / 2**64
-    return int(np.argsort(ids)[min(len(ids) - 1, int(u * len(ids)))])
+    return weighted_draw(ids, weights, seed)
 
 
 def entropy(p: list[float]) -> float:

@@ -16,6 +16,8 @@ from quillon.sources.state import append_line, file_lock, write_json
 GENESIS = "0" * 64
 #: Events of one block of a log table: a block is chained in one task.
 BLOCK = 4096
+#: Blocks whose digests meet in one task.
+FAN = 4096
 EVENT_TYPES = ("PROPOSED", "SCREENED", "FROZEN", "CONFIRMED", "REJECTED", "RETRACTED", "REPLICATED", "NOTE")
 EVENT = "event_id string, hypothesis_id string, event_type string, timestamp_utc string, payload string, previous_hash string, event_hash string"
 
@@ -54,19 +56,24 @@ def _sha(text: str) -> str:
 def anchors(log: DataFrame) -> DataFrame:
     """(block, anchor): what the first event of each block follows, a digest of all blocks before it; GENESIS for the first.
 
-    Blocks are digested side by side; only one digest a block (of BLOCK events) meets in one task.
+    Blocks are digested side by side, then runs of FAN blocks; what meets in one task is one digest a run,
+    and one digest a block of one run.  The first run follows GENESIS, a later one the digests of all runs before it.
     """
     block = F.floor(F.col("seq") / BLOCK).alias("block")
     each = log.groupBy(block).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda x: F.concat_ws("|", x["seq"].cast("string"), x["payload"])), "\n"), 256).alias("digest"))
 
-    def link(part: pd.DataFrame) -> pd.DataFrame:
-        part, out, now = part.sort_values("block"), [], GENESIS
+    def link(part: pd.DataFrame, now: str) -> pd.DataFrame:
+        part, out = part.sort_values("block"), []
         for d in part["digest"]:
             out.append(now)
             now = _sha(f"{now}|{d}")
         return pd.DataFrame({"block": part["block"], "anchor": out})
 
-    return each.groupBy(F.lit(0).alias("all")).applyInPandas(link, "block long, anchor string")
+    each = each.withColumn("run", F.floor(F.col("block") / FAN))
+    run_digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"]), "|"), 256)
+    runs = each.groupBy("run").agg(run_digest.alias("digest")).select(F.col("run").alias("block"), "digest")
+    starts = runs.groupBy(F.lit(0).alias("all")).applyInPandas(lambda part: link(part, GENESIS), "block long, anchor string").select(F.col("block").alias("run"), F.col("anchor").alias("start"))
+    return each.join(starts, "run").groupBy("run").applyInPandas(lambda part: link(part, part["start"].iloc[0]), "block long, anchor string")
 
 
 def chained(events: DataFrame) -> DataFrame:

@@ -131,14 +131,19 @@ def split(df: DataFrame, features: list[str], target: str, ident: str, train: fl
     return parts[0].unionByName(parts[1]), before - n
 
 
-def fingerprint(df: DataFrame, ident: str, columns: list[str], block: int = 4096) -> str:
+def fingerprint(df: DataFrame, ident: str, columns: list[str], block: int = 4096, fan: int = 4096) -> str:
     """SHA-256 of the columns' values in the order of a unique integer id, of their number and names.
 
-    Blocks of rows are digested side by side, then the blocks' digests (one a `block` ids).
+    Blocks of rows are digested side by side, then the blocks' digests (one a `block` ids), in a tree of that fan-out.
     """
     row = row_fingerprint(columns)
     each = df.groupBy(F.floor(F.col(ident) / block).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ident), row.alias("h")))), lambda x: x["h"]), ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    whole = each.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "").alias("h"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "")
+    blocks = each.agg(F.max("b")).first()[0] or 0
+    while blocks >= fan:  # no row holds more than `fan` digests
+        each = each.groupBy(F.floor(F.col("b") / fan).alias("b")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))
+        blocks //= fan
+    whole = each.agg(joined.alias("h"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return whole.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.lit(",".join(columns)), "h"), 256)).first()[0]
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import expressions as ex
 from quillon.operators import acquisition, certify, evidence, metrics, ranking, roles, sequential
 from quillon.sources import tables, workbooks
 
@@ -157,3 +158,35 @@ def test_scales_fall_back(spark):
     o, c, t = np.array([[0.0, 1.0]]), np.array([[1.0, 3.0], [2.0, 1.0]]), np.array([[0.0, 1.0], [2.0, 1.0]])
     good, now, then = acquisition.safe_set(o, c, t)
     assert np.isfinite(now) and np.isfinite(then).all() and then[0] > then[1] and len(good) == 2
+
+
+def test_imported_trees():
+    got = ex.imported("Add(Mul(Integer(-2), Symbol('x0'), sin(Symbol('x1'))), Pow(Symbol('x1'), Integer(2)), Float('0.5', precision=53))", 2)
+    assert ex.probe(got, [[1.0, 0.0], [0.5, 2.0]]) == pytest.approx([0.5, -np.sin(2.0) + 4.5])
+    assert ex.probe(ex.imported("Mul(Rational(1, 2), Pow(Symbol('x0'), Rational(1, 2)))", 1), [[4.0]]) == pytest.approx([1.0])
+    for bad in ("Symbol('y')", "Symbol('x5')", "Derivative(Symbol('x0'))", "Add()", "Integer(True)", "__import__('os')", "x0 + 1", "Add(Symbol('x0'), ", "Rational(1, 0)"):
+        assert ex.imported(bad, 2) is None
+
+
+def test_digest_trees(spark, monkeypatch):
+    """Anchors of several runs of blocks, and fingerprints over several levels, still see every change."""
+    monkeypatch.setattr(evidence, "BLOCK", 5)
+    events = spark.range(120).select(F.col("id").alias("event_id"), F.lit("t").alias("event_type"), F.col("id").alias("user_id"), F.lit("{}").alias("props"))
+    one = {r.seq: r.event_hash for r in evidence.chained(events).collect()}
+    monkeypatch.setattr(evidence, "FAN", 4)
+    log = evidence.chained(events).cache()
+    assert evidence.verify(log).first().valid
+    assert {r.seq: r.event_hash for r in log.where("seq < 20").collect()} == {k: v for k, v in one.items() if k < 20}  # the first run is what it was
+    for k in (3, 47, 119):
+        assert not evidence.verify(log.withColumn("payload", F.when(F.col("seq") == k, "x").otherwise(F.col("payload")))).first().valid
+    assert not evidence.verify(log.where("seq <> 60")).first().valid
+    df = spark.range(100).select("id", (F.col("id") * 1.5).alias("v"))
+    a = roles.fingerprint(df, "id", ["v"], 4, 3)
+    assert a == roles.fingerprint(df.repartition(5), "id", ["v"], 4, 3) != roles.fingerprint(df.withColumn("v", F.when(F.col("id") == 77, 0.0).otherwise(F.col("v"))), "id", ["v"], 4, 3)
+    assert roles.fingerprint(df.limit(0), "id", ["v"], 4, 3) != a
+
+
+def test_reference_draws():
+    """A draw by the reference's weights never takes what has none."""
+    ids = np.array([5, 3, 9])
+    assert {int(ids[acquisition.weighted_draw(ids, np.array([0.0, 1.0, 1.0]), s)]) for s in range(40)} == {3, 9}
