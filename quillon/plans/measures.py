@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -441,15 +442,15 @@ def island_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def particle_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample size bounds and exact majority failure tails over a grid from nations."""
+    from quillon.operators.grammar import majority_failure, particle_lower_bound
+
     d = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("s"), (2 * F.col("n_nationkey") + 1).alias("islands"))
-    bound = F.ceil(F.ln(128.0 * F.col("s")) * F.greatest(F.lit(18 / 0.5), F.lit(1 / (2 * 0.1**2))))
-    x = d.select("s", "islands", bound.cast("long").alias("particles"), F.explode(F.sequence(F.expr("(islands + 1) div 2"), F.col("islands"))).alias("k"))
 
-    def log_choose(n, k):
-        return F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda a, i: a + F.ln((n - k + i) / i))
+    @F.pandas_udf("struct<particles:long,failure:double>")
+    def bounds(steps: pd.Series, islands: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"particles": [particle_lower_bound(int(s), 0.5, 0.1) for s in steps], "failure": [float(majority_failure(int(k))) for k in islands]})
 
-    p = F.exp(log_choose(F.col("islands"), F.col("k")) + F.col("k") * F.ln(F.lit(0.25)) + (F.col("islands") - F.col("k")) * F.ln(F.lit(0.75)))
-    return x.groupBy("s", "islands", "particles").agg(F.round(F.sum(p), 10).alias("failure"))
+    return d.select("s", "islands", bounds("s", "islands").alias("b")).select("s", "islands", "b.particles", F.round("b.failure", 10).alias("failure"))
 
 
 def grammar_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
