@@ -32,8 +32,8 @@ from quillon.llm import textkit as tk
 from quillon.llm.runtime import input_bytes, short_batches, tidy, tree, written
 
 WINDOW, GRAM = 10, 5
-#: Most bytes of benchmark text that are broadcast: its tables stay under 200 MB.
-BLOCK_BYTES = 4 << 20
+#: Most bytes of benchmark text that are broadcast: its tables take some 150 to 200 times as much, and two seconds a megabyte to make.
+BLOCK_BYTES = 1 << 20
 #: Bits of the filter that a larger benchmark's fingerprints are kept in (32 MB), and its parts.
 FILTER_BITS, FILTER_PARTS = 1 << 28, 256
 MERGE_INPUT = 1 << 30
