@@ -222,6 +222,25 @@ def conjugate(structure: Structure, s: Stats, prior: Prior, power: float = 1.0)
     return Posterior(structure, mean, np.linalg.inv(precision), shape, scale, evidence)
 
 
+def quadrature_log_evidence(structure: Structure, s: Stats, prior: Prior, tol: float = 1e-10) -> float:
+    """The log evidence by another way, as a check: coefficients are integrated out for a given noise, the logarithm of the noise by quadrature."""
+    s = s.of(structure.terms)
+    k, n = len(structure.terms), s.n
+    precision = prior.precision * np.eye(k) + s.xx
+    info = prior.precision * prior.mean * np.ones(k) + s.xy
+    rest = s.yy + prior.precision * k * prior.mean**2 - float(info @ np.linalg.solve(precision, info))
+    half_det = 0.5 * (k * math.log(prior.precision) - np.linalg.slogdet(precision)[1])
+    shape = prior.shape + n / 2
+    top = math.log((prior.scale + rest / 2) / shape)  # where the integrand is largest
+
+    def log_at(v: np.ndarray) -> np.ndarray:
+        """Of v, the logarithm of the noise variance: likelihood with the coefficients gone, its prior, and the change of variable."""
+        return -n / 2 * (math.log(2 * math.pi) + v) + half_det - 0.5 * rest * np.exp(-v) + prior.shape * math.log(prior.scale) - math.lgamma(prior.shape) - prior.shape * v - prior.scale * np.exp(-v)
+
+    peak, width = float(log_at(np.array(top))), 40 / math.sqrt(shape)
+    return peak + math.log(special.integrate(lambda v: np.exp(log_at(v) - peak), top - width, top + width, tol))
+
+
 def bank_posterior(bank: list[Structure], s: Stats, prior: Prior, power: float = 1.0) -> list[Posterior]:
     """All structures with their posterior probabilities."""
     out = [conjugate(b, s, prior, power) for b in bank]

@@ -84,6 +84,19 @@ def paired_deltas(runs: DataFrame, scope: str, unit: str, policy: str, reference
     return theirs.join(ours, [scope, unit]).select(scope, unit, "baseline", (F.col("_ours") - F.col("_theirs")).alias("delta"))
 
 
+def paired_methods(runs: DataFrame, keys: list[str], method: str, base: str, candidate: str, budgets: list[str], errors: list[str]) -> DataFrame:
+    """Runs of two methods side by side: each budget and error of both, whether budgets match, and by how much an error fell.
+
+    Keys that don't have one run of each method and of no other are left out.  One aggregate: no side is read twice.
+    """
+    of = lambda m, c: F.max(F.when(F.col(method) == m, F.col(c)))
+    n = lambda m: F.sum((F.col(method) == m).cast("long"))
+    cols = [of(m, c).alias(f"{c}_{w}") for c in [*budgets, *errors] for m, w in ((base, "base"), (candidate, "candidate"))]
+    d = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), n(base).alias("_b"), n(candidate).alias("_c"), *cols).where("_n = 2 and _b = 1 and _c = 1")
+    more = {f"{c}_matched": F.col(f"{c}_base").eqNullSafe(F.col(f"{c}_candidate")) for c in budgets} | {f"{c}_improvement": F.col(f"{c}_base") - F.col(f"{c}_candidate") for c in errors}
+    return d.withColumns(more).drop("_n", "_b", "_c")
+
+
 def paired_effects(deltas: DataFrame, scope: str) -> DataFrame:
     """Mean effect with its interval and the share of units that got worse, by scope and baseline."""
     ci = mean_ci(deltas, [scope, "baseline"], F.col("delta"), "delta")

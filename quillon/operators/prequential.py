@@ -9,6 +9,7 @@ of all rows of a block are solved together.  A key with very many rows is cut in
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +55,43 @@ def _scores(z: np.ndarray, y: np.ndarray, n: np.ndarray, xx: np.ndarray, xy: np.
     return np.clip(pit, clip, 1 - clip), top + np.log(np.exp(dens - top).sum(axis=0))
 
 
+def _losses(z: np.ndarray, y: np.ndarray, n: np.ndarray, xx: np.ndarray, xy: np.ndarray, yy: np.ndarray, bank: list[tuple[np.ndarray, float]], prior: gram.Prior, powers: tuple[float, ...]) -> list[np.ndarray]:
+    """Expected log loss of each y by a parameter drawn from its row's posterior, for each likelihood power."""
+    digamma = np.vectorize(special.digamma, otypes=[float])
+    out = []
+    for eta in powers:
+        shape = prior.shape + eta * n / 2
+        logs, losses = [], []
+        for at, log_prior in bank:
+            k = len(at)
+            precision = prior.precision * np.eye(k) + eta * xx[:, at[:, None], at[None, :]]
+            info = prior.precision * prior.mean + eta * xy[:, at]
+            rows = z[:, at]
+            solved = np.linalg.solve(precision, np.stack((info, rows), axis=-1))
+            scale = prior.scale + 0.5 * (eta * yy + prior.precision * k * prior.mean**2 - np.einsum("ij,ij->i", solved[..., 0], info))
+            logs.append(log_prior + 0.5 * (k * math.log(prior.precision) - np.linalg.slogdet(precision)[1]) - shape * np.log(scale))
+            losses.append(0.5 * (math.log(2 * math.pi) + np.log(scale) - digamma(shape) + shape / scale * (y - np.einsum("ij,ij->i", rows, solved[..., 0])) ** 2 + np.einsum("ij,ij->i", rows, solved[..., 1])))
+        w = np.exp(np.array(logs) - np.max(logs, axis=0))
+        out.append((w * np.array(losses)).sum(axis=0) / w.sum(axis=0))
+    return out
+
+
 def predictive_pits(df: DataFrame, order: Column, ident: str, terms: dict[str, Column], y: Column, bank: list[gram.Structure], prior: gram.Prior, initial: Column | None = None, keys: list[str] | None = None, clip: float = 1e-12, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(keys, order, ident, n_before, pit, log_score) of each row by the posterior of the rows of its key before it.
 
     order: numeric, nulls first and NaN last; ident breaks ties.  initial: rows that come before all others and get no score.
     Rows with a term or target that is null or not finite count for nothing.  A key's first row is scored by the prior.
     """
+    return _scan(df, order, ident, terms, y, bank, initial, keys, block_rows, ["pit", "log_score"], lambda *a: _scores(*a, prior, clip))
+
+
+def power_losses(df: DataFrame, order: Column, ident: str, terms: dict[str, Column], y: Column, bank: list[gram.Structure], prior: gram.Prior, powers: tuple[float, ...], initial: Column | None = None, keys: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, order, ident, n_before, loss_0, loss_1, ...): each row's expected log loss under every likelihood power, as predictive_pits scores rows."""
+    return _scan(df, order, ident, terms, y, bank, initial, keys, block_rows, [f"loss_{k}" for k in range(len(powers))], lambda *a: _losses(*a, prior, powers))
+
+
+def _scan(df: DataFrame, order: Column, ident: str, terms: dict[str, Column], y: Column, bank: list[gram.Structure], initial: Column | None, keys: list[str] | None, block_rows: int, made: list[str], score: Callable) -> DataFrame:
+    """The scan of the module's docstring; score makes the columns `made` of rows, targets and the statistics before each row."""
     keys = keys or []
     names, k = tuple(terms), len(terms)
     if k > gram.WIDE:
@@ -86,7 +118,7 @@ def predictive_pits(df: DataFrame, order: Column, ident: str, terms: dict[str, C
     w = Window.partitionBy(*keys, "_slot").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*keys, "_slot", "_bucket", F.array(*[F.coalesce(F.sum(f"s{j}").over(w), F.lit(0.0)) for j in range(m)]).alias("before")).where(F.col("_bucket") != FIRST)
     upper = np.triu_indices(k)
-    schema = T.StructType([*rows.select(*keys, "order", ident).schema.fields, T.StructField("n_before", T.LongType()), T.StructField("pit", T.DoubleType()), T.StructField("log_score", T.DoubleType())])
+    schema = T.StructType([*rows.select(*keys, "order", ident).schema.fields, T.StructField("n_before", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in made]])
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
@@ -123,9 +155,12 @@ def predictive_pits(df: DataFrame, order: Column, ident: str, terms: dict[str, C
             xx = np.zeros((len(yy), k, k))
             xx[:, upper[0], upper[1]] = now[:, 1 : 1 + len(upper[0])]
             xx[:, upper[1], upper[0]] = now[:, 1 : 1 + len(upper[0])]
-            out.append((np.rint(now[:, 0]), *_scores(zz, yy, now[:, 0], xx, now[:, 1 + len(upper[0]) : -1], now[:, -1], at, prior, clip)))
-        n_before, pit, score = (np.concatenate(v) if v else np.zeros(0) for v in zip(*out, strict=True)) if out else (np.zeros(0),) * 3
-        return left.select([*keys, "order", ident]).append_column("n_before", pa.array(n_before.astype(np.int64))).append_column("pit", pa.array(pit)).append_column("log_score", pa.array(score))
+            out.append((np.rint(now[:, 0]), *score(zz, yy, now[:, 0], xx, now[:, 1 + len(upper[0]) : -1], now[:, -1], at)))
+        n_before, *columns = [np.concatenate(v) for v in zip(*out, strict=True)] if out else [np.zeros(0)] * (1 + len(made))
+        t = left.select([*keys, "order", ident]).append_column("n_before", pa.array(n_before.astype(np.int64)))
+        for c, v in zip(made, columns, strict=True):
+            t = t.append_column(c, pa.array(v))
+        return t
 
     return later.groupBy("_slot", "_bucket").cogroup(before.groupBy("_slot", "_bucket")).applyInArrow(block, schema)
 

@@ -162,6 +162,20 @@ def edits(df: DataFrame, before: str, after: str, n_features: int) -> DataFrame:
     return d.withColumns({"action": action, "added": e["added"], "removed": e["removed"]}).drop("_edit")
 
 
+def edit_label(a: str, b: str, n_features: int) -> str | None:
+    """The label of one edit; None where an expression can't be read."""
+    added, removed, changed, shape, root, variables = _edit(a, b, n_features, {})
+    if changed is None:
+        return None
+    if not changed:
+        return "NOOP"
+    if shape:
+        return "REPARAMETERIZE"
+    if bool(added) != bool(removed):
+        return "ADD" if added else "DELETE"
+    return "CHANGE_OPERATOR" if not root and variables else "CHANGE_INTERACTION" if root and not variables else "REPLACE"
+
+
 def _edit(a: str | None, b: str | None, d: int, held: dict) -> tuple:
     """What differs between two expressions; shapes are expressions whose constants are all alike."""
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillon.functions import expressions as ex
 from quillon.operators import gram, metrics
 from quillon.operators.ordered import quantiles
+from quillon.operators.ranking import edit_label
 
 
 def summands(text: str, d: int) -> list[str]:
@@ -190,3 +191,28 @@ def retained(source: list[str], final: list[str], matches: list[tuple[int, int]]
     """Whether an edit left a trace: a new term that matches and matters, or a term that is gone."""
     matched = {j for _, j in matches}
     return any(e["measurable"] and j in matched for j, e in enumerate(effects)) or len(matched) < len(source)
+
+
+def retention(train: DataFrame, valid: DataFrame, parent: str, proposal: str, final: str, xs: list[Column], y: Column, least: float = 1e-5) -> dict:
+    """What of a proposed edit is left in a final expression, and whether it matters: an added term that is found again and
+    whose removal is measurable, a term that is gone for good to some effect, or other constants to some effect.
+
+    Terms are told apart by what they say on the training rows; effects are of predictions on the validation rows, over the size of y.
+    """
+    d = len(xs)
+    old, new, now = (summands(t, d) for t in (parent, proposal, final))
+    kept = semantic_matches(train, new, old, xs)
+    added = [t for k, t in enumerate(new) if k not in {i for i, _ in kept}]
+    deleted = [t for k, t in enumerate(old) if k not in {j for _, j in kept}]
+    found = sorted({j for _, j in semantic_matches(train, added, now, xs)})
+    effects = ablation(valid, final, xs, y, least) if found else []
+    still = semantic_matches(train, deleted, now, xs)
+    a, b = ex.compile_expression(parent, xs), ex.compile_expression(final, xs)
+    r = valid.agg(F.sqrt(F.avg((a - b) * (a - b))).alias("rms"), F.greatest(F.sqrt(F.avg(y * y)), F.stddev_pop(y), F.lit(1e-12)).alias("size")).first()
+    effect = float(r.rms or 0.0) / float(r["size"] or 1e-12)
+    by_term = bool(added and any(e["measurable"] for k, e in enumerate(effects) if k in found))
+    gone = bool(deleted and not still)
+    by_deletion = gone and (ex.complexity(final, d) < ex.complexity(parent, d) - 1e-12 or effect >= least)
+    action = edit_label(parent, final, d)
+    by_constants = action == "REPARAMETERIZE" and effect >= least
+    return {"retained": by_term or by_deletion or by_constants, "action": action, "added": added, "deleted": deleted, "added_retained": by_term, "deletion_effective": by_deletion, "reparameterized": by_constants, "effect": effect}

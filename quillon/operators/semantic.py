@@ -106,10 +106,11 @@ def grid_log_marginal(design: np.ndarray, y: np.ndarray, powers: np.ndarray, pre
     return -n / 2 * math.log(2 * math.pi) + 0.5 * (float(np.log(precisions).sum()) - np.linalg.slogdet(p)[1]) + prior.shape * math.log(prior.scale) - shape * math.log(scale) + math.lgamma(shape) - math.lgamma(prior.shape)
 
 
-def with_components(table: DataFrame, x: np.ndarray, y: np.ndarray, prior: Prior, kernels: list[Kernel], spike: float, precision: float, powers: np.ndarray | None = None) -> DataFrame:
+def with_components(table: DataFrame, x: np.ndarray, y: np.ndarray, prior: Prior, kernels: list[Kernel], spike: float, precision: float, powers: np.ndarray | None = None, joint: bool = False) -> DataFrame:
     """The classes with `log_marginal` mixed over no discrepancy (probability spike) and kernels projected off the class's function, on a registered grid.
 
-    precision: of the discrepancy's coefficients.
+    precision: of the discrepancy's coefficients.  joint: a row for each class and component instead, `component` (none for no discrepancy)
+    and a log_marginal that holds the component's prior probability.
     """
     x, y = np.atleast_2d(np.asarray(x, float).T).T, np.asarray(y, float)
     powers = np.ones(len(y)) if powers is None else np.asarray(powers, float)
@@ -120,7 +121,7 @@ def with_components(table: DataFrame, x: np.ndarray, y: np.ndarray, prior: Prior
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, names = [], ["none", *[k.name for k in kernels]]
             for terms in b.column("terms").to_pylist():
                 f = sum((t["coefficient"] * np.prod(x ** np.array(t["powers"]), axis=1) for t in terms), np.zeros(len(y)))[:, None]
                 logs = [math.log(spike if kernels else 1.0) + grid_log_marginal(f, y, powers, np.array([prior.precision]), prior)]
@@ -128,10 +129,14 @@ def with_components(table: DataFrame, x: np.ndarray, y: np.ndarray, prior: Prior
                     basis = discrepancy.projected_basis(x, f, 1.0, k.lengthscale2)
                     precisions = np.concatenate(([prior.precision], np.full(basis.shape[1], precision)))
                     logs.append(math.log((1 - spike) * k.share) + grid_log_marginal(np.column_stack((f, basis)), y, powers, precisions, prior))
-                out.append(float(np.logaddexp.reduce(logs)))
+                out += [float(v) for v in logs] if joint else [float(np.logaddexp.reduce(logs))]
+            if joint:
+                at = pa.array(np.repeat(np.arange(b.num_rows), len(names)))
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array(names * b.num_rows), pa.array(out, pa.float64())], names=[*b.schema.names, "component", "log_marginal"])
+                continue
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "log_marginal"])
 
-    return table.drop("log_marginal").mapInArrow(run, CLASSES + ", log_marginal double")
+    return table.drop("log_marginal", "component").mapInArrow(run, CLASSES + (", component string" if joint else "") + ", log_marginal double")
 
 
 def certificate(table: DataFrame, g: Grammar, n: float, prior: Prior, least: int, most: int, tolerance: float = 0.01) -> DataFrame:
@@ -158,9 +163,10 @@ def certificate(table: DataFrame, g: Grammar, n: float, prior: Prior, least: int
 
 
 def class_posterior(table: DataFrame) -> DataFrame:
-    """(class_id, mass, probability): listed classes by their share of the listed evidence, sizes joined."""
-    c = table.groupBy("class_id").agg(F.sum("mass").alias("mass"), F.max("log_marginal").alias("log_marginal"))
+    """(class_id, mass, probability): listed classes by their share of the listed evidence, sizes joined; by component too where the table has them."""
+    keys = ["class_id", "component"] if "component" in table.columns else ["class_id"]
+    c = table.groupBy(*keys).agg(F.sum("mass").alias("mass"), F.max("log_marginal").alias("log_marginal"))
     top = c.agg(F.max(F.log("mass") + F.col("log_marginal")).alias("_top"))
     c = c.crossJoin(F.broadcast(top)).withColumn("_e", F.exp(F.log("mass") + F.col("log_marginal") - F.col("_top")))
     total = c.agg(F.sum("_e").alias("_all"))
-    return c.crossJoin(F.broadcast(total)).select("class_id", "mass", (F.col("_e") / F.col("_all")).alias("probability"))
+    return c.crossJoin(F.broadcast(total)).select(*keys, "mass", (F.col("_e") / F.col("_all")).alias("probability"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import acquisition, discovery, discrepancy, gram, grammar, information, search, smc
+from quillon.operators import acquisition, discovery, discrepancy, gram, grammar, information, prequential, search, smc
 from quillon.operators.gram import Prior, generic_bank
 from quillon.plans.data import X, terms, z_terms
 from quillon.sources.shared import written
@@ -76,18 +76,40 @@ w AS (SELECT *, -0.5*log_det - shape*ln(scale) AS ev FROM r), p AS (SELECT *, ex
 SELECT CAST(action AS INTEGER) AS action, round(sum(w*loc)/sum(w), 6) AS mean, round(sum(w*(var + loc*loc))/sum(w) - power(sum(w*loc)/sum(w), 2), 6) AS variance FROM p GROUP BY action"""
 
 
+POWERS = (0.25, 0.5, 1.0)
+
+
 def calibrated_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean prequential loss of each likelihood power over the months."""
-    d = gram.standardised(yearly(spark, sf_dir), [*X, "y"])
-    rows = d.groupBy("yr", "mo").agg(*[F.avg(c).alias(c) for c in [*X, "y"]]).orderBy("yr", "mo").collect()
-    x = np.array([[r[c] for c in X] for r in rows])
-    y = np.array([r["y"] for r in rows])
-    names = tuple(dict.fromkeys(t for b in generic_bank(3) for t in b.terms))
-    z = gram.design_rows(x, names)
-    prefixes = [gram.Stats(names, float(t), z[:t].T @ z[:t], z[:t].T @ y[:t], float(y[:t] @ y[:t])) for t in range(len(y))]
-    losses = gram.calibrated_power(generic_bank(3), prefixes, list(x), list(y), Prior(), (0.25, 0.5, 1.0))
-    best = gram.best_power(losses)
-    return spark.createDataFrame([(e, float(v), e == best) for e, v in losses.items()], "power double, loss double, chosen boolean")
+    """Mean prequential loss of each likelihood power over the months: statistics before each month by a scan, nothing collected but the means."""
+    d = gram.standardised(yearly(spark, sf_dir), [*X, "y"]).groupBy("yr", "mo").agg(*[F.avg(c).alias(c) for c in [*X, "y"]]).withColumn("at", (F.col("yr") * 12 + F.col("mo")).cast("long"))
+    p = prequential.power_losses(d, F.col("at"), "at", terms(), F.col("y"), generic_bank(3), Prior(), POWERS)
+    means = p.agg(*[F.avg(f"loss_{k}").alias(f"m{k}") for k in range(len(POWERS))])
+    rows = means.select(F.explode(F.array(*[F.struct(F.lit(e).alias("power"), F.col(f"m{k}").alias("loss")) for k, e in enumerate(POWERS)])).alias("e")).select("e.*")
+    least = means.select(F.least(*[F.col(f"m{k}") for k in range(len(POWERS))]).alias("least"))
+    rows = rows.crossJoin(F.broadcast(least)).withColumn("tied", F.col("loss") <= F.col("least") + 1e-12 * F.greatest(F.lit(1.0), F.abs("least")))
+    best = rows.where("tied").agg(F.max("power").alias("best"))
+    return rows.crossJoin(F.broadcast(best)).select("power", F.round("loss", 8).alias("loss"), (F.col("power") == F.col("best")).alias("chosen"))
+
+
+def _power_sql() -> str:
+    """Sums before each month by windows, and elimination for each month, power and structure."""
+    names, every = list(z_terms()), [*z_terms().values(), "y"]
+    sums = ", ".join("[" + ", ".join(f"coalesce(sum(({every[min(i, j)]})*({every[max(i, j)]})) OVER w, 0)" for j in range(len(every))) + "]" for i in range(len(every)))
+    bank = ", ".join(f"('{b.name}', {[names.index(t) + 1 for t in b.terms]})" for b in generic_bank(3))
+    cols, last = (*X, "y"), len(every)
+    return f"""WITH RECURSIVE q AS (SELECT year(l_shipdate) AS yr, month(l_shipdate) AS mo, {", ".join(f"avg({c}) AS {c}" for c in X)}, avg(l_extendedprice) AS y FROM lineitem GROUP BY 1, 2, lineitem.l_returnflag),
+st AS (SELECT {", ".join(f"avg({c}) AS m{k}, stddev_pop({c}) AS s{k}" for k, c in enumerate(cols))} FROM q), z AS (SELECT yr*12 + mo AS t, {", ".join(f"avg(({c} - m{k})/s{k}) AS {'y' if c == 'y' else f'x{k}'}" for k, c in enumerate(cols))} FROM q, st GROUP BY 1),
+g AS MATERIALIZED (SELECT t, y, count(*) OVER w AS n, [{", ".join(every[:-1])}] AS v, [{sums}] AS g FROM z WINDOW w AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b(structure, idx) AS (VALUES {bank}), h(eta) AS (VALUES {", ".join(f"({e}::DOUBLE)" for e in POWERS)}),
+e(structure, t, eta, y, n, k, size, m, log_det) AS (
+  SELECT structure, t, eta, y, n, 1, len(idx), list_append(list_append(list_transform(idx, lambda i: list_append(list_append(list_transform(idx, lambda j: eta*g[i][j] + CASE WHEN i = j THEN 1.0 ELSE 0.0 END), eta*g[i][{last}]), v[i])), list_append(list_append(list_transform(idx, lambda j: eta*g[j][{last}]), eta*g[{last}][{last}]), 0.0)), list_append(list_append(list_transform(idx, lambda j: v[j]), 0.0), 0.0)), CAST(0 AS DOUBLE) FROM b, g, h
+  UNION ALL SELECT structure, t, eta, y, n, k + 1, size, list_transform(range(1, size + 3), lambda i: CASE WHEN i <= k THEN m[i] ELSE list_transform(range(1, size + 3), lambda j: m[i][j] - m[i][k]/m[k][k]*m[k][j]) END), log_det + ln(m[k][k]) FROM e WHERE k <= size),
+r AS (SELECT structure, t, eta, y, 3 + eta*n/2 AS shape, 1 + 0.5*m[size + 1][size + 1] AS scale, log_det, -m[size + 1][size + 2] AS loc, -m[size + 2][size + 2] AS spread FROM e WHERE k = size + 1),
+u AS (SELECT *, shape + 10 AS far FROM r),
+w AS (SELECT *, -0.5*log_det - shape*ln(scale) AS ev, ln(far) - 0.5/far - 1/(12*power(far, 2)) + 1/(120*power(far, 4)) - 1/(252*power(far, 6)) + 1/(240*power(far, 8)) - list_sum(list_transform(range(0, 10), lambda i: 1/(shape + i))) AS psi FROM u),
+p AS (SELECT *, exp(ev - max(ev) OVER (PARTITION BY t, eta)) AS w, 0.5*(ln(2*pi()) + ln(scale) - psi + shape/scale*power(y - loc, 2) + spread) AS loss FROM w),
+s AS (SELECT t, eta, sum(w*loss)/sum(w) AS loss FROM p GROUP BY t, eta), a AS (SELECT eta AS power, avg(loss) AS loss FROM s GROUP BY eta)
+SELECT power, round(loss, 8) AS loss, power = (SELECT max(power) FROM a WHERE loss <= (SELECT min(loss) FROM a) + 1e-12*greatest(1.0, abs((SELECT min(loss) FROM a)))) AS chosen FROM a"""
 
 
 def adequacy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +174,6 @@ def discovery_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "discovery_run": (discovery_run, None),
     "acquisition_runs": (acquisition_runs, None),
-    "class_partition": (class_partition, None), "acquisition_scores": (acquisition_scores, None), "predictive_table": (predictive_table, _predictive_sql()), "calibrated_power": (calibrated_power, None),
+    "class_partition": (class_partition, None), "acquisition_scores": (acquisition_scores, None), "predictive_table": (predictive_table, _predictive_sql()), "calibrated_power": (calibrated_power, _power_sql()),
     "adequacy_eprocess": (adequacy, None), "smc_runs": (smc_runs, None), "lasso_poly4": (lasso_poly4, None), "tree_search": (tree_search, None), "exploration_terms": (exploration, None), "grammar_classes": (grammar_classes, None),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import certify, distance, evidence, information, ranking, sequential
+from quillon.operators import certify, distance, evidence, information, metrics, ranking, sequential
 from quillon.plans.measures import _LIK, _likelihoods
 from quillon.sources import workbooks
 from quillon.sources.tables import table
@@ -130,7 +130,26 @@ def binned_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BINNED = "WITH w AS (SELECT p_partkey, p_size AS a, p_partkey % 40 AS c, p_retailprice/(SELECT sum(p_retailprice) FROM part) AS mass FROM part), z AS (SELECT mass, " + ", ".join(f"CAST({v} - 0.75 >= 10.5 AS INT) + CAST({v} - 0.75 >= 20.5 AS INT) + CAST({v} - 0.75 >= 30.5 AS INT) AS l{v}, CAST({v} + 0.75 >= 10.5 AS INT) + CAST({v} + 0.75 >= 20.5 AS INT) + CAST({v} + 0.75 >= 30.5 AS INT) AS h{v}" for v in ("a", "c")) + " FROM w) SELECT CASE WHEN la = ha AND lc = hc THEN la || ',' || lc END AS class_id, round(sum(mass), 9) AS mass FROM z GROUP BY 1"
 
+def paired_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned and accepted line items of a part side by side: lines as budget, mean discount as error."""
+    d = table(spark, sf_dir, "lineitem").where("l_returnflag in ('R', 'A')").groupBy("l_partkey", "l_returnflag").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_quantity"), 2).alias("units"), F.round(F.avg("l_discount"), 8).alias("error"))
+    p = metrics.paired_methods(d, ["l_partkey"], "l_returnflag", "A", "R", ["lines", "units"], ["error"])
+    return p.select("l_partkey", "lines_base", "lines_candidate", "lines_matched", "units_matched", F.round("error_improvement", 8).alias("improvement"))
+
+
+_PAIRED = "WITH d AS (SELECT l_partkey, l_returnflag AS f, count(*) AS n, round(sum(l_quantity), 2) AS u, round(avg(l_discount), 8) AS e FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1, 2) SELECT a.l_partkey, a.n AS lines_base, b.n AS lines_candidate, a.n = b.n AS lines_matched, a.u = b.u AS units_matched, round(a.e - b.e, 8) AS improvement FROM d a JOIN d b ON a.l_partkey = b.l_partkey AND a.f = 'A' AND b.f = 'R'"
+
+
+def floored_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference dominance whose bar is zero at least: utilities that updating can only lose hand over only above it."""
+    d = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_acctbal") / 1000 - 9).alias("lo"), (F.col("s_acctbal") / 1000 - 8.5).alias("hi"), (F.abs("s_acctbal") + 1).alias("ref"))
+    return ranking.reference_dominance(d, ["s_nationkey"], "s_suppkey", "lo", "hi", "ref", True).select("s_nationkey", "leader", F.round("leader_lower", 6).alias("leader_lower"), F.round("reference_upper", 6).alias("reference_upper"), "hands_over")
+
+
+_FLOORED = "WITH d AS (SELECT s_nationkey, s_suppkey, s_acctbal/1000 - 9 AS lo, s_acctbal/1000 - 8.5 AS hi, abs(s_acctbal) + 1 AS ref FROM supplier), a AS (SELECT s_nationkey, arg_max(s_suppkey, (lo, -s_suppkey)) AS leader, max(lo) AS l, greatest(0, sum(ref*hi)/sum(ref)) AS bar, max(greatest(abs(lo), abs(hi))) AS size FROM d GROUP BY 1) SELECT s_nationkey, leader, round(l, 6) AS leader_lower, round(bar, 6) AS reference_upper, l - bar > 256*2.220446049250313e-16*greatest(1, size) AS hands_over FROM a"
+
 QUERIES = {
+    "paired_budgets": (paired_budgets, _PAIRED), "floored_dominance": (floored_dominance, _FLOORED),
     "workbook_scan": (workbook_scan, _WORKBOOKS), "event_tables": (event_tables, _EVENT_TABLES), "class_update_utility": (class_update_utility, _CLASS_UTILITY), "least_favourable": (least_favourable, _LEAST),
     "engine_summary": (engine_summary, _ENGINES), "top_distinct": (top_distinct, _TOP), "edit_labels": (edit_labels, _EDITS), "complete_transition": (complete_transition, _COMPLETE), "target_scales": (target_scales, _SCALES), "binned_classes": (binned_classes, _BINNED),
 }

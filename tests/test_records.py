@@ -190,3 +190,33 @@ def test_reference_draws():
     """A draw by the reference's weights never takes what has none."""
     ids = np.array([5, 3, 9])
     assert {int(ids[acquisition.weighted_draw(ids, np.array([0.0, 1.0, 1.0]), s)]) for s in range(40)} == {3, 9}
+
+
+def test_paired_methods(spark):
+    rows = [("f", 1, "a", 10, 0.5), ("f", 1, "b", 10, 0.2), ("f", 2, "a", 10, 0.5), ("f", 2, "b", 11, 0.7), ("f", 3, "a", 10, 0.5), ("f", 4, "a", 1, 0.1), ("f", 4, "b", 1, 0.1), ("f", 4, "c", 1, 0.1), ("f", 5, "b", None, 0.1), ("f", 5, "a", None, 0.2), ("f", 6, "a", 1, 0.1), ("f", 6, "a", 1, 0.1)]
+    d = spark.createDataFrame(rows, "fixture string, seed int, method string, budget int, error double")
+    got = {r.seed: (r.budget_matched, round(r.error_improvement, 9)) for r in metrics.paired_methods(d, ["fixture", "seed"], "method", "a", "b", ["budget"], ["error"]).collect()}
+    assert got == {1: (True, 0.3), 2: (False, -0.2), 5: (True, 0.1)}
+
+
+def test_retention(spark):
+    """An added term that matters, one that doesn't, a deletion, other constants, and nothing."""
+    from quillon.operators import refine
+
+    rng = np.random.default_rng(7)
+    x = rng.uniform(-2, 2, (300, 2))
+    df = spark.createDataFrame([(float(a), float(b), float(a + 2 * np.sin(b))) for a, b in x], "a double, b double, y double").cache()
+    xs, y = [F.col("a"), F.col("b")], F.col("y")
+
+    def left(parent, proposal, final):
+        return refine.retention(df, df, parent, proposal, final, xs, y)
+
+    added = left("x0", "x0 + 2*sin(x1)", "x0 + 1.9*sin(x1)")
+    assert added["retained"] and added["added_retained"] and added["action"] == "ADD" and len(added["added"]) == 1
+    assert not left("x0", "x0 + 2*sin(x1)", "x0")["retained"]
+    gone = left("x0 + x1**2", "x0", "x0")
+    assert gone["retained"] and gone["deletion_effective"] and gone["deleted"] == ["x1 ** 2"] and not gone["added_retained"]
+    back = left("x0 + x1**2", "x0", "x0 + x1**2")
+    assert not back["retained"] and back["effect"] == 0 and back["action"] == "NOOP"
+    other = left("x0*2", "x0*3", "x0*3")
+    assert other["reparameterized"] and other["retained"]

@@ -85,3 +85,15 @@ def test_nothing_observed(spark):
     table = semantic.classes(spark, g, 3).withColumn("log_marginal", semantic.log_marginal(F.col("terms"), m, PRIOR))
     r = semantic.certificate(table, g, 0.0, PRIOR, 3, 3).first()
     assert m.n == 0 and r.tail_probability <= 0.4**3 + 1e-12
+
+
+def test_joint_posterior(spark):
+    """Classes and components together sum to one, and to the classes' own probabilities."""
+    x, y = responses(1)
+    g, kernels = Grammar(1, 0.4), [semantic.Kernel("short", 0.5, 0.6), semantic.Kernel("long", 0.5, 1.3)]
+    table = semantic.classes(spark, g, 3)
+    joint = semantic.class_posterior(semantic.with_components(table, x, y, PRIOR, kernels, 0.3, 1.2, joint=True)).collect()
+    alone = {r.class_id: r.probability for r in semantic.class_posterior(semantic.with_components(table, x, y, PRIOR, kernels, 0.3, 1.2)).collect()}
+    assert {r.component for r in joint} == {"none", "short", "long"} and sum(r.probability for r in joint) == pytest.approx(1.0)
+    for k, p in alone.items():
+        assert sum(r.probability for r in joint if r.class_id == k) == pytest.approx(p, abs=1e-12)

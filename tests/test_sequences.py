@@ -129,3 +129,31 @@ def test_matching_beyond_the_pool(spark):
     got = sorted((r.query_id, r.pool_id) for r in distance.matched(df, df.where("id in (2, 3)"), "id", "v").collect())
     assert got == [(2, 1), (3, 2)]
     assert distance.matched(df.limit(0), df, "id", "v").collect() == []
+
+
+def test_power_losses_equal_refitting(spark):
+    """Mean losses of the scan against the kernel over explicit prefixes."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 2))
+    y = x[:, 0] + 0.2 * rng.normal(size=30)
+    bank, powers = generic_bank(2), (0.3, 1.0)
+    names = tuple(dict.fromkeys(t for b in bank for t in b.terms))
+    z = gram.design_rows(x, names)
+    prefixes = [gram.Stats(names, float(t), z[:t].T @ z[:t], z[:t].T @ y[:t], float(y[:t] @ y[:t])) for t in range(30)]
+    want = gram.calibrated_power(bank, prefixes, list(x), list(y), Prior(), powers)
+    df = spark.createDataFrame([(k, float(k), *map(float, x[k]), float(y[k])) for k in range(30)], "id long, t double, x0 double, x1 double, y double")
+    terms = {t: gram.term(t, [F.col("x0"), F.col("x1")]) for t in names}
+    got = prequential.power_losses(df, F.col("t"), "id", terms, F.col("y"), bank, Prior(), powers, block_rows=8).agg(F.avg("loss_0"), F.avg("loss_1")).first()
+    assert list(got) == pytest.approx([want[e] for e in powers], abs=1e-9)
+
+
+def test_evidence_by_quadrature():
+    """The closed form of the evidence against integrating the noise numerically."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(25, 2))
+    y = 0.5 * x[:, 0] + 0.3 * rng.normal(size=25)
+    for prior in (Prior(), Prior(0.3, 2.0, 1.5, 0.4)):
+        for b in generic_bank(2):
+            z = gram.design_rows(x, b.terms)
+            s = gram.Stats(b.terms, 25.0, z.T @ z, z.T @ y, float(y @ y))
+            assert gram.quadrature_log_evidence(b, s, prior) == pytest.approx(gram.conjugate(b, s, prior).log_evidence, abs=1e-8)
