@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -344,6 +345,37 @@ def class_id(p: dict) -> str:
     return hashlib.sha256(repr(sorted((m, str(c)) for m, c in p.items())).encode()).hexdigest()
 
 
+def spelled_polynomial(p: dict[tuple[int, ...], Fraction]) -> str:
+    """A polynomial as text, in order of powers: equal functions, equal texts."""
+    return " + ".join("*".join([str(c), *[f"x{k}^{e}" for k, e in enumerate(m) if e]]) for m, c in sorted(p.items())) or "0"
+
+
+def facts(df: DataFrame, column: str, n_features: int) -> DataFrame:
+    """Adds what is known of a column of expressions: whether the discovery list and the hypothesis list allow it, its operations,
+    tree rows, complexity, canonical form and, where it is one, its polynomial; null where it isn't allowed or no polynomial.
+    """
+
+    def of(text: str | None) -> tuple:
+        def attempt(f):
+            try:
+                return f()
+            except (ValueError, SyntaxError, TypeError, ZeroDivisionError, OverflowError, RecursionError):
+                return None
+
+        allowed = [attempt(lambda s=s: parse(text, n_features, s) is not None) or False for s in (DISCOVERY, HYPOTHESIS)]
+        if not allowed[0]:
+            return (*allowed, None, None, None, None, None)
+        poly = attempt(lambda: polynomial(text, n_features))
+        return (*allowed, operations(text, n_features), len(nodes(text, n_features)), complexity(text, n_features), canonical(text, n_features), None if poly is None else spelled_polynomial(poly))
+
+    @F.pandas_udf("struct<discovery:boolean,hypothesis:boolean,operations:int,nodes:int,complexity:double,canonical:string,polynomial:string>")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        held = {t: of(t) for t in texts.unique()}
+        return pd.DataFrame([held[t] for t in texts], columns=["discovery", "hypothesis", "operations", "nodes", "complexity", "canonical", "polynomial"])
+
+    return df.withColumn("_facts", told(column)).select("*", "_facts.*").drop("_facts")
+
+
 @dataclass(frozen=True)
 class Node:
     """A row of an expression's tree."""

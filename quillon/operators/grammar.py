@@ -8,6 +8,7 @@ from fractions import Fraction
 from functools import cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,6 +182,23 @@ def class_rows(spark: SparkSession, g: Grammar, most: int) -> DataFrame:
     return spark.createDataFrame(rows, "class_id string, size int, multiplicity long, mass double")
 
 
+def unranked(df: DataFrame, n: str, rank: str, d: int, rho: float) -> DataFrame:
+    """Adds `expression`, `prior` and `polynomial` of the expression of each row's size and rank; null where there is no such rank."""
+
+    @F.pandas_udf("struct<expression:string,prior:double,polynomial:string>")
+    def made(sizes: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        g, held = Grammar(d, rho), {}
+        for key in set(zip(sizes, ranks, strict=True)):
+            try:
+                e = g.unrank(int(key[0]), int(key[1]))
+                held[key] = show(e), g.prior(int(key[0])), ex.spelled_polynomial(dict(polynomial_key(e, d)))
+            except (ValueError, TypeError):
+                held[key] = None, None, None
+        return pd.DataFrame([held[k] for k in zip(sizes, ranks, strict=True)], columns=["expression", "prior", "polynomial"])
+
+    return df.withColumn("_e", made(n, rank)).select("*", "_e.*").drop("_e")
+
+
 def class_masses(rows: DataFrame) -> DataFrame:
     return rows.groupBy("class_id").agg(F.sum("mass").alias("mass"), F.sum("multiplicity").alias("multiplicity"))
 

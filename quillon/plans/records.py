@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import certify, distance, evidence, information, metrics, ranking, sequential
+from quillon.functions import expressions as ex
+from quillon.operators import certify, distance, evidence, grammar, information, metrics, ranking, sequential
 from quillon.plans.measures import _LIK, _likelihoods
-from quillon.sources import workbooks
+from quillon.sources import tables, workbooks
+from quillon.sources.shared import shared_dir
 from quillon.sources.tables import table
 
 
@@ -148,7 +152,81 @@ def floored_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FLOORED = "WITH d AS (SELECT s_nationkey, s_suppkey, s_acctbal/1000 - 9 AS lo, s_acctbal/1000 - 8.5 AS hi, abs(s_acctbal) + 1 AS ref FROM supplier), a AS (SELECT s_nationkey, arg_max(s_suppkey, (lo, -s_suppkey)) AS leader, max(lo) AS l, greatest(0, sum(ref*hi)/sum(ref)) AS bar, max(greatest(abs(lo), abs(hi))) AS size FROM d GROUP BY 1) SELECT s_nationkey, leader, round(l, 6) AS leader_lower, round(bar, 6) AS reference_upper, l - bar > 256*2.220446049250313e-16*greatest(1, size) AS hands_over FROM a"
 
+#: Expressions with what is known of each: allowed for discovery, for hypotheses, operations, tree rows, complexity, canonical form, polynomial.
+FACTS = [
+    ("x0 + x1", True, True, 1, 3, 1.1, "x0 + x1", "1*x1^1 + 1*x0^1"), ("x1+x0", True, True, 1, 3, 1.1, "x0 + x1", "1*x1^1 + 1*x0^1"), ("2*x0 - x1**2", True, True, 3, 7, 3.55, "2*x0 + -1*x1**2", "-1*x1^2 + 2*x0^1"),
+    ("(x0 + 1)*(x0 - 1)", True, True, 3, 7, 3.55, "(-1 + x0)*(1 + x0)", "-1 + 1*x0^2"), ("x0**2 - 1", True, True, 2, 5, 2.55, "-1 + x0**2", "-1 + 1*x0^2"), ("sin(x0)*x1", True, True, 2, 4, 2.15, "sin(x0)*x1", None),
+    ("log10(x0)", False, True, None, None, None, None, None), ("abspow(x0, 2)", True, False, 1, 3, 1.3, "abspow(x0,2)", None), ("x0 +", False, False, None, None, None, None, None), ("x5 + 1", False, False, None, None, None, None, None),
+    ("x0^2 + 3x1", True, True, 3, 7, 3.55, "x0**2 + 3*x1", "3*x1^1 + 1*x0^2"), ("np.tanh(x0)", True, True, 1, 2, 1.1, "tanh(x0)", None), ("-(x0 - x1)", True, True, 2, 4, 2.15, "-1*x0 + x1", "1*x1^1 + -1*x0^1"), ("x1 - x0", True, True, 1, 3, 1.1, "-1*x0 + x1", "1*x1^1 + -1*x0^1"),
+]
+
+
+def expression_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of expressions, one for each part, with how many parts have it."""
+    text = F.element_at(F.array(*[F.lit(f[0]) for f in FACTS]), (F.col("p_partkey") % len(FACTS) + 1).cast("int"))
+    d = table(spark, sf_dir, "part").groupBy(text.alias("expression")).agg(F.count(F.lit(1)).alias("n"))
+    return ex.facts(d, "expression", 2).withColumn("complexity", F.round("complexity", 6))
+
+
+def _value(v: object) -> str:
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else repr(v) + "::DOUBLE" if isinstance(v, float) else repr(v)
+
+
+_FACTS = "WITH k(i, expression, discovery, hypothesis, operations, nodes, complexity, canonical, polynomial) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(_value, f))})" for i, f in enumerate(FACTS)) + f") SELECT expression, count(*) AS n, discovery, hypothesis, CAST(operations AS INTEGER) AS operations, CAST(nodes AS INTEGER) AS nodes, complexity, canonical, polynomial FROM part JOIN k ON i = p_partkey % {len(FACTS)} GROUP BY ALL"
+
+RHO, COUNTS = 0.4, (2, 2, 10, 26, 114)
+
+
+def grammar_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions of the open grammar by size and rank, one for each part, with their prior and polynomial."""
+    size = (F.col("p_size") % len(COUNTS) + 1).cast("int")
+    d = table(spark, sf_dir, "part").select(size.alias("size"), (F.col("p_partkey") % F.element_at(F.array(*map(F.lit, COUNTS)), size)).alias("rank"))
+    d = d.groupBy("size", "rank").agg(F.count(F.lit(1)).alias("n"))
+    return grammar.unranked(d, "size", "rank", 1, RHO).withColumn("prior", F.round("prior", 12))
+
+
+def _ranked_shells() -> str:
+    """Expressions of each size in rank order, from those of smaller sizes; coefficients up to the third power beside them."""
+    plus, times = "list_transform(range(1, 5), lambda i: a.c[i] + b.c[i])", "list_transform(range(1, 5), lambda k: CAST(list_sum(list_transform(range(1, k + 1), lambda i: a.c[i]*b.c[k + 1 - i])) AS BIGINT))"
+    out = ["e1(r, txt, c) AS (VALUES (0::BIGINT, '1', [1, 0, 0, 0]::BIGINT[]), (1::BIGINT, 'x0', [0, 1, 0, 0]::BIGINT[]))"]
+    for n in range(2, len(COUNTS) + 1):
+        parts = [f"SELECT 0 AS o, 0 AS k, r AS ra, 0 AS rb, '-(' || txt || ')' AS txt, list_transform(c, lambda v: -v) AS c FROM e{n - 1}"]
+        parts += [f"SELECT {o}, {k}, a.r, b.r, '(' || a.txt || ' {op} ' || b.txt || ')', {f} FROM e{k} a, e{n - 1 - k} b" for o, op, f in ((1, "+", plus), (2, "*", times)) for k in range(1, n - 1)]
+        out.append(f"e{n} AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o, k, ra, rb) - 1 AS r, txt, c FROM ({' UNION ALL '.join(parts)}))")
+    return ", ".join(out)
+
+
+_POLY = "coalesce(nullif(concat_ws(' + ', " + ", ".join(f"CASE WHEN c[{k + 1}] <> 0 THEN c[{k + 1}] || '{f'*x0^{k}' if k else ''}' END" for k in range(4)) + "), ''), '0')"
+_RANKS = f"WITH {_ranked_shells()}, e AS (" + " UNION ALL ".join(f"SELECT {n} AS size, r, txt, c, {1 - RHO}*power({RHO}, {n - 1})/(SELECT count(*) FROM e{n}) AS prior FROM e{n}" for n in range(1, len(COUNTS) + 1)) + f"), p AS (SELECT p_size % {len(COUNTS)} + 1 AS size, p_partkey FROM part), q AS (SELECT size, p_partkey % (SELECT count(*) FROM e WHERE e.size = p.size) AS rank, count(*) AS n FROM p GROUP BY 1, 2) SELECT CAST(q.size AS INTEGER) AS size, rank, n, txt AS expression, round(prior, 12) AS prior, {_POLY} AS polynomial FROM q JOIN e ON e.size = q.size AND e.r = q.rank"
+
+
+def source_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as yearly delimited files, white-space separated text and JSON lines, read back by each scan, and changed by an upsert: rows and totals by year."""
+    base = f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.year("o_orderdate").alias("yr"))
+    years = sorted(r.yr for r in o.select("yr").distinct().collect())
+    for y in years:
+        o.where(F.col("yr") == y).drop("yr").write.csv(f"{base}/years/{y}.csv", header=True)
+    o.select(F.concat_ws("   ", F.lit(""), F.col("yr").cast("string"), F.col("o_orderkey").cast("string"), F.col("price").cast("string"))).write.text(f"{base}/plain")
+    o.write.json(f"{base}/lines")
+    registry = tables.Registry()
+    registry.add(" Orders ", lambda s, root: tables.finalise(tables.union_years(s, {y: f"{root}/years/{y}.csv" for y in years}), ["o_orderkey"], "price"))
+    delimited = registry.load(spark, "ORDERS", base).select(F.col("group").alias("yr"), "o_orderkey", "price")
+    plain = tables.read_columns(spark, f"{base}/plain", ["yr", "o_orderkey", "price"])
+    lines = tables.read_json_lines(spark, f"{base}/lines", "o_orderkey long, price double, yr int", strict=True)
+    newer = o.where("o_orderkey % 3 = 0").withColumn("price", F.col("price") + 1)
+    every = [("delimited", delimited), ("columns", plain), ("json", lines), ("upsert", tables.upsert(lines, newer.select(lines.columns), "o_orderkey"))]
+    out = None
+    for name, d in every:
+        part = d.groupBy(F.col("yr").cast("int").alias("yr")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("price").cast("double")), 2).alias("total"), F.sum(F.col("o_orderkey").cast("long")).alias("keys")).withColumn("source", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_TRIPS = "SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, count(*) AS n, round(sum(o_totalprice + CASE WHEN source = 'upsert' AND o_orderkey % 3 = 0 THEN 1 ELSE 0 END), 2) AS total, CAST(sum(o_orderkey) AS BIGINT) AS keys, source FROM orders, (VALUES ('delimited'), ('columns'), ('json'), ('upsert')) k(source) GROUP BY 1, source"
+
 QUERIES = {
+    "expression_facts": (expression_facts, _FACTS), "grammar_ranks": (grammar_ranks, _RANKS), "source_round_trips": (source_round_trips, _TRIPS),
     "paired_budgets": (paired_budgets, _PAIRED), "floored_dominance": (floored_dominance, _FLOORED),
     "workbook_scan": (workbook_scan, _WORKBOOKS), "event_tables": (event_tables, _EVENT_TABLES), "class_update_utility": (class_update_utility, _CLASS_UTILITY), "least_favourable": (least_favourable, _LEAST),
     "engine_summary": (engine_summary, _ENGINES), "top_distinct": (top_distinct, _TOP), "edit_labels": (edit_labels, _EDITS), "complete_transition": (complete_transition, _COMPLETE), "target_scales": (target_scales, _SCALES), "binned_classes": (binned_classes, _BINNED),
