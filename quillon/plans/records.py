@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as ex
-from quillon.operators import certify, distance, evidence, grammar, information, metrics, ranking, sequential
+from quillon.operators import certify, distance, evidence, grammar, information, metrics, ranking, refine, roles, sequential
 from quillon.plans.measures import _LIK, _likelihoods
 from quillon.sources import tables, workbooks
 from quillon.sources.shared import shared_dir
@@ -225,7 +225,64 @@ def source_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TRIPS = "SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, count(*) AS n, round(sum(o_totalprice + CASE WHEN source = 'upsert' AND o_orderkey % 3 = 0 THEN 1 ELSE 0 END), 2) AS total, CAST(sum(o_orderkey) AS BIGINT) AS keys, source FROM orders, (VALUES ('delimited'), ('columns'), ('json'), ('upsert')) k(source) GROUP BY 1, source"
 
+def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of small parts, staged with larger ones that aren't there, and promoted by brands that were confirmed: the forty best."""
+    p = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_type", (F.col("p_size") % 20).cast("string")).alias("entry_id"), F.col("p_brand").alias("hypothesis_id"), F.round("p_retailprice", 2).alias("gain"), "p_partkey", "p_size")
+    store = p.where("p_size <= 10").groupBy("entry_id").agg(F.count(F.lit(1)).cast("int").alias("successes"), F.max("gain").alias("gain"))
+    fresh = p.where("p_size > 40").groupBy("entry_id").agg(F.lit(0).alias("successes"), F.min("gain").alias("gain"))
+    staged = p.where("p_size between 11 and 40")
+    confirmed = p.where("p_partkey % 5 = 0").select("hypothesis_id")
+    return evidence.promote(evidence.stage(store, fresh, "entry_id"), staged, confirmed, 40).select("entry_id", F.col("successes").cast("long").alias("successes"), "gain")
+
+
+_PROMOTION = "WITH p AS (SELECT p_type || '/' || p_size % 20 AS id, p_brand AS h, round(p_retailprice, 2) AS g, p_partkey, p_size FROM part), s AS (SELECT id, count(*) AS c, max(g) AS g FROM p WHERE p_size <= 10 GROUP BY 1), f AS (SELECT id, 0 AS c, min(g) AS g FROM p WHERE p_size > 40 AND id NOT IN (SELECT id FROM s) GROUP BY 1), n AS (SELECT id, 1 AS c, g FROM p WHERE p_size BETWEEN 11 AND 40 AND h IN (SELECT h FROM p WHERE p_partkey % 5 = 0)), a AS (SELECT * FROM s UNION ALL SELECT * FROM f UNION ALL SELECT * FROM n) SELECT id AS entry_id, CAST(sum(c) AS BIGINT) AS successes, max(g) AS gain FROM a GROUP BY id ORDER BY 2 DESC, 3 DESC, 1 LIMIT 40"
+
+PAIRS = [("x0", "x0 + 0*x1"), ("x0", "2*x0"), ("x0", "x0 + 0.05*x1"), ("x0*x1", "x0"), ("x0**2", "x0"), ("x1", "1 - x1"), ("x0", "x1")]
+_PAIRS_SQL = ["a", "2*a", "a + 0.05*b", "a", "a", "1 - b", "b"]
+_FIRST_SQL = ["a", "a", "a", "a*b", "a*a", "b", "a"]
+
+
+def term_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of terms over line items: absolute correlation, error of the best scaling, and which terms of two models are matched with each other."""
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"))
+    xs = [F.col("a"), F.col("b")]
+    got = refine.similarity(d, PAIRS, xs)
+    matched = refine.semantic_matches(d, ["x0", "x0*x1", "x1"], ["x1*x0", "3*x1", "x0**2"], xs)
+    rows = [(a, b, s.corr, s.nrmse) for (a, b), s in zip(PAIRS, got, strict=True)] + [(f"matched {i}", str(j), 1.0, 0.0) for i, j in matched]
+    return spark.createDataFrame(rows, "a string, b string, corr double, nrmse double").select("a", "b", F.round("corr", 6).alias("corr"), F.round("nrmse", 5).alias("nrmse"))
+
+
+_SIMILARITY = "WITH d AS (SELECT l_quantity/50 AS a, l_discount*10 AS b FROM lineitem) " + " UNION ALL ".join(f"SELECT '{p[0]}' AS a, '{p[1]}' AS b, round(abs(corr({f}, {q})), 6) AS corr, round(sqrt(greatest(0, 1 - power(avg(({f})*({q})), 2)/(avg(({f})*({f}))*avg(({q})*({q}))))), 5) AS nrmse FROM d" for p, f, q in zip(PAIRS, _FIRST_SQL, _PAIRS_SQL, strict=True)) + " UNION ALL VALUES ('matched 1', '0', 1.0::DOUBLE, 0.0::DOUBLE), ('matched 2', '1', 1.0::DOUBLE, 0.0::DOUBLE)"
+
+
+def objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search objective of a guess by flag, under every profile: squared error and a capped tail over that of the mean."""
+    y, p = F.col("y"), F.col("p")
+    d = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 50000).alias("y"), (F.col("l_quantity") / 35).alias("p"))
+    means = d.groupBy("l_returnflag").agg(F.avg("y").alias("m"))
+    own = metrics.tail_block(d, y, p, ["l_returnflag"], 1e-12).select("l_returnflag", "nmse", "p99")
+    flat = metrics.tail_block(d.join(F.broadcast(means), "l_returnflag"), y, F.col("m"), ["l_returnflag"], 1e-12).select("l_returnflag", F.col("p99").alias("flat"))
+    out = own.join(flat, "l_returnflag")
+    kinds = ("balanced", "nmse", "tail", "low_complexity", "novelty")
+    return out.select("l_returnflag", *[F.round(metrics.objective(F.col("nmse"), F.col("p99"), F.col("flat"), k, 0.08), 6).alias(k) for k in kinds])
+
+
+_OBJECTIVES = "WITH d AS (SELECT l_returnflag, l_extendedprice/50000 AS y, l_quantity/35 AS p, avg(l_extendedprice/50000) OVER (PARTITION BY l_returnflag) AS m FROM lineitem), a AS (SELECT l_returnflag, avg((y - p)*(y - p))/greatest(var_pop(y), 1e-12) AS e, quantile_cont(abs(y - p)/greatest(abs(y), 1e-12), 0.99) AS q, quantile_cont(abs(y - m)/greatest(abs(y), 1e-12), 0.99) AS f FROM d GROUP BY 1), b AS (SELECT l_returnflag, e, 0.08*least(100, q/greatest(1, f)) AS t FROM a) SELECT l_returnflag, round(e + t, 6) AS balanced, round(e + 0.25*t, 6) AS nmse, round(e + 3*t, 6) AS tail, round(e + 0.5*t, 6) AS low_complexity, round(e + t, 6) AS novelty FROM b"
+
+
+def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of orders by their keys: of all columns, of what may be seen, and of a table with one value changed."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    changed = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == 5, F.lit("?")).otherwise(F.col("o_orderstatus")))
+    whole, other = (roles.fingerprint(d, "o_orderkey", ["o_custkey", "o_orderstatus"]) for d in (o, changed))
+    seen, same = (roles.covariate_fingerprint(d, "o_orderkey", ["o_custkey"]) for d in (o, changed))
+    return spark.createDataFrame([("whole", whole, whole == other), ("seen", seen, seen == same)], "kind string, fingerprint string, same_after_change boolean")
+
+
+_FINGERPRINT = "WITH r AS (SELECT o_orderkey, sha256(o_custkey || chr(31) || o_orderstatus) AS w, sha256(o_custkey::VARCHAR) AS s FROM orders), b AS (SELECT o_orderkey // 4096 AS b, sha256(string_agg(w, '' ORDER BY o_orderkey, w)) AS w, sha256(string_agg(s, '' ORDER BY o_orderkey, s)) AS s, count(*) AS n FROM r GROUP BY 1), t AS (SELECT sum(n) AS n, string_agg(w, '' ORDER BY b) AS w, string_agg(s, '' ORDER BY b) AS s FROM b) SELECT 'whole' AS kind, sha256(n || '|o_custkey,o_orderstatus|' || w) AS fingerprint, false AS same_after_change FROM t UNION ALL SELECT 'seen', sha256(n || '|o_custkey|' || s), true FROM t"
+
 QUERIES = {
+    "promotion": (promotion, _PROMOTION), "term_similarity": (term_similarity, _SIMILARITY), "objectives": (objectives, _OBJECTIVES), "table_fingerprint": (table_fingerprint, _FINGERPRINT),
     "expression_facts": (expression_facts, _FACTS), "grammar_ranks": (grammar_ranks, _RANKS), "source_round_trips": (source_round_trips, _TRIPS),
     "paired_budgets": (paired_budgets, _PAIRED), "floored_dominance": (floored_dominance, _FLOORED),
     "workbook_scan": (workbook_scan, _WORKBOOKS), "event_tables": (event_tables, _EVENT_TABLES), "class_update_utility": (class_update_utility, _CLASS_UTILITY), "least_favourable": (least_favourable, _LEAST),
