@@ -7,7 +7,7 @@ whole.  Decoding maps the characters of a token back to bytes; a character whose
 split over tokens appears once its last byte is there.
 
 Defined cases: a null text is an empty one and gives no ids; texts of any length are encoded
-whole; rows keep their order and number; columns of the input that are named like an output
+whole; rows keep their order and number, repeated ones too; an empty table gives no rows; columns of the input that are named like an output
 column are replaced, others are kept.
 """
 

@@ -11,7 +11,9 @@ is a table of CLASSES squared log ratios, whatever the samples hold.
 
 All of it is expressions over one row, so nothing is shuffled.  Defined cases: a null text is
 empty; spans are code points, end exclusive; texts are scanned whole; repeated rows each
-give a row; further columns are kept by `scan`, unless they have the name of an output column.
+give a row, and rows of null ids too; an empty table gives no rows; spans that start together are ordered by kind,
+of overlapping ones each is listed and `redact` masks their union; further columns are kept by `scan`, unless they have the
+name of an output column or `_tokens`, and all are kept by `redact`.
 """
 
 from __future__ import annotations
@@ -129,8 +131,8 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
-    """The documents with each found span, or run of overlapping spans, replaced by MASK; n_chars follows."""
-    rows = scan(docs, model)
+    """The documents with each found span, or run of overlapping spans, replaced by MASK; n_chars follows.  Every other column stays as it is, whatever its name."""
+    rows = scan(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), model)
     text = F.col("text")
 
     def step(acc: Column, x: Column) -> Column:
@@ -140,7 +142,8 @@ def redact(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     new = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     hit = F.size("spans") > 0
     out = rows.withColumn("_new", F.when(hit, new).otherwise(text))
-    return out.select(*[F.col("_new").alias("text") if c == "text" else F.when(hit, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    own = lambda c: F.col("_row")[c]
+    return out.select(*[F.col("_new").alias("text") if c == "text" else F.when(hit, F.length("_new").cast(docs.schema[c].dataType)).otherwise(own(c)).alias(c) if c == "n_chars" else own(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,19 @@ def test_secrets(spark, texts):
     assert red[0].text is None and red[4].text == "a"
 
 
+def test_redact_keeps_columns_of_any_name(spark):
+    """Columns named like the operator's own, and names that need quoting, come back with the user's values."""
+    rows = [(1, 'password = "hunter22x"', "a", "b", "c", "d", "e", "f", 22), (None, None, "a", "b", "c", "d", "e", "f", None), (3, "plain", "a", "b", "c", "d", "e", "f", 5)]
+    names = ["doc_id", "text", "spans", "base_spans", "_new", "_tokens", "_row", "odd.name", "n_chars"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, base_spans string, _new string, _tokens string, _row string, `odd.name` string, n_chars long")
+    got = secret_scan.redact(docs)
+    assert got.columns == names
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert by[1]["text"] == '<secret>"' and by[1]["n_chars"] == 9 and by[None]["text"] is None and by[3]["text"] == "plain"
+    assert all([r[c] for c in names[2:8]] == list("abcdef") for r in by.values())
+    assert secret_scan.redact(docs.limit(0)).collect() == []
+
+
 def test_secret_model_parts_random_from_ordinary(spark):
     model = secret_scan.train(secret_scan.samples(spark, 2000))
     fresh = secret_scan.samples(spark, 6000).withColumn("k", F.monotonically_increasing_id()).where("length(token) >= 20")
