@@ -4,6 +4,10 @@ Each stage is (name, function) with function(spark, docs, sf_dir) -> DataFrame.
 rows are written as Parquet and read back as the next one's docs, so lineage ends between
 stages and a lost executor costs one stage's tasks at most.  All stages but the last return
 the columns of documents.
+
+Defined cases, of every stage: an empty table gives an empty one; rows that come twice are judged alike and stay or go
+together; rows of null ids are judged by their texts, but for near-dedup, which keeps them all; texts of any length are read whole; further columns are kept,
+whatever their names, by all stages but the last, which returns its own.
 """
 
 from __future__ import annotations
@@ -20,22 +24,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, the one of least id."""
+    """One document of each class of near copies stays, the one of least id; null and empty texts are in no class with others."""
     return near_dedup.clean(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of a benchmark item go; null and empty texts and items have none."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; no document goes."""
+    """Secrets are masked in the texts, overlapping ones as one; no document goes, and a null text stays null."""
     return secret_scan.redact(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with digests of the ids and of the bytes they decode to."""
+    """Token ids of each text, with digests of the ids and of the bytes they decode to; a null text has no ids."""
     return byte_bpe.digests(byte_bpe.encode(docs, round_trip=True), "doc_id", "lang", "source", "n_chars", "ids")
 
 
