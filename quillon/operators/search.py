@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as ex
@@ -225,3 +226,33 @@ def plugin_candidates(plugins: list[tuple[str, Callable[[], list[str]]]], n_feat
                 seen.add(h)
                 out.append(t)
     return out, rejected
+
+
+def register_plugin(spark: SparkSession, name: str, make: Callable[[int], Iterable[str]]) -> None:
+    """A caller's generator as a table function: SELECT * FROM name(n_features) gives (plugin, expression, digest, reason).
+
+    make: from a number of features to expressions.  An expression that can't be read has no digest, and the reason why.
+    """
+    if not re.fullmatch(r"[A-Za-z_]\w*", name):
+        raise ValueError("the name must be an identifier")
+
+    class Candidates:
+        def eval(self, n_features: int):
+            for t in make(n_features):
+                try:
+                    yield name, t, ex.digest(t, n_features), None
+                except (ValueError, SyntaxError, TypeError) as error:
+                    yield name, str(t), None, str(error)
+
+    spark.udtf.register(name, F.udtf(Candidates, returnType="plugin string, expression string, digest string, reason string"))
+
+
+def plugin_table(spark: SparkSession, names: list[str], n_features: int) -> DataFrame:
+    """Candidates of registered plugins, of equal ones the first by plugin and text; what can't be read is left out."""
+    out = None
+    for n in sorted(names):
+        part = spark.sql(f"SELECT * FROM {n}({int(n_features)})")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no plugin is named")
+    return out.where("digest is not null").groupBy("digest").agg(F.min(F.struct("plugin", "expression")).alias("_f")).select("_f.plugin", "_f.expression", "digest")

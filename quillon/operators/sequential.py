@@ -25,6 +25,21 @@ def weight_stats(df: DataFrame, keys: list[str], log_weight: Column) -> DataFram
     return s.select(*keys, "n", (F.col("_top") + F.ln("_s")).alias("log_sum"), (F.col("_s") * F.col("_s") / F.col("_q")).alias("ess"), (F.ln("_s") - F.col("_e") / F.col("_s")).alias("entropy"))
 
 
+def bridge_update(df: DataFrame, keys: list[str], log_weight: Column, current: Column, following: Column) -> DataFrame:
+    """Adds `log_weight_next`, normalised by keys, and `log_increment`, the log ratio of evidences of one bridge: weights times following over current targets.
+
+    keys: populations, each at one bridge.  Incoming weights need not be normalised.  A particle whose weight or step isn't finite, or is
+    minus infinity, weighs nothing; a population in which all do so has null results.
+    """
+    step = log_weight + following - current
+    good = step.isNotNull() & ~F.isnan(step) & (step < float("inf")) & (step > float("-inf")) & (log_weight > float("-inf"))
+    d = df.withColumns({"_w": F.when(log_weight.isNotNull() & ~F.isnan(log_weight) & (log_weight > float("-inf")), log_weight), "_s": F.when(good, step)})
+    tops = d.groupBy(*keys).agg(F.max("_w").alias("_tw"), F.max("_s").alias("_ts"))
+    sums = d.join(tops, keys).groupBy(*keys).agg(F.max("_ts").alias("_ts"), (F.max("_ts") + F.ln(F.sum(F.exp(F.col("_s") - F.col("_ts"))))).alias("_norm"), (F.max("_tw") + F.ln(F.sum(F.exp(F.col("_w") - F.col("_tw"))))).alias("_before"))
+    out = d.join(sums, keys)
+    return out.withColumns({"log_weight_next": F.when(F.col("_norm").isNotNull(), F.coalesce(F.col("_s") - F.col("_norm"), F.lit(float("-inf")))), "log_increment": F.col("_norm") - F.col("_before")}).drop("_w", "_s", "_ts", "_norm", "_before")
+
+
 def conditional_ess(df: DataFrame, weight: Column, increment: Column, delta: float) -> DataFrame:
     """One row: N (sum W e^(delta l))^2 / sum W e^(2 delta l), with normalised W."""
     top = df.agg(F.max(increment).alias("_top"))

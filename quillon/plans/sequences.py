@@ -77,6 +77,17 @@ def cdf_enclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENCLOSURES = f"""WITH d AS (SELECT user_id, (value - 40)/20 AS z, user_id % 5 + 3 AS nu FROM events) SELECT user_id, count(*) AS n, round(sum({_t_cdf("z", "nu")}), 7) AS total, true AS narrow FROM d GROUP BY user_id"""
 
 
+def bridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as particles, by type: weights after one bridge, as entropy and largest weight, and the evidence's increment."""
+    d = table(spark, sf_dir, "events").select("event_type", "event_id", (-F.col("value") / 100).alias("w"), (F.col("user_id") % 7 / 5).alias("now"), (F.col("user_id") % 11 / 4).alias("later"))
+    b = sequential.bridge_update(d, ["event_type"], F.when(F.col("event_id") % 13 == 0, float("-inf")).otherwise(F.col("w")), F.col("now"), F.col("later"))
+    v = F.exp("log_weight_next")
+    return b.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(v), 9).alias("total"), F.round(F.max("log_weight_next"), 8).alias("largest"), F.round(-F.sum(F.when(v > 0, v * F.col("log_weight_next"))), 8).alias("entropy"), F.round(F.max("log_increment"), 8).alias("log_increment"))
+
+
+_BRIDGE = "WITH d AS (SELECT event_type, CASE WHEN event_id % 13 = 0 THEN 0 ELSE exp(-value/100) END AS w, exp(user_id % 11/4 - user_id % 7/5) AS g FROM events), s AS (SELECT *, w*g/sum(w*g) OVER (PARTITION BY event_type) AS v FROM d) SELECT event_type, count(*) AS n, round(sum(v), 9) AS total, round(ln(max(v)), 8) AS largest, round(-sum(CASE WHEN v > 0 THEN v*ln(v) END), 8) AS entropy, round(ln(sum(w*g)/sum(w)), 8) AS log_increment FROM s GROUP BY event_type"
+
+
 def ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of six-hour windows as children of users of the window before: (step, user_id, parent), the parent by a rule on ranks."""
     e = table(spark, sf_dir, "events").select(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / 1000000 - 1704067200) / 21600).alias("w"), "user_id").distinct()
@@ -127,6 +138,7 @@ r(k, query_id, pool_id, dist, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS B
 SELECT query_id, pool_id, round(dist, 5) AS distance FROM r WHERE k > 0"""
 
 QUERIES = {
+    "bridge_weights": (bridge_weights, _BRIDGE),
     "cdf_enclosures": (cdf_enclosures, _ENCLOSURES),
     "genealogy_recomposed": (genealogy_recomposed, _GENEALOGY),
     "matched_vectors": (matched_vectors, _MATCHED),

@@ -220,3 +220,28 @@ def test_retention(spark):
     assert not back["retained"] and back["effect"] == 0 and back["action"] == "NOOP"
     other = left("x0*2", "x0*3", "x0*3")
     assert other["reparameterized"] and other["retained"]
+
+
+def test_plugins_as_table_functions(spark):
+    from quillon.operators import search
+
+    search.register_plugin(spark, "plugin_a", lambda n: [f"x{k} + 1" for k in range(n)] + ["broken("])
+    search.register_plugin(spark, "plugin_b", lambda n: ["1 + x0", "sin(x0)", "x9"])
+    every = spark.sql("SELECT * FROM plugin_a(2)").collect()
+    assert [(r.plugin, r.expression, r.digest is None, r.reason is None) for r in every] == [("plugin_a", "x0 + 1", False, True), ("plugin_a", "x1 + 1", False, True), ("plugin_a", "broken(", True, False)]
+    got = {(r.plugin, r.expression) for r in search.plugin_table(spark, ["plugin_b", "plugin_a"], 2).collect()}
+    assert got == {("plugin_a", "x0 + 1"), ("plugin_a", "x1 + 1"), ("plugin_b", "sin(x0)")}
+    for bad in (lambda: search.register_plugin(spark, "no name", lambda n: []), lambda: search.plugin_table(spark, [], 1)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_bridge_update(spark):
+    rows = [("a", 0.0, 1.0, 2.0), ("a", -1.0, 0.0, 0.5), ("a", float("-inf"), 0.0, 9.0), ("a", 0.0, 1.0, float("nan")), ("a", None, 0.0, 0.0), ("b", 0.0, 0.0, float("-inf"))]
+    d = spark.createDataFrame(rows, "k string, w double, now double, later double")
+    got = sequential.bridge_update(d, ["k"], F.col("w"), F.col("now"), F.col("later")).collect()
+    a = sorted((r.log_weight_next for r in got if r.k == "a"), reverse=True)
+    assert np.exp(a).sum() == pytest.approx(1.0) and a[0] - a[1] == pytest.approx(1.5) and a[2:] == [float("-inf")] * 3
+    inc = next(r.log_increment for r in got if r.k == "a")
+    assert inc == pytest.approx(np.log(np.exp(1.0) + np.exp(-0.5)) - np.log(1 + np.exp(-1.0) + 1))
+    assert all(r.log_weight_next is None and r.log_increment is None for r in got if r.k == "b")
