@@ -19,7 +19,7 @@ from quillon.functions import expressions as ex
 from quillon.functions.columns import finite, seeded_hex, uniform
 from quillon.operators.metrics import safe_corr
 from quillon.operators.ordered import quantiles, ranked, ranked_by_hex
-from quillon.sources.shared import written
+from quillon.sources.shared import removed, written
 
 FIELDS = ("train_nmse", "val_nmse", "val_strict", "val_p99", "val_p995", "val_share", "stress_nmse", "stress_strict", "stress_p99", "ood_nmse", "ood_strict", "ood_penalty", "complexity", "invalid")
 #: Share of a domain below its tail's bound, how exact the bound's rank is, and the rows up to which there is no bound.
@@ -118,7 +118,7 @@ def prepare(train: DataFrame, valid: DataFrame, xs: list[Column], y: Column, ide
 
     places = [F.lit(q[f"all{k}"][0.5]) + F.when(chance(k, "sign") < 0.5, -1.0).otherwise(1.0) * (0.75 + 0.75 * chance(k, "size")) * spread[k] for k in range(d)]
     probe = ids.select(*[p.alias(c) for p, c in zip(places, names, strict=True)], *[(p + STEP * s).alias(f"_near{k}") for k, (p, s) in enumerate(zip(places, spread, strict=True))])
-    return Domains(rows, d, floors, probe, max(q["y"][0.95], math.sqrt(max(var, 1e-15)), 1e-9))
+    return Domains(rows, d, floors, written(probe.coalesce(1), "probe"), max(q["y"][0.95], math.sqrt(max(var, 1e-15)), 1e-9))
 
 
 def _tails(frame: DataFrame, asked: dict[tuple[str, int], list[float]], sizes: dict[str, int], bounds: dict[tuple[str, int], float], values: Column, over: Column) -> dict[tuple[str, int, float], float]:
@@ -148,7 +148,9 @@ def metric_vectors(domains: Domains, texts: list[str]) -> list[dict[str, float]]
     names = [F.col(f"_x{k}") for k in range(domains.features)]
     y = F.col("_y")
     floor = F.coalesce(F.create_map(*[F.lit(v) for kv in domains.floors.items() for v in kv])[F.col("g")], F.lit(domains.floors[""]))
-    frame = domains.rows.withColumn("_p", F.array(*[ex.compile_expression(t, names).cast("double") for t in texts]))
+    made: list[str] = []
+    # Predictions are made once: three passes read them, and inside an aggregate each use would repeat its expression.
+    frame = written(domains.rows.withColumn("_p", F.array(*[ex.compile_expression(t, names).cast("double") for t in texts])), "predicted", made)
     each = frame.select(F.explode("_domains").alias("g"), "_y", "_p").withColumn("_f", F.greatest(F.abs(y), floor))
     aggs = [F.count(F.lit(1)).alias("n"), F.greatest(F.var_pop("_y"), F.lit(1e-15)).alias("var")]
     for k in range(len(texts)):
@@ -169,6 +171,7 @@ def metric_vectors(domains: Domains, texts: list[str]) -> list[dict[str, float]]
     size_tails = _tails(frame, size_asked, sizes, {("all", k): got["all"][f"e{k}"].size for k in good}, F.transform(F.col("_p"), F.abs), F.lit(1.0))
     nears = [F.col(f"_near{k}") for k in range(domains.features)]
     probed = domains.probe.select(*[c.cast("double").alias(f"{w}{k}") for k in good for w, c in (("far", ex.compile_expression(texts[k], names)), ("near", ex.compile_expression(texts[k], nears)))]).collect() if good else []
+    removed(frame.sparkSession, made)
     out = []
     for k, t in enumerate(texts):
         if k not in good:

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as ex
-from quillon.operators import certify, envelope, evaluation, knot, residual, semantic
+from quillon.operators import certify, discovery, envelope, evaluation, knot, residual, semantic
 from quillon.operators.gram import Prior
 from quillon.operators.grammar import Grammar
 from quillon.plans.measures import _U
+from quillon.sources.shared import written
 from quillon.sources.tables import table
 
 #: Two features of orders in two forms: with many values, and with so few that none lies outside the quantiles.
@@ -217,4 +218,17 @@ m AS (SELECT var_pop(a) AS aa, var_pop(t) AS tt, covar_pop(a, t) AS ca, covar_po
 SELECT 'y_hat' AS expression, 'current_prediction' AS family, 'identity' AS operator, CAST(0 AS INTEGER) AS depth, round((tt*ay - ca*ty)/(aa*tt - ca*ca), 6) AS coefficient, 'REPARAMETERIZE,CHANGE_INTERACTION,ADD' AS actions, true AS interaction FROM m
 UNION ALL SELECT '(y_hat)*(x1)', 'interaction', 'multiply', CAST(1 AS INTEGER), round((aa*ty - ca*ay)/(aa*tt - ca*ca), 6), 'REPARAMETERIZE,CHANGE_INTERACTION,ADD', true FROM m"""
 
-QUERIES = {"residual_program": (residual_program, _RESIDUAL), "knot_populations": (knot_populations, _KNOTS), "envelope_draws": (envelope_draws, _DRAWS), "semantic_certificate": (semantic_certificate, _CERTIFICATE), "semantic_posterior": (semantic_posterior, _POSTERIOR), "metric_vectors": (metric_vectors, _VECTORS), "failure_summary": (failure_summary, _FAILURES)}
+def discovery_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A discovery over orders from a weak seed when the truth has a product and a little that no term says: its events, who accepted, and what the survivor is like."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 101 / 101).alias("a"), (F.col("o_orderkey") % 97 / 97).alias("b"), (F.col("o_orderkey") % 13 / 1300).alias("noise"))
+    d = written(o.withColumn("y", F.lit(0.5) + F.col("a") + 2 * F.col("a") * F.col("b") + F.col("noise")), "planted")
+    held = F.col("o_orderkey") % 4 == 1
+    r = discovery.discover(d.where(~held), d.where(held), [F.col("a"), F.col("b")], F.col("y"), discovery.Policy(islands=("balanced", "nmse"), max_rounds=1), seeds=[("x0", "weak"), ("broken(", "none")])
+    good = r["survivor"]["metrics"]["val_nmse"] < 0.001 < r["anchor"]["metrics"]["val_nmse"] and "x1" in r["survivor"]["expression"]
+    rows = [(e["seq"], e["phase"], e["event"], e["round_id"], ",".join(e.get("accepted") or []), e.get("expression") == "x0", good, len(r["seeds"])) for e in r["events"]]
+    return spark.createDataFrame(rows, "seq int, phase string, event string, round_id int, accepted string, is_seed boolean, survivor_holds boolean, seeds int")
+
+
+_PLANTED = "SELECT * FROM (VALUES (0, 'INITIALIZE', 'started', 0, '', false, true, 1), (1, 'SEED', 'anchor_selected', 0, '', true, true, 1), (2, 'DETERMINISTIC_EXPLORE', 'round_completed', 1, 'balanced,nmse', false, true, 1), (3, 'SELECT', 'survivor_selected', 1, '', false, true, 1), (4, 'COMPLETE', 'reported', 1, '', false, true, 1)) t(seq, phase, event, round_id, accepted, is_seed, survivor_holds, seeds)"
+
+QUERIES = {"discovery_planted": (discovery_planted, _PLANTED), "residual_program": (residual_program, _RESIDUAL), "knot_populations": (knot_populations, _KNOTS), "envelope_draws": (envelope_draws, _DRAWS), "semantic_certificate": (semantic_certificate, _CERTIFICATE), "semantic_posterior": (semantic_posterior, _POSTERIOR), "metric_vectors": (metric_vectors, _VECTORS), "failure_summary": (failure_summary, _FAILURES)}
