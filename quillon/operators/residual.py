@@ -1,9 +1,9 @@
 """The residual grammar: what a prediction misses, said in terms of the prediction, the features and its own parts.
 
 Terms grow from base symbols (the prediction, the features, sub-expressions of the current model) by
-unary and pairwise operations to a small depth.  Each depth is one round over the table: a screen drops what isn't finite or doesn't vary, values
-on probe rows drop what is there already, and one Gram matrix a fold scores all new terms beside the
-prediction.  The best of a depth are the seeds of the next.  Terms are then chosen forward by cross-validated error and tail.
+unary and pairwise operations to a small depth.  Each depth is one round over the table: a screen drops what isn't finite or doesn't vary; terms
+that are alike on probe rows of different features are compared on all rows, which drops what is there already; and one Gram matrix a fold
+scores all new terms beside the prediction.  The best of a depth are the seeds of the next.  Terms are then chosen forward by cross-validated error and tail.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from quillon.operators import evaluation, gram
 from quillon.operators.ordered import quantiles
 from quillon.sources.shared import written
 
-# Rows of a fingerprint, its clip and its scale; the clip of values; the weight of the tail by profile.
-PROBE, FINGER_CLIP, FINGER_SCALE = 64, 8.0, 1000.0
+# Rows of a fingerprint, its clip and its scale; how far from 1 the correlation of equal terms may be; the clip of values; the weight of the tail by profile.
+PROBE, FINGER_CLIP, FINGER_SCALE, SAME = 64, 8.0, 1000.0, 1e-10
 CLIP, CLIP_LEVEL, CLIP_FACTOR = 1e5, 0.999, 20.0
 PROFILES = {"nmse": 0.25, "tail": 3.0, "low_complexity": 0.5}
 #: Operations on terms: how they are spelt, and what they make of arrays.
@@ -177,6 +177,22 @@ def screened(df: DataFrame, columns: list[Column], expand: Callable[[np.ndarray]
     return [got.get(j, Screen(False, 0.0, 0.0, 0.0)) for j in range(k)]
 
 
+def probe_rows(rows: DataFrame, key: str, columns: list[Column]) -> np.ndarray:
+    """The columns of the rows with the least keys, one row a key, so copies don't fill the probe; a task passes on as many rows as the probe has."""
+    some = rows.select(key, *columns)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            held = t.take(np.unique(t.column(0).to_numpy(), return_index=True)[1][:PROBE])
+        if held is not None:
+            yield from held.to_batches()
+
+    got = some.mapInArrow(least, some.schema).dropDuplicates([key]).orderBy(key).limit(PROBE).collect()
+    return np.array([[np.nan if v is None else v for v in r[1:]] for r in got], float).reshape(-1, len(columns))
+
+
 #: Bins of relative errors for each factor of e: a quantile is known to within a thousandth of its value.
 BINS = 1024
 
@@ -249,29 +265,31 @@ class Builder:
         families = ["current_prediction", *["raw_variable"] * d, *["current_dag_intermediate"] * len(parts)]
         base = [ex.compile_expression(t, xs).cast("double").alias(f"b{k}") for k, t in enumerate(self.actual)]
         fold = F.pmod(F.xxhash64(*xs, y), F.lit(settings.folds)).cast("int")
-        self.rows = written(df.select(*base, y.cast("double").alias("y"), fold.alias("fold"), F.xxhash64(F.lit(1), *xs, y).alias("h")).where(finite("y")), "residual")
+        self.rows = written(df.select(*base, y.cast("double").alias("y"), fold.alias("fold"), F.xxhash64(F.lit(1), *xs).alias("h")).where(finite("y")), "residual")
         self.base = [F.col(f"b{k}") for k in range(len(base))]
-        self.probe = np.array([[np.nan if v is None else v for v in r] for r in self.rows.orderBy("h").limit(PROBE).select(*self.base).collect()], float).reshape(-1, len(base))
-        self.seen: set[tuple[int, ...]] = set()
+        self.probe = probe_rows(self.rows, "h", self.base)
+        self.seen: dict[tuple[int, ...], list[Term]] = {}
         self.terms: list[Term] = self.admitted([Term(k, f, 0) for k, f in enumerate(families)])
         if not self.terms or self.terms[0].tree != 0:
             raise ValueError("the current model isn't a number on every row, or doesn't vary")
 
     def admitted(self, terms: list[Term]) -> list[Term]:
-        """Terms that are finite on every row, vary, and differ from all before on the probe rows; two rounds over the table at most."""
+        """Terms that are finite on every row, vary, and differ from all before; three rounds over the table at most."""
         terms = list({t.tree: t for t in terms}.values())
         if not terms or not len(self.probe):
             return []
-        probed, fresh = raw(terms)(self.probe), []
+        probed, met, fingers, fresh, room = raw(terms)(self.probe), set(self.seen), [], [], self.settings.most_terms
         for k, t in enumerate(terms):
             v = probed[:, k]
             if not np.isfinite(v).all():
                 continue
             finger = tuple(np.rint(np.clip((v - v.mean()) / max(float(v.std()), 1e-12), -FINGER_CLIP, FINGER_CLIP) * FINGER_SCALE).astype(np.int64).tolist())
-            if finger not in self.seen:
-                self.seen.add(finger)
+            new = finger not in met
+            if room or not new:
+                met.add(finger)
+                fingers.append(finger)
                 fresh.append(t)
-        fresh = fresh[: self.settings.most_terms]
+                room -= new
         if not fresh:
             return []
         got = screened(self.rows, self.base, raw(fresh), len(fresh))
@@ -287,7 +305,25 @@ class Builder:
 
             q = quantiles(self.rows.select(*self.base).mapInArrow(long, "k int, v double"), F.col("v"), [CLIP_LEVEL], ["k"])
             bounds |= {large[r.k]: max(CLIP, CLIP_FACTOR * r.q) for r in q.collect()}
-        return [Term(t.tree, t.family, t.depth, -bounds[k], bounds[k], got[k].mean, got[k].sd) for k, t in kept]
+        return self.different([(fingers[k], Term(t.tree, t.family, t.depth, -bounds[k], bounds[k], got[k].mean, got[k].sd)) for k, t in kept])
+
+    def different(self, terms: list[tuple[tuple[int, ...], Term]]) -> list[Term]:
+        """Terms without those that equal one before but for place and scale.  Fingerprints of few rows can't tell terms that differ on rare rows only, so terms that share one are compared on all rows, by one matrix."""
+        alike: dict[tuple[int, ...], list[Term]] = {}
+        for finger, t in terms:
+            alike.setdefault(finger, list(self.seen.get(finger, []))).append(t)
+        pool = [t for ts in alike.values() if len(ts) > 1 for t in ts]
+        at, out = {t.tree: k for k, t in enumerate(pool, 1)}, []
+        if pool:
+            m = sum(self.grams(pool).values())
+            cov = m / m[0, 0] - np.outer(m[0], m[0]) / m[0, 0] ** 2
+            sd = np.sqrt(np.maximum(np.diag(cov), 1e-24))
+        for finger, t in terms:
+            others = self.seen.setdefault(finger, [])
+            if len(out) < self.settings.most_terms and not any(1 - cov[at[t.tree], at[o.tree]] / (sd[at[t.tree]] * sd[at[o.tree]]) < SAME for o in others):
+                others.append(t)
+                out.append(t)
+        return out
 
     def grams(self, terms: list[Term]) -> dict[int, np.ndarray]:
         return wide_grams(self.rows, [*self.base, F.col("y")], "fold", scaled(terms, 1), len(terms) + 1)

@@ -65,6 +65,21 @@ def test_intermediates_and_duplicates(spark):
     assert "(sin(x1))" in r["steps"][0]["expression"] and "DELETE" in r["actions"] and r["nmse"] < 1e-9
 
 
+def test_copies_and_rare_values(spark):
+    """Many copies of few rows don't fill the probe, and what differs on rare rows only isn't taken for the same."""
+    grid = spark.range(400 * 120).select((F.col("id") % 20 / 20).alias("a"), (F.floor(F.col("id") / 20) % 20 / 20).alias("b"))
+    few = grid.withColumn("y", F.col("a") + 0.7 * F.col("a") * F.col("b"))
+    b = residual.Builder(few, "x0", *cols(), residual.Settings(), "balanced")
+    assert [t.tree for t in b.terms] == [0, 2] and len(np.unique(b.probe, axis=0)) == len(b.probe) == residual.PROBE
+    r = residual.program(few, "x0", *cols(), settings=residual.Settings(beam=4, depth=1, chosen=2))
+    assert [s["expression"] for s in r["steps"]] == ["(y_hat)*(x1)"] and r["terms"][1]["coefficient"] == pytest.approx(0.7, abs=1e-6) and r["nmse"] < 1e-12
+    rare = spark.range(20000).select("id", (F.col("id") % 997 / 997).alias("a"), (F.col("id") == 77).cast("double").alias("b"), (F.col("id") == 4242).cast("double").alias("c"))
+    rare = rare.select("*", (F.col("a") + F.col("c")).alias("e"), (2 * F.col("b") - 1).alias("f"), F.lit(3.0).alias("g"), (F.col("a") + 5 * F.col("c")).alias("y"))
+    b = residual.Builder(rare, "x0", [F.col(c) for c in "agbcef"], F.col("y"), residual.Settings(), "balanced")
+    assert [b.shown[t.tree] for t in b.terms] == ["y_hat", "x2", "x3", "x4"]
+    assert len(residual.Builder(rare, "x0", [F.col(c) for c in "agbcef"], F.col("y"), residual.Settings(most_terms=3), "balanced").terms) == 3
+
+
 def test_fits_equal_arrays(spark):
     """Fold-wise fits from matrices against fits of arrays; wide values are clipped at twenty times their .999 quantile."""
     x, df = table(spark, lambda a, b: a + 0.5 * b * b + 0.1 * np.cos(9 * a))
